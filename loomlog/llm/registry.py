@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from loomlog.llm import quality, sharding
+from loomlog.llm import bpe, quality, sharding, token_counts
 
 
 def queries() -> dict:
-    return {"op8_sharding": sharding.op8_sharding, "op9_quality_rules": quality.op9_quality_rules}
+    return {"op1_token_counts": token_counts.op1_token_counts, "op2_byte_bpe": bpe.op2_byte_bpe, "op8_sharding": sharding.op8_sharding, "op9_quality_rules": quality.op9_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
