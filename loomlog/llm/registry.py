@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from loomlog.llm import bpe, quality, sharding, simhash, token_counts, token_files
+from loomlog.llm import bpe, decontamination, quality, sharding, simhash, token_counts, token_files
 
 
 def queries() -> dict:
-    return {"op1_token_counts": token_counts.op1_token_counts, "op2_byte_bpe": bpe.op2_byte_bpe, "op3_simhash": simhash.op3_simhash, "op4_token_files": token_files.op4_token_files, "op8_sharding": sharding.op8_sharding, "op9_quality_rules": quality.op9_quality_rules}
+    return {"op1_token_counts": token_counts.op1_token_counts, "op2_byte_bpe": bpe.op2_byte_bpe, "op3_simhash": simhash.op3_simhash, "op4_token_files": token_files.op4_token_files, "op7_decontamination": decontamination.op7_decontamination, "op8_sharding": sharding.op8_sharding, "op9_quality_rules": quality.op9_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
