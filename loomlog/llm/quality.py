@@ -58,14 +58,19 @@ def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
 
 def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines), one row per input row; a null text has no words."""
-    base = id_and_text(df, id_col, text_col).select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return _measures(id_and_text(df, id_col, text_col), "doc_id")
+
+
+def _measures(df: DataFrame, keep: str) -> DataFrame:
+    """The measures beside column `keep`, from a column `text`."""
+    base = df.select(keep, F.coalesce(F.col("text"), F.lit("")).alias("text"))
     text = F.col("text")
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x, F.lit(SPACE_CHARS))) > 0)
-    wide = base.select("doc_id", text, words_of(text).alias("words"), lines.alias("lines"))
+    wide = base.select(keep, text, words_of(text).alias("words"), lines.alias("lines"))
     wide = wide.withColumn("hashes", window_hashes(F.col("words")))
     gone = lambda chars: F.length(F.translate(text, chars, ""))
     return wide.select(
-        "doc_id",
+        keep,
         F.size("words").cast("long").alias("n_words"),
         gone(SPACE_CHARS).cast("long").alias("word_chars"),
         (F.length(text) - gone("#*$%&|<>")).cast("long").alias("n_symbols"),
@@ -128,6 +133,14 @@ def quality_verdicts(df: DataFrame, rules: Sequence[Rule] | None = None, id_col:
     return failed.withColumn("base_failed", base).withColumn("kept", F.col("failed_rule").isNull() & ~F.col("base_failed"))
 
 
+def passing(df: DataFrame, rules: Sequence[Rule] | None = None, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """Rows of df that every rule accepts, all columns kept, in one pass and without a shuffle."""
+    names, rules = df.columns, list(rules or default_rules())
+    ordered = rule_order(df.select(F.col(f"`{text_col}`").cast("string").alias("text")), rules, sample_rows)
+    row = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return _measures(row, "_row").filter(cascade(ordered).isNull()).select("_row.*")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
