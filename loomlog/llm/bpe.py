@@ -11,6 +11,7 @@ about the longest token, and time is linear in the text.
 from __future__ import annotations
 
 import codecs
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from loomlog.llm.common import id_and_text, map_arrow
 from loomlog.llm.tokenfiles import once, public_path, ranks_of, shared_file
 
-MEMO_PIECES, MEMO_CHARS, MAX_STATES, MAX_PAIRS = 300_000, 48, 60_000, 1_000_000
+MEMO_PIECES, MEMO_CHARS, MAX_STATES, MAX_PAIRS = 250_000, 48, 80_000, 500_000
 DECODE_STEP = 4096
 #: Unicode white space; \s of the regex library also takes the separators U+001C to U+001F.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -34,12 +35,23 @@ def splitter(pattern: str) -> regex.Pattern:
     return regex.compile(out)
 
 
+class Node:
+    """A place in the token trie; token is the one that ends here."""
+
+    __slots__ = ("kids", "token")
+
+    def __init__(self):
+        self.kids, self.token = {}, None
+
+
 class State:
+    """configs are (last token, trie node, tokens not yet emitted), in the order of where the current token began."""
+
     __slots__ = ("configs", "final", "next")
 
     def __init__(self, configs: tuple):
         self.configs, self.next = configs, {}
-        self.final = next(pending for _, node, pending in configs if node == 0)
+        self.final = configs[-1][2]
 
 
 class Transducer:
@@ -48,23 +60,16 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.children: list[dict[int, int]] = [{}]
-        self.token_at: dict[int, int] = {}
+        self.root = Node()
         for token, rank in ranks.items():
-            node = 0
+            node = self.root
             for byte in token:
-                nxt = self.children[node].get(byte)
-                if nxt is None:
-                    nxt = self.children[node][byte] = len(self.children)
-                    self.children.append({})
-                node = nxt
-            self.token_at[node] = rank
-        self.pairs: dict[tuple, bool] = {}
-        self.reset()
-
-    def reset(self) -> None:
+                node = node.kids.get(byte) or node.kids.setdefault(byte, Node())
+            node.token = rank
+        self.pairs: dict[int, bool] = {}
+        self.made_of: dict[int, tuple[int, int] | None] = {}
         self.states: dict[tuple, State] = {}
-        self.start = self.state(((None, 0, ()),))
+        self.start = self.state(((None, self.root, ()),))
 
     def state(self, configs: tuple) -> State:
         found = self.states.get(configs)
@@ -72,56 +77,92 @@ class Transducer:
             found = self.states[configs] = State(configs)
         return found
 
-    def merged(self, data: bytes) -> list[bytes]:
-        """Plain merging, for at most two tokens at a time."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge made this one, None for a single byte."""
+        found = self.made_of.get(token, 0)
+        if found == 0:
+            data = self.bytes_of[token]
+            parts = [data[i : i + 1] for i in range(len(data))]
+            while len(parts) > 2:
+                _, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            found = self.made_of[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 and all(p in self.ranks for p in parts) else None
+        return found
 
     def follows(self, last: int | None, token: int) -> bool:
-        """Whether the token may stand after the last one (None: at the start)."""
-        key = (last, token)
+        """Whether the token may stand after the last one (None: at the start).
+
+        Merges of both are undone from the last made on. The pair is wrong if at some time the
+        pieces on both sides of the border would have merged before the merge just undone; of
+        equal ranks the one further left comes first.
+        """
+        if last is None:
+            return True
+        key = last << 32 | token
         ok = self.pairs.get(key)
         if ok is None:
-            want = ([] if last is None else [self.bytes_of[last]]) + [self.bytes_of[token]]
+            left, right, limit, get, text = last, token, 1 << 60, self.ranks.get, self.bytes_of
+            ok = True
+            while True:
+                if get(text[left] + text[right], limit) < limit:
+                    ok = False
+                    break
+                undo_left, undo_right = self.halves(left), self.halves(right)
+                if undo_left and (left > right or not undo_right):
+                    limit, left = left, undo_left[1]
+                elif undo_right:
+                    limit, right = right + 1, undo_right[0]
+                else:
+                    break
             if len(self.pairs) >= MAX_PAIRS:
                 self.pairs.clear()
-            ok = self.pairs[key] = self.merged(b"".join(want)) == want
+            self.pairs[key] = ok
         return ok
 
-    def step(self, state: State, byte: int) -> tuple[tuple, State]:
-        live = []
-        for last, node, pending in state.configs:
-            child = self.children[node].get(byte)
-            if child is None:
+    def advance(self, configs: tuple | list, byte: int) -> tuple[tuple, list]:
+        """Tokens to emit and the next configurations. Exactly one token may end here, since encodings are unique."""
+        live, pairs, border = [], self.pairs, None
+        for last, node, pending in configs:
+            node = node.kids.get(byte)
+            if node is None:
                 continue
-            token = self.token_at.get(child)
-            if token is not None and self.follows(last, token):
-                live.append((token, 0, pending + (token,)))
-            if self.children[child]:
-                live.append((last, child, pending))
+            token = node.token
+            if token is not None and border is None:
+                ok = last is None or pairs.get(last << 32 | token)
+                if ok is None:
+                    ok = self.follows(last, token)
+                if ok:
+                    border = (token, self.root, pending + (token,))
+            if node.kids:
+                live.append((last, node, pending))
+        live.append(border)
         shared = live[0][2]
+        if not shared:
+            return shared, live
         for _, _, pending in live:
             n = min(len(shared), len(pending))
             while shared[:n] != pending[:n]:
                 n -= 1
             shared = shared[:n]
         cut = len(shared)
-        return shared, self.state(tuple(sorted(((last, node, pending[cut:]) for last, node, pending in live), key=lambda c: (c[1], -1 if c[0] is None else c[0], c[2]))))
+        return shared, [(last, node, pending[cut:]) for last, node, pending in live] if cut else live
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.states) > MAX_STATES:
-            self.reset()
+        """Known states are followed; new ones are kept up to MAX_STATES, beyond that only passed through."""
         out: list[int] = []
         state = self.start
-        for byte in piece:
+        for i, byte in enumerate(piece):
             move = state.next.get(byte)
             if move is None:
-                move = state.next[byte] = self.step(state, byte)
+                if len(self.states) >= MAX_STATES:
+                    configs: tuple | list = state.configs
+                    for late in piece[i:]:
+                        emitted, configs = self.advance(configs, late)
+                        out.extend(emitted)
+                    out.extend(configs[-1][2])
+                    return out
+                emitted, configs = self.advance(state.configs, byte)
+                move = state.next[byte] = (emitted, self.state(tuple(configs)))
             emitted, state = move
             if emitted:
                 out.extend(emitted)
@@ -134,15 +175,20 @@ class Encoder(dict):
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
-        self.ranks, self.machine, self.split = ranks, Transducer(ranks), splitter(pattern)
+        self.ranks, self.machine, self.split, self.older = ranks, Transducer(ranks), splitter(pattern), {}
 
     def __missing__(self, piece: str) -> bytes:
+        if len(self) >= MEMO_PIECES:  # what was used since the last turn stays within reach
+            self.older = dict(self)
+            self.clear()
+        ids = self.older.get(piece)
+        if ids is not None:
+            self[piece] = ids
+            return ids
         data = piece.encode("utf-8", "replace")
         whole = self.ranks.get(data)
         ids = np.array([whole] if whole is not None else self.machine.encode(data), "<u4").tobytes()
         if len(piece) <= MEMO_CHARS:
-            if len(self) >= MEMO_PIECES:
-                self.clear()
             self[piece] = ids
         return ids
 
@@ -181,6 +227,7 @@ def encode_texts(df: DataFrame, ranks_path: str | None = None, pattern: str | No
     shared = shared_file(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.set_threshold(200_000, 50, 100)  # tables of many small objects that live as long as the worker
         encoder = once("bpe", (path, pattern), lambda: Encoder(ranks_of(shared.value), pattern))
         for batch in batches:
             for low in range(0, batch.num_rows, 256):

@@ -42,7 +42,7 @@ def test_random_texts(ranks, library):
             assert np.frombuffer(encoder.encode(unit * n), "<u4").tolist() == library.encode_ordinary(unit * n)
 
 
-def test_state_reset_changes_nothing(ranks, library, monkeypatch):
+def test_full_caches_change_nothing(ranks, library, monkeypatch):
     monkeypatch.setattr(bpe, "MAX_STATES", 20)
     monkeypatch.setattr(bpe, "MEMO_PIECES", 3)
     encoder = bpe.Encoder(ranks, public_tokenizers.PATTERN)
