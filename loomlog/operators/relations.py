@@ -88,6 +88,12 @@ def _field(name: str) -> Column:
     return F.try_variant_get("block", f"$.{name}", "string")
 
 
+def _flag(name: str) -> Column:
+    """A boolean field; text that reads like one is none."""
+    value = F.try_variant_get("block", f"$.{name}", "variant")
+    return F.when(F.schema_of_variant(value) == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
+
+
 def tool_calls(msgs: DataFrame, dedupe: bool = False) -> DataFrame:
     """Calls of tools with their results and execution time.
 
@@ -98,7 +104,7 @@ def tool_calls(msgs: DataFrame, dedupe: bool = False) -> DataFrame:
     use = blocks(msgs.filter("type = 'assistant'")).filter(_field("type") == "tool_use")
     calls = use.select("session_id", F.col("timestamp").alias("called_at"), F.col("uuid").alias("assistant_uuid"), _field("name").alias("tool_name"), _field("id").alias("tool_use_id"), _json_text(F.try_variant_get("block", "$.input", "variant")).alias("tool_input"))
     done = blocks(msgs.filter("type = 'user'")).filter(_field("type") == "tool_result")
-    results = done.select(_field("tool_use_id").alias("tool_use_id"), F.try_variant_get("block", "$.is_error", "boolean").alias("is_error"), _json_text(F.col("tool_use_result")).alias("tool_use_result"), F.col("timestamp").alias("result_at"), F.col("uuid").alias("_uuid"))
+    results = done.select(_field("tool_use_id").alias("tool_use_id"), _flag("is_error").alias("is_error"), _json_text(F.col("tool_use_result")).alias("tool_use_result"), F.col("timestamp").alias("result_at"), F.col("uuid").alias("_uuid"))
     if dedupe:
         calls = calls.groupBy("tool_use_id").agg(F.min_by(F.struct(*[c for c in calls.columns if c != "tool_use_id"]), F.struct("called_at", "assistant_uuid")).alias("_r")).select("tool_use_id", "_r.*")
         results = results.groupBy("tool_use_id").agg(F.min_by(F.struct("is_error", "tool_use_result", "result_at", "_uuid"), F.struct("result_at", "_uuid")).alias("_r")).select("tool_use_id", "_r.*")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import functools
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loomlog.functions.pricing import rates
 from loomlog.operators import cost, metrics, relations, search
@@ -97,18 +99,24 @@ def session_bucket(buckets: int = BUCKETS):
     return F.pmod(F.hash("session_id"), F.lit(buckets))
 
 
-def write_tables(rel: Relations, out: str, mode: str = "overwrite", only=None, buckets: int = BUCKETS) -> None:
-    """Each relation partitioned by session bucket; only: a predicate on rows, for partial rewrites."""
+def write_tables(rel: Relations, out: str, mode: str = "overwrite", only=None, buckets: int = BUCKETS) -> str:
+    """Each relation partitioned by session bucket; only: a predicate on rows, for partial rewrites.
+
+    Returns the schemas as JSON, so that tables without rows can be read back.
+    """
+    schemas = {}
     for name in TABLES:
         df = getattr(rel, name).withColumn("session_bucket", session_bucket(buckets))
         if name in ("logical_sessions", "session_stats"):
             df = df.drop("duration")  # Parquet keeps duration_sec
         if name == "tool_calls":
             df = df.drop("execution_time")
+        schemas[name] = json.loads(df.schema.json())
         if only is not None:
             df = df.filter(only)
         sort = [c for c in ("session_bucket", _ORDER.get(name)) if c]
         df.repartition("session_bucket").sortWithinPartitions(*sort).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("session_bucket").parquet(f"{out}/{name}")
+    return json.dumps(schemas)
 
 
 def build_meta(spark: SparkSession, out: str) -> DataFrame | None:
@@ -125,14 +133,15 @@ def read_build(spark: SparkSession, out: str) -> dict[str, DataFrame]:
     meta = build_meta(spark, out)
     if meta is None:
         raise FileNotFoundError(f"{out} has no published build")
-    build = meta.first()["build_id"]
-    return {name: spark.read.parquet(f"{out}/build={build}/{name}") for name in TABLES}
+    stamp = meta.first()
+    schemas = json.loads(stamp["schemas"])
+    return {name: spark.read.schema(StructType.fromJson(schemas[name])).parquet(f"{out}/build={stamp['build_id']}/{name}") for name in TABLES}
 
 
-def _publish(spark: SparkSession, path: str, out: str, build: str, days: int | str, as_of: str | None) -> None:
+def _publish(spark: SparkSession, path: str, out: str, build: str, schemas: str, days: int | str = 0, as_of: str | None = None) -> None:
     """The manifest, then the stamp, written last: readers see whole builds only."""
     list_files(spark, path).select("file_path", "modified").write.parquet(f"{out}/build={build}/manifest")
-    spark.createDataFrame([(build, path, str(days), as_of)], "build_id string, source string, days string, as_of string").withColumn("built_at", F.current_timestamp()).write.mode("append").parquet(f"{out}/build_meta")
+    spark.createDataFrame([(build, path, schemas, str(days), as_of)], "build_id string, source string, schemas string, days string, as_of string").withColumn("built_at", F.current_timestamp()).write.mode("append").parquet(f"{out}/build_meta")
 
 
 def materialize(spark: SparkSession, path: str, out: str, days: int | str = 0, as_of: str | None = None, project_map: DataFrame | None = None, reuse: bool = True) -> dict[str, DataFrame]:
@@ -142,6 +151,6 @@ def materialize(spark: SparkSession, path: str, out: str, days: int | str = 0, a
         if days != 0:
             log = within_days(log.withColumn("_ts", F.col("timestamp").try_cast("timestamp")), days, as_of, "_ts").drop("_ts")
         build = uuid.uuid4().hex
-        write_tables(Relations(log, project_map), f"{out}/build={build}")
-        _publish(spark, path, out, build, days, as_of)
+        schemas = write_tables(Relations(log, project_map), f"{out}/build={build}")
+        _publish(spark, path, out, build, schemas, days, as_of)
     return read_build(spark, out)

@@ -52,8 +52,9 @@ def raw_messages(log: DataFrame) -> DataFrame:
 
 def quarantine(log: DataFrame) -> DataFrame:
     """(file_path, bad_lines, sample) of files with lines that did not parse."""
-    # Spark refuses to read the corrupt column alone, so a second field is kept in the scan.
-    bad = log.select("file_path", "_corrupt", "type").filter(F.col("_corrupt").isNotNull())
+    # Spark refuses a scan of the corrupt column alone; the second comparison, true for any type, keeps another field in it.
+    other = F.coalesce("type", F.lit("")) != F.lit("\0")
+    bad = log.filter(F.col("_corrupt").isNotNull() & other)
     return bad.groupBy("file_path").agg(F.count("*").alias("bad_lines"), F.min(F.substring("_corrupt", 1, 200)).alias("sample"))
 
 

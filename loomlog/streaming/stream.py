@@ -120,9 +120,9 @@ def refresh(spark: SparkSession, path: str, out: str, project_map: DataFrame | N
         sessions = sessions.unionByName(calls.join(shared, "tool_use_id", "left_semi").select("session_id").distinct()).distinct()
     touched = [r[0] for r in sessions.select(session_bucket().alias("b")).distinct().collect()]  # at most BUCKETS numbers
     new = f"{out}/build={uuid.uuid4().hex}"
-    write_tables(fresh, new, mode="append", only=F.col("session_bucket").isin(touched))
+    schemas = write_tables(fresh, new, mode="append", only=F.col("session_bucket").isin(touched))
     for name in TABLES:
         kept = old[name].filter(~F.col("session_bucket").isin(touched))
         kept.write.mode("append").partitionBy("session_bucket").parquet(f"{new}/{name}")
-    _publish(spark, path, out, new.rpartition("build=")[2], 0, None)
+    _publish(spark, path, out, new.rpartition("build=")[2], schemas)
     return True
