@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from loomlog.functions.pricing import unpriced_models
 from loomlog.functions.text import clean_title, snippet
 from loomlog.operators import cost, metrics, relations, search, series
-from loomlog.plans.relations import Relations
+from loomlog.plans.relations import Relations, ad_hoc, materialize, register_views
 from loomlog.plans.synth import chat_log, events_log
-from loomlog.sources.logs import within_days
+from loomlog.sources.logs import browse_raw, quarantine, raw_messages, raw_records, read_log, within_days
+from loomlog.sources.scratch import scratch_folder
+from loomlog.streaming import stream as streams
 
 AS_OF = "2024-01-25 12:00:00"
 DAY = ("2024-01-15 00:00:00", "2024-01-16 00:00:00")
@@ -413,13 +415,13 @@ def top_groups_folded(spark, sf_dir):
 @query(f""", d AS ({_TYPES.replace("bucket AS grp", "prev_tool AS grp").replace("FROM ev", "FROM ev WHERE prev_tool IS NOT NULL")}), t AS (SELECT grp, row_number() OVER (ORDER BY sum(cost_usd) DESC, grp) AS p, sum(sum(cost_usd)) OVER () AS g FROM d GROUP BY grp),
 s AS (SELECT d.*, t.p, t.g, coalesce(sum(d.cost_usd) OVER (PARTITION BY d.bucket ORDER BY t.p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS below FROM d JOIN t ON t.grp = d.grp),
 f AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY cost_usd DESC, bucket) AS n FROM s WHERE p <= 4)
-SELECT grp, bucket, round(cost_usd, 8) AS value, round(below + cost_usd / 2, 8) AS center FROM f WHERE n = 1 AND cost_usd >= 0.001 * g""")
+SELECT grp, bucket, round(cost_usd, 8) AS value, round(below + cost_usd / 2, 9) AS center FROM f WHERE n = 1 AND cost_usd >= 0.001 * g""")
 def group_peaks(spark, sf_dir):
     r = _rel(spark, sf_dir)
     msgs = r.assistant_message_costs.withColumn("parent_id", F.regexp_replace("parent_uuid", "^u", "t"))
     named = cost.priced(msgs, r.rates).join(r.tool_calls.select(F.col("tool_use_id").alias("parent_id"), F.col("tool_name").alias("grp")), "parent_id")
     cells = named.groupBy(F.date_format("timestamp", "yyyy-MM-dd").alias("bucket"), "grp").agg(F.sum("write_cost_usd").alias("cost_usd"))
-    return cost.group_peaks(cells, min_share=0.001).select("grp", "bucket", _r("value").alias("value"), _r("center").alias("center"))
+    return cost.group_peaks(cells, min_share=0.001).select("grp", "bucket", _r("value").alias("value"), _r("center", 9).alias("center"))
 
 
 @query("SELECT session_id, 'a' || CAST(event_id AS VARCHAR) AS uuid, bucket, category, agent, round(cost, 8) AS cost_usd, round(wcost, 8) AS write_cost_usd FROM ev")
@@ -625,3 +627,90 @@ def search_sessions(spark, sf_dir):
     r = Relations(chat_log(spark, sf_dir))
     hits = search.search_sessions(r.search_corpus, None, r.logical_sessions, r.session_stats, "then la", require_all=True)
     return hits.select("session_id", "score", _us("timestamp").alias("ts_us"))
+
+
+# --- files and streams: the records are written as JSON lines first ---
+
+GLOB = "part-*"
+
+
+def _files(spark, sf_dir: str, bad: bool = False) -> str:
+    """The records as text files below a fresh folder; bad: every thousandth event leaves a broken line too."""
+    path = scratch_folder(spark)
+    lines = events_log(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value"))
+    if bad:
+        lines = lines.unionByName(spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id % 1000 = 0").select(F.concat(F.lit('{"type": broken '), F.col("event_id").cast("string")).alias("value")))
+    lines.write.text(path)
+    return path
+
+
+_RECORDS = "SELECT user_id, event_id, 'assistant' AS type FROM ev UNION ALL SELECT user_id, event_id, 'assistant' FROM ev WHERE event_id % 7 = 0 UNION ALL SELECT user_id, event_id, 'user' FROM ev WHERE answered UNION ALL SELECT user_id, event_id, 'user' FROM ev WHERE event_id % 40 = 0"
+
+
+@query(f"SELECT 's' || CAST(user_id AS VARCHAR) AS session_id, type, CAST(count(*) AS BIGINT) AS n FROM ({_RECORDS}) GROUP BY 1, 2")
+def log_scan(spark, sf_dir):
+    return raw_messages(read_log(spark, _files(spark, sf_dir, bad=True), glob=GLOB)).groupBy("session_id", "type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS bad_lines FROM events WHERE event_id % 1000 = 0", cte=False)
+def quarantined_lines(spark, sf_dir):
+    return quarantine(read_log(spark, _files(spark, sf_dir, bad=True), glob=GLOB)).agg(F.sum("bad_lines").alias("bad_lines"))
+
+
+@query(f"SELECT type, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT user_id) AS BIGINT) AS sessions FROM ({_RECORDS}) GROUP BY type")
+def raw_scan(spark, sf_dir):
+    field = lambda f: F.try_variant_get("rec", f"$.{f}", "string")
+    return raw_records(spark, _files(spark, sf_dir), GLOB).groupBy(field("type").alias("type")).agg(F.count("*").alias("n"), F.count_distinct(field("sessionId")).alias("sessions"))
+
+
+@query("SELECT 'u' || CAST(event_id AS VARCHAR) AS uuid FROM ev WHERE answered AND session_id LIKE 's1%' AND event_id % 40 <> 0 ORDER BY ts DESC LIMIT 20")
+def raw_page(spark, sf_dir):
+    raw = raw_records(spark, _files(spark, sf_dir), GLOB).filter(~F.try_variant_get("rec", "$.uuid", "string").startswith("p"))
+    return browse_raw(raw, "s1", "user").select("uuid")
+
+
+@query("SELECT tool AS tool_name, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE bad) AS BIGINT) AS failed FROM calls GROUP BY tool")
+def materialized_calls(spark, sf_dir):
+    built = materialize(spark, _files(spark, sf_dir), scratch_folder(spark), glob=GLOB)
+    return built["tool_calls"].groupBy("tool_name").agg(F.count("*").alias("n"), F.count_if(F.coalesce("is_error", F.lit(False))).alias("failed"))
+
+
+@query("SELECT project, CAST(count(*) AS BIGINT) AS sessions FROM sesd GROUP BY project ORDER BY project LIMIT 500")
+def ad_hoc_sql(spark, sf_dir):
+    register_views(spark, events_log(spark, sf_dir), prefix="log_")
+    return ad_hoc(spark, "SELECT project, count(*) AS sessions FROM log_logical_sessions GROUP BY project ORDER BY project")
+
+
+def _drained(stream: DataFrame, spark) -> DataFrame:
+    """A stream's appended rows, run until its source is exhausted."""
+    out, marks = scratch_folder(spark), scratch_folder(spark)
+    stream.writeStream.format("parquet").option("checkpointLocation", marks).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def _stream(spark, sf_dir) -> DataFrame:
+    return streams.stream_log(spark, _files(spark, sf_dir), max_files=10_000, glob=GLOB)
+
+
+@query("SELECT model, CAST(count(*) AS BIGINT) AS messages, CAST(sum(inp) AS BIGINT) AS input_tokens FROM ev GROUP BY model")
+def streamed_costs(spark, sf_dir):
+    return _drained(streams.stream_costs(_stream(spark, sf_dir)), spark).groupBy("model").agg(F.count("*").alias("messages"), F.sum("input_tokens").alias("input_tokens"))
+
+
+@query("""SELECT epoch_us(date_trunc('day', ts)) AS start_us, model, CAST(count(*) AS BIGINT) AS messages, round(sum(cost), 8) AS cost_usd FROM ev
+GROUP BY 1, 2, date_trunc('day', ts) HAVING date_trunc('day', ts) + INTERVAL '1 day' <= (SELECT max(ts + CASE WHEN event_id % 7 = 0 THEN INTERVAL '500 milliseconds' ELSE INTERVAL '0 seconds' END) - INTERVAL '10 minutes' FROM ev)""")
+def streamed_cost_windows(spark, sf_dir):
+    windows = streams.stream_cost_windows(streams.stream_costs(_stream(spark, sf_dir)), "1 day", delay=None)
+    return _drained(windows, spark).select(_us("start").alias("start_us"), "model", "messages", _r("cost_usd").alias("cost_usd"))
+
+
+@query()
+def streamed_activity(spark, sf_dir):
+    return _drained(streams.stream_sessions(_stream(spark, sf_dir), "6 hours"), spark)
+
+
+@query("SELECT model, CAST(count(*) AS BIGINT) AS messages, CAST(sum(outp) AS BIGINT) AS output_tokens FROM ev GROUP BY model")
+def streamed_upsert(spark, sf_dir):
+    out = scratch_folder(spark)
+    streams.stream_into(streams.stream_usage(_stream(spark, sf_dir)), out, checkpoint=scratch_folder(spark)).awaitTermination()
+    return spark.read.parquet(out).groupBy("model").agg(F.count("*").alias("messages"), F.sum("output_tokens").alias("output_tokens"))

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from loomlog.functions.pricing import rates
 from loomlog.operators import cost, metrics, relations, search
-from loomlog.sources.logs import list_files, raw_messages, read_log, within_days
+from loomlog.sources.logs import GLOB, list_files, raw_messages, read_log, within_days
 
 BUCKETS = 64
 
@@ -138,19 +138,19 @@ def read_build(spark: SparkSession, out: str) -> dict[str, DataFrame]:
     return {name: spark.read.schema(StructType.fromJson(schemas[name])).parquet(f"{out}/build={stamp['build_id']}/{name}") for name in TABLES}
 
 
-def _publish(spark: SparkSession, path: str, out: str, build: str, schemas: str, days: int | str = 0, as_of: str | None = None) -> None:
+def _publish(spark: SparkSession, path: str, out: str, build: str, schemas: str, days: int | str = 0, as_of: str | None = None, glob: str = GLOB) -> None:
     """The manifest, then the stamp, written last: readers see whole builds only."""
-    list_files(spark, path).select("file_path", "modified").write.parquet(f"{out}/build={build}/manifest")
+    list_files(spark, path, glob).select("file_path", "modified").write.parquet(f"{out}/build={build}/manifest")
     spark.createDataFrame([(build, path, schemas, str(days), as_of)], "build_id string, source string, schemas string, days string, as_of string").withColumn("built_at", F.current_timestamp()).write.mode("append").parquet(f"{out}/build_meta")
 
 
-def materialize(spark: SparkSession, path: str, out: str, days: int | str = 0, as_of: str | None = None, project_map: DataFrame | None = None, reuse: bool = True) -> dict[str, DataFrame]:
+def materialize(spark: SparkSession, path: str, out: str, days: int | str = 0, as_of: str | None = None, project_map: DataFrame | None = None, reuse: bool = True, glob: str = GLOB) -> dict[str, DataFrame]:
     """Write all relations of the logs below path to a new build and publish it; an existing build is reused."""
     if not (reuse and build_meta(spark, out) is not None):
-        log = read_log(spark, path)
+        log = read_log(spark, path, glob=glob)
         if days != 0:
             log = within_days(log.withColumn("_ts", F.col("timestamp").try_cast("timestamp")), days, as_of, "_ts").drop("_ts")
         build = uuid.uuid4().hex
         schemas = write_tables(Relations(log, project_map), f"{out}/build={build}")
-        _publish(spark, path, out, build, schemas, days, as_of)
+        _publish(spark, path, out, build, schemas, days, as_of, glob)
     return read_build(spark, out)

@@ -9,21 +9,22 @@ from pyspark.sql import functions as F
 
 from loomlog.sources.schemas import READ_SCHEMA
 
-RAW_CAP = 500
+#: Name pattern of log files.
+GLOB = "*.jsonl"
 
 
-def read_log(spark: SparkSession, path: str, schema: str = READ_SCHEMA) -> DataFrame:
+def read_log(spark: SparkSession, path: str, schema: str = READ_SCHEMA, glob: str = GLOB) -> DataFrame:
     """All records below path, with file_path; bad lines stay as rows whose _corrupt is set.
 
     Unreadable files are skipped. A folder without logs gives the same columns and no rows.
     """
-    reader = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("columnNameOfCorruptRecord", "_corrupt").option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+    reader = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("columnNameOfCorruptRecord", "_corrupt").option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
     return reader.json(path).select("*", F.col("_metadata.file_path").alias("file_path"))
 
 
-def raw_records(spark: SparkSession, path: str) -> DataFrame:
+def raw_records(spark: SparkSession, path: str, glob: str = GLOB) -> DataFrame:
     """Every record with every field, as one VARIANT column `rec`, beside its file's path, size and time."""
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("singleVariantColumn", "rec")
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("singleVariantColumn", "rec")
     meta = F.col("_metadata")
     return reader.json(path).select("rec", meta["file_path"].alias("file_path"), meta["file_size"].alias("file_size"), meta["file_modification_time"].alias("file_modification_time"))
 
@@ -85,9 +86,9 @@ def changed_files(log_files: DataFrame, manifest: DataFrame) -> DataFrame:
     return now.join(was, "file_path", "full").select("file_path", F.coalesce("_now", "_was").alias("modified"), change.alias("change")).filter("change is not null")
 
 
-def list_files(spark: SparkSession, path: str) -> DataFrame:
+def list_files(spark: SparkSession, path: str, glob: str = GLOB) -> DataFrame:
     """(file_path, modified, size) of the log files below path, without opening them."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
     return files.select(F.col("path").alias("file_path"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
 
 

@@ -11,13 +11,13 @@ from pyspark.sql.streaming import StreamingQuery
 from loomlog.functions.pricing import rates as default_rates
 from loomlog.functions.pricing import RATE_COLUMNS, cost_expr
 from loomlog.plans.relations import BUCKETS, TABLES, Relations, _publish, build_meta, materialize, read_build, session_bucket, write_tables
-from loomlog.sources.logs import changed_files, list_files, read_log
+from loomlog.sources.logs import GLOB, changed_files, list_files, read_log
 from loomlog.sources.schemas import READ_SCHEMA
 
 
-def stream_log(spark: SparkSession, path: str, schema: str = READ_SCHEMA, max_files: int = 1000) -> DataFrame:
+def stream_log(spark: SparkSession, path: str, schema: str = READ_SCHEMA, max_files: int = 1000, glob: str = GLOB) -> DataFrame:
     """New log files as a stream. A file that grows after it was seen is not read again: use refresh for those."""
-    return spark.readStream.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("columnNameOfCorruptRecord", "_corrupt").option("maxFilesPerTrigger", max_files).json(path)
+    return spark.readStream.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("columnNameOfCorruptRecord", "_corrupt").option("maxFilesPerTrigger", max_files).json(path)
 
 
 def stream_usage(stream: DataFrame) -> DataFrame:
