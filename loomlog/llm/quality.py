@@ -34,26 +34,36 @@ def _shift(values: Column, by: int) -> Column:
     return F.slice(values, F.lit(by + 1), F.greatest(F.size(values) - by, F.lit(0)))
 
 
-def window_hashes(words: Column, window: int = WINDOW) -> Column:
-    """XXH64 of each run of `window` words (a power of two), built by doubling; empty if there are too few words."""
-    hashes, width = F.transform(words, lambda w: F.xxhash64(w)), 1
+def with_window_hashes(df: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Add hashes, the XXH64 of each run of `window` words (a power of two), built by doubling; empty if there are too few words.
+
+    Each doubling is a projection of its own: higher-order functions are evaluated for each
+    mention, so one nested expression would hash every word 27 times.
+    """
+    df, width = df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))), 1
     while width < window:
-        hashes = F.zip_with(hashes, _shift(hashes, width), lambda a, b: F.xxhash64(a, b))
+        df = df.withColumn("hashes", F.zip_with("hashes", _shift(F.col("hashes"), width), lambda a, b: F.xxhash64(a, b)))
         width *= 2
-    return F.when(F.size(words) >= window, F.slice(hashes, F.lit(1), F.greatest(F.size(words) - (window - 1), F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
-
-
-def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
-    """Words covered by windows whose hash occurs twice or more, the first occurrence included."""
-    at = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    hs, places = F.transform(at, lambda x: x["h"]), F.transform(at, lambda x: x["i"])
-    twin_after = F.zip_with(hs, _shift(hs, 1), lambda a, b: a.eqNullSafe(b))
-    twin_before = F.concat(F.array(F.lit(False)), twin_after)
-    hit = F.zip_with(F.arrays_zip(places.alias("i"), twin_after.alias("n")), twin_before, lambda x, p: F.when(x["n"] | p, x["i"]))
-    starts = F.array_sort(F.filter(hit, lambda x: x.isNotNull()))
-    spans = F.zip_with(starts, _shift(starts, 1), lambda a, b: F.when(a.isNull(), F.lit(0)).otherwise(F.least(F.lit(window), F.coalesce(b - a, F.lit(window)))))
+    whole = F.slice("hashes", F.lit(1), F.greatest(F.size("words") - (window - 1), F.lit(0)))
+    return df.withColumn("hashes", F.when(F.size("words") >= window, whole).otherwise(F.array().cast("array<bigint>")))
+
+
+def with_repeated_words(df: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Add n_repeat_words, the words covered by windows whose hash occurs twice or more, the first occurrence included.
+
+    Windows are sorted by hash, twins marked, and their starts put in order again; each covers
+    up to the next start. Texts without twins, nearly all, skip the sorting.
+    """
+    none = F.array().cast("array<struct<h:bigint,i:int>>")
+    pairs = F.array_sort(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    df = df.withColumn("_at", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), pairs).otherwise(none))
+    df = df.withColumn("_h", F.transform("_at", lambda x: x["h"]))
+    df = df.withColumn("_twin", F.zip_with("_h", _shift(F.col("_h"), 1), lambda a, b: a.eqNullSafe(b)))
+    hit = F.zip_with(F.arrays_zip(F.transform("_at", lambda x: x["i"]).alias("i"), F.col("_twin").alias("n")), F.concat(F.array(F.lit(False)), "_twin"), lambda x, p: F.when(x["n"] | p, x["i"]))
+    df = df.withColumn("_starts", F.array_sort(F.filter(hit, lambda x: x.isNotNull())))
+    spans = F.zip_with("_starts", _shift(F.col("_starts"), 1), lambda a, b: F.when(a.isNull(), F.lit(0)).otherwise(F.least(F.lit(window), F.coalesce(b - a, F.lit(window)))))
     covered = F.aggregate(spans, F.lit(0).cast("long"), lambda s, x: s + x)
-    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), covered).otherwise(F.lit(0).cast("long"))
+    return df.withColumn("n_repeat_words", covered).drop("_at", "_h", "_twin", "_starts")
 
 
 def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -67,7 +77,7 @@ def _measures(df: DataFrame, keep: str) -> DataFrame:
     text = F.col("text")
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x, F.lit(SPACE_CHARS))) > 0)
     wide = base.select(keep, text, words_of(text).alias("words"), lines.alias("lines"))
-    wide = wide.withColumn("hashes", window_hashes(F.col("words")))
+    wide = with_repeated_words(with_window_hashes(wide))
     gone = lambda chars: F.length(F.translate(text, chars, ""))
     return wide.select(
         keep,
@@ -75,7 +85,7 @@ def _measures(df: DataFrame, keep: str) -> DataFrame:
         gone(SPACE_CHARS).cast("long").alias("word_chars"),
         (F.length(text) - gone("#*$%&|<>")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("hashes")).alias("n_repeat_words"),
+        "n_repeat_words",
         F.size("lines").cast("long").alias("n_lines"),
     )
 
@@ -138,9 +148,28 @@ def passing(df: DataFrame, rules: Sequence[Rule] | None = None, text_col: str =
     names, rules = df.columns, list(rules or default_rules())
     ordered = rule_order(df.select(F.col(f"`{text_col}`").cast("string").alias("text")), rules, sample_rows)
     row = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return _measures(row, "_row").filter(cascade(ordered).isNull()).select("_row.*")
+    # A generator keeps the filter above the measures; pushed below, it would compute them for each mention.
+    found = _measures(row, "_row")
+    kept = found.select("_row", F.explode(F.array(F.struct(*found.columns[1:]))).alias("_m")).select("_row", "_m.*")
+    return kept.filter(cascade(ordered).isNull()).select("_row.*")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+  [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls FROM d),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+r AS (SELECT g.doc_id, g.i FROM g JOIN (SELECT doc_id, gram FROM g GROUP BY doc_id, gram HAVING count(*) > 1) x ON x.doc_id = g.doc_id AND x.gram = g.gram),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (SELECT unnest(range(0, 8)) AS k) GROUP BY doc_id),
+m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines FROM w LEFT JOIN c ON c.doc_id = w.doc_id),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT 10 * n_symbols > word_chars AND NOT 10 * n_dup_lines > 3 * n_lines AND NOT (word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept FROM b
+"""

@@ -11,4 +11,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL has no XXH64, CRC32, Luhn check, tokenizer or page parser; those queries are tested against brute force."""
+    return {"op9_quality_rules": quality.ORACLE_SQL}
