@@ -9,8 +9,8 @@ decoding is vectorised.
 
 from __future__ import annotations
 
+import gc
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +24,7 @@ from loomlog.llm.tokenfiles import once, public_path, shared_file
 #: Selector s > 0 packs COUNTS[s] ids of 60 // COUNTS[s] bits; selector 0: the next word is one raw id.
 COUNTS = [0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1]
 BLOCK_IDS = 1 << 16
-MEMO_WORDS, MEMO_CHARS = 400_000, 48
-WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+MEMO_WORDS, MEMO_CHARS, GROUP_WORDS = 700_000, 48, 2000
 BLOCK_SCHEMA = "part int, block long, first long, doc_ids array<long>, ends array<long>, n_ids long, escapes array<int>, words binary"
 
 
@@ -36,16 +35,25 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int32)
     top, low = int(ids.max()), int(ids.min())
+    limit = np.uint32 if not top >> 32 else np.uint64
+    values = ids.astype(limit)
     take, select = np.zeros(n, np.int64), np.zeros(n, np.int8)
     open_ = np.ones(n, bool)
     for s in range(1, 15):
         bits = 60 // COUNTS[s]
         if low >> bits:
             continue
-        wide = np.zeros(n + 1, np.int64)
-        np.cumsum(ids >> np.uint64(bits) != 0, out=wide[1:])
-        ends = np.minimum(np.arange(n) + COUNTS[s], n)
-        fits = open_ & (wide[ends] == wide[:-1])
+        if limit is np.uint32 and bits >= 32:
+            take[open_], select[open_] = COUNTS[s], s
+            open_[:] = False
+            break
+        narrow = values < limit(1 << bits)
+        if int(np.count_nonzero(narrow)) < min(COUNTS[s], n):
+            continue
+        wide = np.zeros(n + COUNTS[s], np.int32)
+        np.cumsum(~narrow, out=wide[1 : n + 1], dtype=np.int32)
+        wide[n + 1 :] = wide[n]
+        fits = open_ & (wide[COUNTS[s] :] == wide[:n])
         take[fits], select[fits] = COUNTS[s], s
         open_ &= ~fits
         if not top >> bits:
@@ -91,10 +99,12 @@ def unpack(words: np.ndarray, n_ids: int, escapes: np.ndarray) -> np.ndarray:
 
 
 class WordIds(dict):
-    """Words -> ids of a tokenizers file, as little-endian 32-bit bytes.
+    """Words, as UTF-8 bytes -> ids of a tokenizers file, as little-endian 32-bit bytes.
 
-    The file's normaliser and splitter never join text across ASCII white space, so words are
-    encoded alone, new ones of a batch at once, and kept in a bounded memo.
+    The file's normaliser and splitter never join text across ASCII white space, so only new
+    words are encoded, many at once with spaces between, and kept in a bounded memo of two turns.
+    The file lower-cases and splits letters from punctuation, so a Latin word with a stop or
+    comma takes the ids of its lower-case letters and of the mark.
     """
 
     def __init__(self, data: bytes):
@@ -102,21 +112,60 @@ class WordIds(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(data.decode())
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [WORD.findall(t) for t in texts]
+        self.tokenizer, self.older = Tokenizer.from_str(data.decode()), {}
+
+    def encode_words(self, words: list[str]) -> Iterator[tuple[list[str], Iterator[bytes]]]:
+        groups = [words[i : i + GROUP_WORDS] for i in range(0, len(words), GROUP_WORDS)]
+        for group, found in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4").tobytes()
+            starts = np.cumsum([0, *(len(w) + 1 for w in group)])
+            ends = (4 * np.searchsorted(np.array([a for a, _ in found.offsets], np.int64), starts)).tolist()
+            yield group, map(ids.__getitem__, map(slice, ends, ends[1:]))
+
+    def add(self, words: list[bytes]) -> None:
+        """Encode words that are not in the memo."""
+        plain: dict[str, bytes] = {}
+        parts: list[tuple[bytes, str, str]] = []
+        for word in words:
+            text = word.decode("utf-8", "replace")
+            core, mark = text, ""
+            if max(text) < "\u0100":
+                low = text.lower()
+                stem = low[:-1] if low[-1] in ".," else low
+                if stem.isalpha():
+                    core, mark = stem, low[len(stem) :]
+            parts.append((word, core, mark))
+            plain[core] = b""
+            plain[mark] = b""
+        plain.pop("", None)
+        new = []
+        for text in plain:
+            key = text.encode("utf-8", "replace")
+            held = self.get(key) or self.older.get(key)
+            if held is None:
+                new.append(text)
+            else:
+                plain[text] = held
+        for group, ids in self.encode_words(new):
+            plain.update(zip(group, ids))
+        plain[""] = b""
+        self.update((word, plain[core] + plain[mark]) for word, core, mark in parts)
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        split = [t.split() for t in texts]  # bytes split at ASCII white space only
         if len(self) >= MEMO_WORDS:
+            self.older = dict(self)
             self.clear()
-        new = list(set().union(*split).difference(self))
-        encode_batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        extra = {}
-        for low in range(0, len(new), 4096):
-            for word, found in zip(new[low : low + 4096], encode_batch(new[low : low + 4096], add_special_tokens=False)):
-                (self if len(word) <= MEMO_CHARS else extra)[word] = np.array(found.ids, "<u4").tobytes()
-        if extra:
-            return [b"".join(extra[w] if w in extra else self[w] for w in words) for words in split]
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        new, older = [w for w in set().union(*split) if w not in self], self.older
+        if older:
+            self.update((w, older[w]) for w in new if w in older)
+            new = [w for w in new if w not in older]
+        self.add(new)
+        out = [b"".join(map(self.__getitem__, words)) for words in split]
+        for word in new:
+            if len(word) > MEMO_CHARS:
+                del self[word]
+        return out
 
 
 def write_token_files(df: DataFrame, path: str, tokenizer_path: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -132,6 +181,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str | None = Non
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.set_threshold(200_000, 50, 100)  # tables of many small objects that live as long as the worker
         words = once("word_ids", name, lambda: WordIds(shared.value))
         ids, chunks, ends, size, block, part, first = [], [], [], 0, 0, 0, 0
 
@@ -146,7 +196,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str | None = Non
             for low in range(0, batch.num_rows, 128):
                 piece = batch.slice(low, 128)
                 part = piece.column(2)[0].as_py()
-                for doc, data in zip(piece.column(0).to_pylist(), words.encode([t or "" for t in piece.column(1).to_pylist()])):
+                for doc, data in zip(piece.column(0).to_pylist(), words.encode([t or b"" for t in piece.column(1).cast(pa.binary()).to_pylist()])):
                     chunks.append(data + end)
                     size += len(data) // 4 + 1
                     ids.append(doc)

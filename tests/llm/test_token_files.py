@@ -42,9 +42,9 @@ def test_words_alone_encode_like_whole_texts():
     with open(public_path("word_bpe_49k.json"), "rb") as f:
         words = token_files.WordIds(f.read())
     rng = random.Random(4)
-    parts = ["Don't", " ", "\n", "é", "ß", "́", "Σ", "ΣΑΣ", "<|endoftext|>", "12", "!!", "\x1c", "\x85", " ", "日本", "İ", "ing", "THE", "'ll", "\t"]
+    parts = ["Don't", " ", "\n", "é", "ß", "́", "Σ", "ΣΑΣ", "<|endoftext|>", "12", "!!", "\x1c", "\x85", " ", "日本", "İ", "ing", "THE", "'ll", "\t", "Ab.", "cD,", "À,", "x..", ",", ".", "ÿ."]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(500)]
-    for text, ids in zip(texts, words.encode(texts)):
+    for text, ids in zip(texts, words.encode([t.encode() for t in texts])):
         assert np.frombuffer(ids, "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
