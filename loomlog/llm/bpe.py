@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from loomlog.llm.common import id_and_text, map_arrow
 from loomlog.llm.tokenfiles import once, public_path, ranks_of, shared_file
 
-MEMO_PIECES, MEMO_CHARS, MAX_STATES, MAX_PAIRS = 250_000, 48, 80_000, 500_000
+MEMO_PIECES, MEMO_CHARS, MAX_STATES, MAX_PAIRS = 130_000, 48, 45_000, 250_000
 DECODE_STEP = 4096
 #: Unicode white space; \s of the regex library also takes the separators U+001C to U+001F.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
