@@ -4,12 +4,12 @@ Counts of all unigrams and bigrams of the training texts are summed exactly, in
 hash space. A count c has level 1 + floor(log_base c); an n-gram of level q is entered under
 levels 1 to q, and a probe climbs levels until one is missing, so a count is recovered up to its
 quantisation from repeated membership probes. Each level and segment has a bit array of its own,
-sized to its entries. The arrays are broadcast, so their total is bounded by FILTER_BYTES: if the
-lower levels do not fit, they are left out, their n-grams count as unseen and the mass they held
-goes to the backed-off share of their histories.
+sized to its entries. Filters of up to FILTER_BYTES are broadcast. A larger one stays in the shared
+folder, whole: texts are put into batches, the distinct n-grams of each batch are dealt to the
+filter's segments, probed there, and their levels dealt back to the batch. Scores are the same.
 
 p(w | v) = (1 - a) min(c(v, w), c(v)) / c(v) + a p(w), with a, by level of c(v), the share of
-bigram tokens after such histories that were seen once (Good and Turing) or are not held; p(w)
+bigram tokens after such histories that were seen once (Good and Turing); p(w)
 is (c(w) + 0.1) / (N + 0.1 (V + 1)) of the recovered count.
 """
 
@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ from loomlog.llm.common import id_and_text, map_arrow, written
 
 UNIGRAM_BASE, BIGRAM_BASE = 1.25, 2.0
 BITS_PER_ENTRY, PROBES = 8, 5
-#: Bounds of what is broadcast: each filter, and the exact unigram table (beyond it, counts are joined).
+#: Bounds of what is broadcast: each filter (beyond it, probes are dealt to its segments), and the exact unigram table (beyond it, counts are joined).
 FILTER_BYTES = {"unigram": 32 << 20, "bigram": 96 << 20}
 TABLE_BYTES = 96 << 20
 #: Tokens gathered in a task before they are counted and sent on.
@@ -121,10 +122,10 @@ def segment_of(hashes: np.ndarray, segments: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """What workers score with; its size is bounded by FILTER_BYTES."""
+    """What workers score with; filters larger than FILTER_BYTES are not in it."""
 
-    unigrams: LogFilter
-    bigrams: LogFilter
+    unigrams: LogFilter | None
+    bigrams: LogFilter | None
     backoff: np.ndarray
     tokens: int
     types: int
@@ -167,12 +168,94 @@ def _counted(docs: DataFrame, segments: int, filters=None) -> DataFrame:
                 hashes, first, counts = np.unique(mix(history, tokens), return_index=True, return_counts=True)
                 distinct, place = np.unique(history[first], return_inverse=True)
                 context = known.levels(distinct).astype(np.uint8)[place]
-            ends = np.searchsorted(segment_of(hashes, segments), np.arange(segments + 1))
-            own = [(s, a, b) for s, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a]
-            columns = [pa.array([s for s, _, _ in own], pa.int32()), *(pa.array([x[a:b].tobytes() for _, a, b in own], pa.binary()) for x in (hashes, counts.astype("<u4"), context))]
-            yield pa.record_batch(columns, names=["segment", "hashes", "counts", "context"])
+            yield pa.RecordBatch.from_pydict(_by_segment(segments, hashes=hashes, counts=counts.astype("<u4"), context=context), _PARTS_ARROW)
 
-    return map_arrow(docs, run, "segment int, hashes binary, counts binary, context binary")
+    return map_arrow(docs, run, _PARTS)
+
+
+_PARTS = "segment int, hashes binary, counts binary, context binary"
+_PARTS_ARROW = pa.schema([("segment", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary()), ("context", pa.binary())])
+
+
+def _by_segment(segments: int, hashes: np.ndarray, **others: np.ndarray) -> dict[str, list]:
+    """Sorted hashes, and what goes with them, cut into the segments that have any."""
+    ends = np.searchsorted(segment_of(hashes, segments), np.arange(segments + 1))
+    own = [(s, a, b) for s, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a]
+    return {"segment": [s for s, _, _ in own]} | {k: [x[a:b].tobytes() for _, a, b in own] for k, x in {"hashes": hashes, **others}.items()}
+
+
+def _past(distinct: np.ndarray, place: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The place among the distinct tokens of the token before each."""
+    past = np.empty_like(place)
+    past[1:] = place[:-1]
+    past[np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)] = np.searchsorted(distinct, np.uint64(END))
+    return past
+
+
+_BATCH = {"ids": np.int64, "nulls": np.bool_, "held": np.bool_, "text_hashes": np.int64, "lengths": np.int64, "distinct": np.uint64, "place": np.int32}
+
+
+def _batches(docs: DataFrame) -> DataFrame:
+    """Texts in batches of bounded size, one row each: their distinct tokens and the place of each token among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for k, (rows, tokens, lengths) in enumerate(_gathered(batches, BATCH_TOKENS)):
+            distinct, place = np.unique(tokens, return_inverse=True)
+            ids, held, texts = zip(*rows)
+            values = ([i or 0 for i in ids], [i is None for i in ids], held, texts, lengths, distinct, place)
+            yield pa.record_batch([pa.array([task << 32 | k], pa.int64()), *(pa.array([np.asarray(v).astype(t).tobytes()], pa.binary()) for v, t in zip(values, _BATCH.values()))], names=["batch", *_BATCH])
+
+    return written(map_arrow(_hashed(docs), run, "batch long, " + ", ".join(f"{c} binary" for c in _BATCH)))
+
+
+def _opened(value, names: tuple[str, ...]) -> list[np.ndarray]:
+    """Columns of one batch as arrays; value takes a column's name."""
+    return [np.frombuffer(value(c), _BATCH[c]) for c in names]
+
+
+def _probes(batches: DataFrame, segments: int, pairs: bool) -> DataFrame:
+    """(batch, segment, hashes): the distinct unigrams or bigrams of each batch, cut into segments."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in found:
+            for i in range(x.num_rows):
+                lengths, distinct, place = _opened(lambda c: x.column(c)[i].as_py(), ("lengths", "distinct", "place"))
+                hashes = np.unique(mix(distinct[_past(distinct, place, lengths)], distinct[place])) if pairs else distinct
+                cut = _by_segment(segments, hashes)
+                yield pa.record_batch([pa.array([x.column("batch")[i].as_py()] * len(cut["segment"]), pa.int64()), pa.array(cut["segment"], pa.int32()), pa.array(cut["hashes"], pa.binary())], names=["batch", "segment", "hashes"])
+
+    return map_arrow(batches.select("batch", "lengths", "distinct", "place"), run, "batch long, segment int, hashes binary")
+
+
+def _probed(probes: DataFrame, merged: DataFrame, base: float, pairs: bool) -> DataFrame:
+    """(batch, pairs, segment, levels): levels of the probes, looked up in the segments of a filter that is not broadcast."""
+
+    def run(asked: pd.DataFrame, bits: pd.DataFrame) -> pd.DataFrame:
+        bits = bits.sort_values("level")
+        own = LogFilter(base, 1, 1, bits["n"].to_numpy(np.int64).reshape(-1, 1), np.frombuffer(b"".join(bits["a"]), np.uint8))
+        levels = [own.levels(np.frombuffer(x, np.uint64)).astype(np.uint8).tobytes() for x in asked["hashes"]]
+        return pd.DataFrame({"batch": asked["batch"], "pairs": pairs, "segment": asked["segment"], "levels": levels})
+
+    held = merged.filter("kind = 'bits'").select("segment", "level", "n", "a")
+    return probes.groupBy("segment").cogroup(held.groupBy("segment")).applyInPandas(run, "batch long, pairs boolean, segment int, levels binary")
+
+
+def _joined_levels(found: pd.DataFrame, pairs: bool) -> np.ndarray:
+    return np.frombuffer(b"".join(found[found["pairs"] == pairs].sort_values("segment")["levels"]), np.uint8).astype(np.int64)
+
+
+def _counted_batches(batches: DataFrame, levels: DataFrame, segments: int) -> DataFrame:
+    """What _counted gives for bigrams, with the levels of histories from a filter that is not broadcast."""
+
+    def run(batch: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        held, lengths, distinct, place = _opened(lambda c: batch[c].iloc[0], ("held", "lengths", "distinct", "place"))
+        trains = np.repeat(~held, lengths)
+        past, place = _past(distinct, place, lengths)[trains], place[trains]
+        hashes, first, counts = np.unique(mix(distinct[past], distinct[place]), return_index=True, return_counts=True)
+        return pd.DataFrame(_by_segment(segments, hashes, counts=counts.astype("<u4"), context=_joined_levels(found, False)[past[first]].astype(np.uint8)))
+
+    return batches.select("batch", "held", "lengths", "distinct", "place").groupBy("batch").cogroup(levels.groupBy("batch")).applyInPandas(run, _PARTS)
 
 
 _MERGED = "segment int, kind string, level int, n long, m long, a binary, b binary"
@@ -204,23 +287,21 @@ def _merged(parts: DataFrame, base: float, table: bool) -> DataFrame:
     return parts.groupBy("segment").applyInPandas(run, _MERGED)
 
 
-def _filter(merged: DataFrame, base: float, segments: int, limit: int) -> LogFilter:
-    """The levels that fit the limit, from the top down, put together on the driver."""
+def _filter(merged: DataFrame, base: float, segments: int, limit: int) -> LogFilter | None:
+    """All levels put together on the driver; None if they do not fit the limit."""
     sizes = {r["level"]: r["bits"] for r in merged.filter("kind = 'bits'").groupBy("level").agg(F.sum("n").alias("bits")).collect()}
-    top, floor, used = max(sizes, default=0), max(sizes, default=0) + 1, 0
-    while floor > 1 and used + sizes[floor - 1] // 8 <= limit:
-        floor -= 1
-        used += sizes[floor] // 8
-    shape = np.zeros((max(top - floor + 1, 0), segments), np.int64)
-    held = merged.filter((F.col("kind") == "bits") & (F.col("level") >= floor))
+    if sum(sizes.values()) // 8 > limit:
+        return None
+    shape = np.zeros((max(sizes, default=0), segments), np.int64)
+    held = merged.filter("kind = 'bits'")
     for r in held.select("level", "segment", "n").collect():
-        shape[r["level"] - floor, r["segment"]] = r["n"]
+        shape[r["level"] - 1, r["segment"]] = r["n"]
     starts = np.concatenate(([0], np.cumsum(shape.ravel() // 8)))
     bits = np.zeros(int(starts[-1]), np.uint8)
     for r in held.select("level", "segment", "a").toLocalIterator():
-        at = starts[(r["level"] - floor) * segments + r["segment"]]
+        at = starts[(r["level"] - 1) * segments + r["segment"]]
         bits[at : at + len(r["a"])] = np.frombuffer(r["a"], np.uint8)
-    return LogFilter(base, segments, floor, shape, bits)
+    return LogFilter(base, segments, 1, shape, bits)
 
 
 def _table(merged: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -235,23 +316,60 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return id_and_text(df, id_col, text_col).select("doc_id", "text", (ids % 10 == 0).alias("held_out"))
 
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of the texts that are not held out, and the merged unigrams with their exact counts."""
+def _hashed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def train(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame | None, DataFrame | None]:
+    """The model of the texts that are not held out, and the merged unigrams with their exact counts.
+
+    If a filter is not in the model, also the batches of all texts and the levels of their n-grams in it.
+    """
     spark = docs.sparkSession
     segments = 1 << max(4, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     singles = written(_merged(_counted(docs, segments), UNIGRAM_BASE, table=True))
     size = singles.filter("kind = 'table'").agg(F.sum("n"), F.sum("m")).first()
     unigrams = _filter(singles, UNIGRAM_BASE, segments, FILTER_BYTES["unigram"])
-    pairs = written(_merged(_counted(docs, segments, spark.sparkContext.broadcast(unigrams)), BIGRAM_BASE, table=False))
+    batches = levels = None
+    if unigrams is None:
+        batches = _batches(docs)
+        levels = written(_probed(_probes(batches, segments, False), singles, UNIGRAM_BASE, False))
+    parts = _counted(docs, segments, spark.sparkContext.broadcast(unigrams)) if unigrams is not None else _counted_batches(batches, levels, segments)
+    pairs = written(_merged(parts, BIGRAM_BASE, table=False))
     bigrams = _filter(pairs, BIGRAM_BASE, segments, FILTER_BYTES["bigram"])
+    if bigrams is None:
+        batches = batches if batches is not None else _batches(docs)
+        own = _probed(_probes(batches, segments, True), pairs, BIGRAM_BASE, True)
+        levels = own if levels is None else levels.unionByName(own)
     backoff = np.ones(256)
     mass = np.zeros((256, 256))
     for r in pairs.filter("kind = 'mass'").groupBy("level", "n").agg(F.sum("m").alias("m")).collect():
         mass[r["level"], r["n"]] = r["m"]
     full = mass.sum(axis=1)
-    unseen = np.maximum(mass[:, 1], mass[:, : bigrams.floor].sum(axis=1))
-    backoff[full > 0] = np.clip(unseen[full > 0] / full[full > 0], 0.01, 1.0)
-    return Model(unigrams, bigrams, backoff, int(size[1] or 0), int(size[0] or 0)), singles
+    backoff[full > 0] = np.clip(mass[full > 0, 1] / full[full > 0], 0.01, 1.0)
+    return Model(unigrams, bigrams, backoff, int(size[1] or 0), int(size[0] or 0)), singles, batches, levels
+
+
+def _sums(lm: Model, exact, distinct: np.ndarray, place: np.ndarray, lengths, levels: np.ndarray, pair_levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """score, base_score and n_known of each text; levels go with the distinct tokens, pair_levels with the tokens."""
+    heads = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
+    past = _past(distinct, place, lengths)
+    counts = count_of(levels, UNIGRAM_BASE)
+    history = counts[past]
+    pairs = count_of(pair_levels, BIGRAM_BASE)
+    backed = lm.unigram(counts)[place]
+    share = np.where(history > 0, lm.backoff[levels[past]], 1.0)
+    chance = (1 - share) * np.minimum(pairs, history) / np.maximum(history, 1) + share * backed
+    score = np.add.reduceat(np.log10(chance), heads)
+    base = known = np.zeros(len(heads))
+    if exact is not None:
+        at = np.minimum(np.searchsorted(exact[0], distinct), max(len(exact[0]) - 1, 0))
+        own = np.where(exact[0][at] == distinct, exact[1][at], 0).astype(np.int64) if len(exact[0]) else np.zeros(len(distinct), np.int64)
+        base, known = np.add.reduceat(np.log10(lm.unigram(own))[place], heads), np.add.reduceat((own > 0)[place].astype(np.int64), heads)
+    return score, base, known.astype(np.int64)
+
+
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, text_hash long"
 
 
 def _scored(docs: DataFrame, model, table) -> DataFrame:
@@ -260,29 +378,32 @@ def _scored(docs: DataFrame, model, table) -> DataFrame:
         lm, exact = model.value, table.value if table is not None else None
         for rows, tokens, lengths in _gathered(batches, SCORE_TOKENS):
             distinct, place = np.unique(tokens, return_inverse=True)
-            heads = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
-            levels = lm.unigrams.levels(distinct)
-            counts = count_of(levels, UNIGRAM_BASE)
-            past = np.empty_like(place)
-            past[1:] = place[:-1]
-            past[heads] = np.searchsorted(distinct, np.uint64(END))
-            history = counts[past]
-            pairs = count_of(lm.bigrams.levels(mix(distinct[past], tokens)), BIGRAM_BASE)
-            backed = lm.unigram(counts)[place]
-            share = np.where(history > 0, lm.backoff[levels[past]], 1.0)
-            chance = (1 - share) * np.minimum(pairs, history) / np.maximum(history, 1) + share * backed
-            score = np.add.reduceat(np.log10(chance), heads)
-            base = known = np.zeros(len(rows))
-            if exact is not None:
-                at = np.minimum(np.searchsorted(exact[0], distinct), max(len(exact[0]) - 1, 0))
-                own = np.where(exact[0][at] == distinct, exact[1][at], 0).astype(np.int64) if len(exact[0]) else np.zeros(len(distinct), np.int64)
-                base, known = np.add.reduceat(np.log10(lm.unigram(own))[place], heads), np.add.reduceat((own > 0)[place].astype(np.int64), heads)
-            ids, held, *rest = zip(*rows)
-            columns = [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(lengths, pa.int64()), pa.array(known.astype(np.int64)), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rest[0], pa.int64())]
+            pair_levels = lm.bigrams.levels(mix(distinct[_past(distinct, place, lengths)], tokens))
+            score, base, known = _sums(lm, exact, distinct, place, lengths, lm.unigrams.levels(distinct), pair_levels)
+            ids, held, texts = zip(*rows)
+            columns = [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(lengths, pa.int64()), pa.array(known), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(texts, pa.int64())]
             yield pa.record_batch(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "text_hash"])
 
-    hashed = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return map_arrow(hashed, run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, text_hash long")
+    return map_arrow(_hashed(docs), run, _SCORED)
+
+
+def _scored_batches(batches: DataFrame, levels: DataFrame, model, table) -> DataFrame:
+    """What _scored gives, where a filter is not broadcast."""
+
+    def run(batch: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        lm, exact = model.value, table.value if table is not None else None
+        ids, nulls, held, texts, lengths, distinct, place = _opened(lambda c: batch[c].iloc[0], tuple(_BATCH))
+        pairs = mix(distinct[_past(distinct, place, lengths)], distinct[place])
+        if lm.bigrams is None:
+            _, of = np.unique(pairs, return_inverse=True)
+            pair_levels = _joined_levels(found, True)[of]
+        else:
+            pair_levels = lm.bigrams.levels(pairs)
+        own = _joined_levels(found, False) if lm.unigrams is None else lm.unigrams.levels(distinct)
+        score, base, known = _sums(lm, exact, distinct, place, lengths, own, pair_levels)
+        return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "held_out": held, "n_tokens": lengths, "n_known": known, "base_score": base, "score": score, "text_hash": texts}).assign(doc_id=lambda x: x["doc_id"].mask(nulls))
+
+    return batches.groupBy("batch").cogroup(levels.groupBy("batch")).applyInPandas(run, _SCORED)
 
 
 def _joined_base(docs: DataFrame, singles: DataFrame, tokens: int, types: int) -> DataFrame:
@@ -315,10 +436,11 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     and without a training text every probability is one.
     """
     spark, docs = df.sparkSession, _rows(df, id_col, text_col)
-    model, singles = train(docs)
+    model, singles, batches, levels = train(docs)
     shared = spark.sparkContext.broadcast(model)
     fits = 16 * model.types <= (TABLE_BYTES if table_bytes is None else table_bytes)
-    out = _scored(docs, shared, spark.sparkContext.broadcast(_table(singles)) if fits else None)
+    table = spark.sparkContext.broadcast(_table(singles)) if fits else None
+    out = _scored(docs, shared, table) if batches is None else _scored_batches(batches, levels, shared, table)
     if not fits:
         out = out.drop("base_score", "n_known").join(_joined_base(docs, singles, model.tokens, model.types), "text_hash")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -56,6 +56,18 @@ def test_floor_of_a_small_filter(spark, rows, monkeypatch):
     assert len(got) == len(rows) and all(r.score <= 0 and math.isfinite(r.score) for r in got)
 
 
+@pytest.mark.parametrize("limits", [{"unigram": 1 << 20, "bigram": 400}, {"unigram": 100, "bigram": 400}, {"unigram": 100, "bigram": 1 << 20}])
+def test_filters_that_do_not_fit_give_the_same_scores(spark, rows, monkeypatch, limits):
+    big = [*rows, (2**62 + 1, "W1 W2 W3 unheard"), (-(2**62) - 1, "W1 W2")]
+    key = lambda r: (r[0] is None, r[0] or 0, r)
+    want = sorted(map(tuple, lm.score_texts(documents(spark, big)).collect()), key=key)
+    monkeypatch.setattr(lm, "FILTER_BYTES", limits)
+    monkeypatch.setattr(lm, "BATCH_TOKENS", 500)
+    got = sorted(map(tuple, lm.score_texts(documents(spark, big)).collect()), key=key)
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert max(abs(a - b) for g, w in zip(got, want) for a, b in zip(g[5:], w[5:])) < 1e-6
+
+
 def test_filter_recovers_levels():
     rng = np.random.default_rng(3)
     hashes = np.unique(rng.integers(0, 2**64, 5000, np.uint64))
