@@ -90,6 +90,8 @@ class Items:
                         tables[b] |= _NEAR[values ^ np.uint16(self.items[at][3] >> 16 * b & 0xFFFF)].astype(kind) << kind(j)
                 self.groups.append((step, length, part, tables))
         self.longest = max((n for _, n, _, _ in self.items), default=0)
+        #: Stands behind the last text, so that every start in it has a window.
+        self.filler = np.random.default_rng(0).integers(0, 1 << 64, self.longest + 8, np.uint64)
 
     @staticmethod
     def fingerprint(grams: np.ndarray) -> int:
@@ -100,6 +102,7 @@ class Items:
 def candidates(grams: np.ndarray, items: Items) -> set[tuple[int, int]]:
     """(start, item) of windows whose fingerprint is within the radius of an item of their size."""
     found: set[tuple[int, int]] = set()
+    grams = np.concatenate((grams, items.filler))
     kind = np.uint8 if items.longest < 240 else np.uint32
     bits = np.unpackbits(grams.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     sums: dict[int, np.ndarray] = {}
@@ -142,7 +145,7 @@ def search(texts: list[str | None], items: Items) -> Iterator[tuple[int, int, fl
     grams = shingles(hashes)
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     tried: set[tuple[int, int]] = set()
-    short = {(int(bounds[k]), at) for k, (_, w) in enumerate(split) for at, item in enumerate(items.items) if len(w) - SHINGLE + 1 < item[1] <= (len(w) - SHINGLE + 1) / SIMILARITY}
+    short = {(int(bounds[k]), at) for k, (_, w) in enumerate(split) for at, item in enumerate(items.items) if len(w) - SHINGLE + 1 <= item[1] <= (len(w) - SHINGLE + 1) / SIMILARITY}
     for start, at in candidates(grams, items) | short:
         item_id, size, weights, _ = items.items[at]
         step = step_of(size)
@@ -168,7 +171,7 @@ def search(texts: list[str | None], items: Items) -> Iterator[tuple[int, int, fl
 def find_contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, similarity double, start_word long, n_words long), a row for each input row and item found in it.
 
-    A document shorter than an item is one window. Items and documents of fewer than five words,
+    A document no longer than an item is one window. Items and documents of fewer than five words,
     null and empty ones included, match nothing. Items with a null id are reported under null;
     repeated rows are reported each. Without an item, or without a document, the result is empty.
     """

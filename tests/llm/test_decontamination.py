@@ -77,3 +77,16 @@ def test_empty_tables(spark):
     assert d.find_contamination(documents(spark, []), bench).count() == 0
     assert d.find_contamination(documents(spark), bench.filter("false")).count() == 0
     assert d.clean_documents(documents(spark), bench.filter("false")).count() == len(AWKWARD)
+
+
+def test_item_of_any_length_alone_and_at_the_end(spark):
+    rng = random.Random(5)
+    words = [f"w{i}x{rng.randrange(10**6)}" for i in range(400)]
+    texts = [" ".join(words[i : i + i % 90 + 5]) for i in range(5, 95)]
+    for text in texts:
+        assert [f[2] for f in d.search([text], d.Items([(1, text)]))] == [1.0]
+    at_end = [(text, k) for text in texts for k in (4, 8) for _ in range(2)]
+    missed = [(len(t.split()), k) for t, k in at_end if not list(d.search(["lead " * 9, " ".join(corpus(rng, k)) + " " + t], d.Items([(1, t)])))]
+    assert not missed
+    bench = spark.createDataFrame([(1, texts[10])], "item_id long, text string")
+    assert d.find_contamination(spark.createDataFrame([(7, texts[10])], "doc_id long, text string"), bench).count() == 1
