@@ -197,33 +197,53 @@ def _passes(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield held
 
 
+def _found(texts: pa.Array, items: Items) -> Iterator[tuple]:
+    """(row, *what search finds in it), in rounds of bounded size."""
+    low = size = 0
+    lengths = [len(x.as_py() or "") for x in texts]
+    for i, n in enumerate(lengths):
+        size += n
+        if size >= 6 * BATCH_WORDS or i == len(lengths) - 1:
+            for k, *found in search(texts.slice(low, i + 1 - low).to_pylist(), items):
+                yield (low + k, *found)
+            low, size = i + 1, 0
+
+
 def _search_pass(docs: DataFrame, shared, schema: str) -> DataFrame:
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = once("items", key, lambda: Items(shared.value))
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            low = size = 0
-            lengths = [len(x.as_py() or "") for x in texts]
-            for i, n in enumerate(lengths):
-                size += n
-                if size >= 6 * BATCH_WORDS or i == len(lengths) - 1:
-                    rows = [(ids[low + k].as_py(), *found) for k, *found in search(texts.slice(low, i + 1 - low).to_pylist(), items)]
-                    if rows:
-                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["doc_id", "item_id", "similarity", "start_word", "n_words"])
-                    low, size = i + 1, 0
+            rows = [(batch.column(0)[k].as_py(), *found) for k, *found in _found(batch.column(1), items)]
+            if rows:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["doc_id", "item_id", "similarity", "start_word", "n_words"])
 
     return map_arrow(docs, run, schema)
 
 
+def _clean_pass(df: DataFrame, at: int, shared) -> DataFrame:
+    key = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = once("items", key, lambda: Items(shared.value))
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            clean[[k for k, *_ in _found(batch.column(at).cast(pa.string()), items)]] = False
+            yield batch.filter(pa.array(clean))
+
+    return map_arrow(df, run, df.schema)
+
+
 def clean_documents(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of df in whose text no item is found, all columns kept.
 
-    Rows are judged by id; a null id is judged like any other.
+    Each row is judged by its own text, whatever its id.
     """
-    hit = find_contamination(df, benchmark, id_col, text_col).select(F.col("doc_id").alias("_hit")).distinct()
-    return df.join(hit, F.col(f"`{id_col}`").eqNullSafe(F.col("_hit")), "left_anti")
+    out, at = df, df.columns.index(text_col)
+    for part in _passes(id_and_text(benchmark, "item_id")):
+        out = _clean_pass(out, at, df.sparkSession.sparkContext.broadcast(part))
+    return out
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

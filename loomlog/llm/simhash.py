@@ -54,14 +54,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(df: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long), one row per input row."""
+def fingerprints(df: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", keep_hash: bool = False) -> DataFrame:
+    """(doc_id, fp long), one row per input row; with keep_hash also text_hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], pa.int64())], names=["doc_id", "fp"])
+            found = pa.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], pa.int64())
+            yield pa.record_batch([batch.column(0), found, *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
 
-    return map_arrow(id_and_text(df, id_col, text_col), run, "doc_id long, fp long")
+    docs = id_and_text(df, id_col, text_col)
+    if keep_hash:
+        docs = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return map_arrow(docs, run, "doc_id long, fp long" + ", text_hash long" * keep_hash)
 
 
 def _mask(c: Column) -> Column:
@@ -97,6 +101,13 @@ def links(fps: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
     return pairs.unionByName(stars.distinct())
 
 
+def _labelled(fps: DataFrame) -> DataFrame:
+    """(fp, least id, label) of each fingerprint; label names its component."""
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    labels = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
+    return nodes.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+
 def near_duplicates(df: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp long, component_id), one row per input row.
 
@@ -105,24 +116,29 @@ def near_duplicates(df: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id
     least id (null if the component has no other); repeated rows stay. An empty table gives no rows.
     """
     fps = written(fingerprints(df, shingle, id_col, text_col))
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    labels = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
-    labelled = nodes.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    labelled = _labelled(fps)
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     return fps.join(labelled.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """Rows of df with the least id of each component, all columns kept; of rows with one id, one stays.
+    """One row of df of each component, the one with the least id, all columns kept.
 
-    Components of null ids only keep one row.
+    Null ids come after all others; of rows with the least id, the text's hash decides. Different
+    texts under one id, null included, are judged each by its own component.
     """
     names = df.columns
-    found = near_duplicates(df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), shingle)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_rows")).withColumnRenamed("doc_id", "_keep")
-    kept = df.join(keep, F.col(f"`{id_col}`").eqNullSafe(F.col("_keep")))
+    docs = id_and_text(df, id_col, text_col)
+    fps = written(fingerprints(docs, shingle, keep_hash=True))
+    keys = fps.groupBy("doc_id", "text_hash").agg(F.first("fp").alias("fp"), F.count("*").alias("n"))
+    # The least row of each fingerprint first, so that many copies of a text are no hot key of the join.
+    rows = keys.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "n")).alias("x"))
+    first = rows.join(_labelled(fps).select("fp", "label"), "fp").groupBy("label").agg(F.min("x").alias("x"))
+    keep = first.select(F.col("x.doc_id").alias("_doc"), F.col("x.text_hash").alias("_text"), F.col("x.n").alias("_rows"))
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_text"))
+    kept = df.withColumn("_hash", F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))).join(keep, same)
     once = kept.filter("_rows = 1").select(*names)
-    return once.unionByName(kept.filter("_rows > 1").select(*names).dropDuplicates([id_col]))
+    return once.unionByName(kept.filter("_rows > 1").dropDuplicates(["_doc", "_text"]).select(*names))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

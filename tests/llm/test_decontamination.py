@@ -90,3 +90,11 @@ def test_item_of_any_length_alone_and_at_the_end(spark):
     assert not missed
     bench = spark.createDataFrame([(1, texts[10])], "item_id long, text string")
     assert d.find_contamination(spark.createDataFrame([(7, texts[10])], "doc_id long, text string"), bench).count() == 1
+
+
+def test_clean_documents_judges_each_row_by_its_text(spark):
+    words = [f"w{i}" for i in range(40)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    rows = [(None, " ".join(words)), (None, "other text of more than five words"), (3, " ".join(words)), (3, "still other text of six words")]
+    clean = d.clean_documents(documents(spark, rows), bench)
+    assert sorted(r.text for r in clean.collect()) == sorted([rows[1][1], rows[3][1]])

@@ -88,3 +88,11 @@ def test_one_of_each(spark):
     assert kept.columns == documents(spark).columns
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 2, 5, 6, 7]
     assert simhash.one_of_each(documents(spark, [])).count() == 0
+
+
+def test_one_of_each_keeps_different_texts_under_one_id(spark):
+    rng = random.Random(4)
+    prose = [" ".join(f"{rng.choice('abcdef')}{rng.randrange(10**6)}" for _ in range(60)) for _ in range(8)]
+    rows = [(None, prose[0]), (None, prose[1]), (None, prose[2]), (None, prose[2]), (5, prose[3]), (5, prose[4]), (1, prose[4]), (None, prose[5]), (9, prose[5]), (5, None)]
+    kept = simhash.one_of_each(documents(spark, rows)).collect()
+    assert sorted(((r.doc_id or 0), r.text or "") for r in kept) == sorted([(0, prose[0]), (0, prose[1]), (0, prose[2]), (5, prose[3]), (1, prose[4]), (9, prose[5]), (5, "")])
