@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomlog.llm.tokenfiles import release
+
 #: Words are runs of characters other than ASCII white space.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
@@ -36,8 +39,22 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def map_arrow(df: DataFrame, fn: Callable, schema: str, holds: bool = False) -> DataFrame:
+    """mapInArrow; unless fn holds an object between tasks, workers first let go of what another stage built."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        return fn(batches)
+
+    return df.mapInArrow(fn if holds else run, schema)
+
+
+def texts_of(column: pa.Array) -> list[str]:
+    """Strings of a column, null as empty; bytes that are no UTF-8 become U+FFFD."""
+    try:
+        return [x or "" for x in column.to_pylist()]
+    except UnicodeDecodeError:
+        return [(x or b"").decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
 
 
 def dense_slots(df: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gc
 import os
 
 import public_tokenizers
@@ -27,11 +28,18 @@ def public_path(name: str) -> str:
 
 
 def once(kind: str, key, build):
-    """build() once in this worker process for the latest key of each kind."""
-    held = _built.get(kind)
-    if held is None or held[0] != key:
-        held = _built[kind] = (key, build())
-    return held[1]
+    """build() once in this worker process, which holds one object at a time: another kind or key takes its place."""
+    if (kind, key) not in _built:
+        release()
+        _built[kind, key] = build()
+    return _built[kind, key]
+
+
+def release() -> None:
+    """Let go of what an earlier stage built; Spark uses its workers again for the next one."""
+    if _built:
+        _built.clear()
+        gc.collect()
 
 
 def ranks_of(data: bytes) -> dict[bytes, int]:
