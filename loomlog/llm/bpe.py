@@ -12,15 +12,16 @@ from __future__ import annotations
 
 import codecs
 import gc
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from loomlog.llm.common import id_and_text, map_arrow
+from loomlog.llm.common import id_and_text, map_arrow, texts_of
 from loomlog.llm.tokenfiles import once, public_path, ranks_of, shared_file
 
 MEMO_PIECES, MEMO_CHARS, MAX_STATES, MAX_PAIRS = 130_000, 48, 45_000, 250_000
@@ -176,6 +177,7 @@ class Encoder(dict):
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
         self.ranks, self.machine, self.split, self.older = ranks, Transducer(ranks), splitter(pattern), {}
+        self.table = token_table(ranks)
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= MEMO_PIECES:  # what was used since the last turn stays within reach
@@ -192,8 +194,8 @@ class Encoder(dict):
             self[piece] = ids
         return ids
 
-    def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, self.split.findall(text or "")))
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, self.split.findall(text)))
 
 
 def decode_stream(chunks: Iterable[bytes], token_bytes: list[bytes]) -> Iterator[str]:
@@ -219,23 +221,38 @@ def token_table(ranks: dict[bytes, int]) -> list[bytes]:
     return table
 
 
+def _encoder(path: str, pattern: str, shared) -> Encoder:
+    gc.set_threshold(200_000, 50, 100)  # tables of many small objects that live as long as the stage
+    return once("bpe", (path, pattern), lambda: Encoder(ranks_of(shared.value), pattern))
+
+
+def _decoded(ids: bytes, table: list[bytes]) -> Iterator[str]:
+    step = 4 * DECODE_STEP
+    return decode_stream((ids[i : i + step] for i in range(0, len(ids), step)), table)
+
+
+def _by_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, so that what is made of them needs bounded memory beside one long text."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, 256):
+            yield batch.slice(low, 256)
+
+
 def encode_texts(df: DataFrame, ranks_path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens long, ids binary: little-endian unsigned 32-bit), one row per input row; null encodes as empty."""
-    import public_tokenizers
+    """(doc_id, n_tokens long, ids binary: little-endian unsigned 32-bit), one row per input row; null encodes as empty.
 
+    Bytes that are no UTF-8 count as U+FFFD.
+    """
     path, pattern = ranks_path or public_path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
     shared = shared_file(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.set_threshold(200_000, 50, 100)  # tables of many small objects that live as long as the worker
-        encoder = once("bpe", (path, pattern), lambda: Encoder(ranks_of(shared.value), pattern))
-        for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                ids = [encoder.encode(x.as_py()) for x in part.column(1)]
-                yield pa.record_batch([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+        encoder = _encoder(path, pattern, shared)
+        for part in _by_rows(batches):
+            ids = [encoder.encode(x) for x in texts_of(part.column(1))]
+            yield pa.record_batch([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
-    return map_arrow(id_and_text(df, id_col, text_col), run, "doc_id long, n_tokens long, ids binary")
+    return map_arrow(id_and_text(df, id_col, text_col), run, "doc_id long, n_tokens long, ids binary", holds=True)
 
 
 def decode_ids(df: DataFrame, ranks_path: str | None = None, ids_col: str = "ids", out: str = "text") -> DataFrame:
@@ -247,22 +264,37 @@ def decode_ids(df: DataFrame, ranks_path: str | None = None, ids_col: str = "ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = once("bpe_table", path, lambda: token_table(ranks_of(shared.value)))
-        step = 4 * DECODE_STEP
-        for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                ids = [x.as_py() or b"" for x in part.column(at)]
-                texts = ["".join(decode_stream((x[i : i + step] for i in range(0, len(x), step)), table)) for x in ids]
-                yield pa.record_batch([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out])
+        for part in _by_rows(batches):
+            texts = ["".join(_decoded(x.as_py() or b"", table)) for x in part.column(at)]
+            yield pa.record_batch([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return map_arrow(kept, run, f"{fields}, `{out}` string")
+    return map_arrow(kept, run, f"{fields}, `{out}` string", holds=True)
 
 
-def round_trip_digests(df: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoding and decoding each text."""
-    decoded = decode_ids(encode_texts(df, ranks_path, pattern), ranks_path)
-    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+def round_trip_digests(df: DataFrame, ranks_path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoding each text and decoding its ids.
+
+    Both directions run in one pass over the texts, in one worker per task; ids and decoded
+    texts are digested where they are made and never travel.
+    """
+    path, pattern = ranks_path or public_path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
+    shared = shared_file(df.sparkSession, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(path, pattern, shared)
+        for part in _by_rows(batches):
+            sizes, ids_digests, text_digests = [], [], []
+            for text in texts_of(part.column(1)):
+                ids, decoded = encoder.encode(text), hashlib.sha256()
+                for piece in _decoded(ids, encoder.table):
+                    decoded.update(piece.encode())
+                sizes.append(len(ids) // 4)
+                ids_digests.append(hashlib.sha256(ids).hexdigest())
+                text_digests.append(decoded.hexdigest())
+            yield pa.record_batch([part.column(0), pa.array(sizes, pa.int64()), pa.array(ids_digests, pa.string()), pa.array(text_digests, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return map_arrow(id_and_text(df, id_col, text_col), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", holds=True)
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

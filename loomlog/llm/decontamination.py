@@ -219,7 +219,7 @@ def _search_pass(docs: DataFrame, shared, schema: str) -> DataFrame:
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["doc_id", "item_id", "similarity", "start_word", "n_words"])
 
-    return map_arrow(docs, run, schema)
+    return map_arrow(docs, run, schema, holds=True)
 
 
 def _clean_pass(df: DataFrame, at: int, shared) -> DataFrame:
@@ -232,7 +232,7 @@ def _clean_pass(df: DataFrame, at: int, shared) -> DataFrame:
             clean[[k for k, *_ in _found(batch.column(at).cast(pa.string()), items)]] = False
             yield batch.filter(pa.array(clean))
 
-    return map_arrow(df, run, df.schema)
+    return map_arrow(df, run, df.schema, holds=True)
 
 
 def clean_documents(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

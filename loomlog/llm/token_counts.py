@@ -18,7 +18,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlog.llm.common import id_and_text, map_arrow
+from loomlog.llm.common import id_and_text, map_arrow, texts_of
 from loomlog.llm.tokenfiles import once, public_path
 
 MARK = "▁"
@@ -106,10 +106,10 @@ def count_tokens(df: DataFrame, model_path: str | None = None, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = once("pieces", path, lambda: PieceCounter(pieces.value))
         for batch in batches:
-            found = [counter.count(x.as_py()) for x in batch.column(1)]
+            found = [counter.count(x) for x in texts_of(batch.column(1))]
             yield pa.record_batch([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "n_tokens", "score"])
 
-    return map_arrow(id_and_text(df, id_col, text_col), run, "doc_id long, n_tokens long, score double")
+    return map_arrow(id_and_text(df, id_col, text_col), run, "doc_id long, n_tokens long, score double", holds=True)
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,5 +59,17 @@ def test_streaming_decoder_holds_unfinished_characters(ranks, library):
     assert "".join(bpe.decode_stream([np.array([10**6], "<u4").tobytes()], table)) == "�"
 
 
+def test_bytes_that_are_no_utf8(spark, library):
+    df = spark.range(1).selectExpr("id doc_id", "cast(unhex('61ff2062') as string) text")
+    row = bpe.round_trip_digests(df).first()
+    assert row.n_tokens == len(library.encode_ordinary("a\ufffd b")) and row.decoded_sha256 == hashlib.sha256("a\ufffd b".encode()).hexdigest()
+
+
+def test_steps_alone_give_the_same_digests(spark):
+    docs = documents(spark)
+    apart = bpe.decode_ids(bpe.encode_texts(docs)).selectExpr("doc_id", "n_tokens", "sha2(ids, 256) ids_sha256", "sha2(cast(text as binary), 256) decoded_sha256")
+    assert sorted(map(str, apart.collect())) == sorted(map(str, bpe.round_trip_digests(docs).collect()))
+
+
 def test_empty_table(spark):
     assert bpe.round_trip_digests(documents(spark, [])).count() == 0
