@@ -1,36 +1,39 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact check.
 
-Windows as long as each item slide over a document's five-word shingles. Their 64-bit
-fingerprints are split into four 16-bit blocks; two fingerprints within RADIUS = 15 bits agree
-in some block up to three bits, so tables of all block values within three bits of an item's
-find every item within the radius. Candidates are verified by weighted Jaccard similarity of
-shingle multisets, at each start near the window, with windows of exactly the item's length.
-
-Windows start at every STEPS-th word and their lengths are rounded to a multiple of that step,
-which moves fewer shingles than the radius allows; verification looks at every start between.
+Windows as long as each item, at every start, slide over a document's five-word shingles. Their
+64-bit fingerprints are split into four 16-bit blocks; two fingerprints within RADIUS = 19 bits
+agree in some block up to four bits, so posting lists of items by block value, read at every value
+within four bits, give every item within the radius. Candidates are verified by weighted Jaccard
+similarity of shingle multisets, the best window first.
+
+Two windows of n shingles with similarity t share at least 2 n t / (1 + t) of them, so windows
+with fewer shingles of items of their length are passed over unhashed; that loses nothing, and
+leaves hardly a window of a clean document.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from loomlog.llm.common import id_and_text, map_arrow
+from loomlog.llm.common import id_and_text, map_arrow, texts_of
 from loomlog.llm.tokenfiles import once
 
-SHINGLE, SIMILARITY, RADIUS, BLOCK_RADIUS = 5, 0.8, 15, 3
-#: Benchmark texts broadcast at once; a larger benchmark is searched in several passes.
-PASS_BYTES = 16 << 20
-#: Words of documents put together for one round of array operations.
-BATCH_WORDS = 1 << 16
+SHINGLE, SIMILARITY, RADIUS, BLOCK_RADIUS = 5, 0.8, 19, 4
+#: Benchmark texts broadcast at once; a larger benchmark is searched in several passes. Workers hold about five times as much.
+PASS_BYTES = 8 << 20
+#: Words of documents put together for one round of array operations, and windows hashed at once.
+BATCH_WORDS, WINDOWS = 1 << 16, 1 << 12
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
+#: All 16-bit values with up to BLOCK_RADIUS bits.
+_FLIPS = np.array([sum(1 << i for i in c) for k in range(BLOCK_RADIUS + 1) for c in combinations(range(16), k)], np.uint16)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -54,117 +57,152 @@ def shingles(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def step_of(length: int) -> int:
-    return 4 if length >= 24 else 2 if length >= 8 else 1
-
-
-def similarity(a: Counter, b: Counter) -> float:
-    """Weighted Jaccard similarity of two multisets."""
-    shared = sum((a & b).values())
-    return shared / (a.total() + b.total() - shared) if shared else 0.0
-
-
-_NEAR = np.bitwise_count(np.arange(1 << 16, dtype=np.uint16)) <= BLOCK_RADIUS
+def fingerprints(grams: np.ndarray, size: int) -> np.ndarray:
+    """SimHash of each window of `size` shingles."""
+    bits = np.unpackbits(grams.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    running = np.zeros((len(grams) + 1, 64), np.int32)
+    np.cumsum(bits, axis=0, dtype=np.int32, out=running[1:])
+    ones = running[size:] - running[:-size]
+    return np.packbits(2 * ones > size, axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def least_shared(window: int, item: int) -> int:
+    """Shingles that a window and an item must share for their similarity to reach SIMILARITY."""
+    return int(np.ceil(SIMILARITY * (window + item) / (1 + SIMILARITY) - 1e-9))
+
+
+class Blocks:
+    """Items of one length, listed by the value of each 16-bit block of their fingerprints."""
+
+    def __init__(self, members: np.ndarray, prints: np.ndarray):
+        self.members, self.prints = members, prints
+        self.lists = []
+        for b in range(4):
+            values = (prints >> np.uint64(16 * b)).astype(np.uint16)
+            order = np.argsort(values, kind="stable")
+            distinct, starts = np.unique(values[order], return_index=True)
+            self.lists.append((distinct, np.append(starts, len(order)), order))
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, member) pairs within the radius."""
+        found = []
+        for b, (distinct, starts, order) in enumerate(self.lists):
+            values = (prints >> np.uint64(16 * b)).astype(np.uint16)
+            step = max(1, (1 << 20) // min(len(distinct), len(_FLIPS)))
+            for low in range(0, len(values), step):
+                part = values[low : low + step]
+                if len(distinct) <= len(_FLIPS):
+                    window, place = np.nonzero(np.bitwise_count(part[:, None] ^ distinct) <= BLOCK_RADIUS)
+                else:
+                    wanted = part[:, None] ^ _FLIPS
+                    at = np.minimum(np.searchsorted(distinct, wanted), len(distinct) - 1)
+                    window, hit = np.nonzero(distinct[at] == wanted)
+                    place = at[window, hit]
+                counts = starts[place + 1] - starts[place]
+                inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                found.append(np.repeat(window + low, counts).astype(np.int64) << 32 | order[np.repeat(starts[place], counts) + inside])
+        pairs = np.unique(np.concatenate(found))
+        window, member = pairs >> 32, pairs & 0xFFFFFFFF
+        close = np.bitwise_count(prints[window] ^ self.prints[member]) <= RADIUS
+        return window[close], self.members[member[close]]
 
 
 class Items:
-    """Benchmark items by window length, with their block tables."""
+    """Benchmark items: their shingle multisets, block lists by length, and which lengths each shingle belongs to."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items, groups = [], defaultdict(list)
+        self.ids, self.sizes, self.weights, prints = [], [], [], []
         for item_id, text in items:
             grams = shingles(word_hashes(words_of(text)))
             if len(grams):
-                step = step_of(len(grams))
-                groups[step, max(step, step * round(len(grams) / step))].append(len(self.items))
-                self.items.append((item_id, len(grams), Counter(grams.tolist()), self.fingerprint(grams)))
-        self.groups = []
-        values = np.arange(1 << 16, dtype=np.uint16)
-        for (step, length), members in sorted(groups.items()):
-            for low in range(0, len(members), 64):
-                part = members[low : low + 64]
-                kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(part) <= 8 * t().nbytes)
-                tables = np.zeros((4, 1 << 16), kind)
-                for j, at in enumerate(part):
-                    for b in range(4):
-                        tables[b] |= _NEAR[values ^ np.uint16(self.items[at][3] >> 16 * b & 0xFFFF)].astype(kind) << kind(j)
-                self.groups.append((step, length, part, tables))
-        self.longest = max((n for _, n, _, _ in self.items), default=0)
-        #: Stands behind the last text, so that every start in it has a window.
-        self.filler = np.random.default_rng(0).integers(0, 1 << 64, self.longest + 8, np.uint64)
-
-    @staticmethod
-    def fingerprint(grams: np.ndarray) -> int:
-        ones = np.unpackbits(grams.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        return int(np.packbits(ones * 2 > len(grams), bitorder="little").view(np.uint64)[0])
-
-
-def candidates(grams: np.ndarray, items: Items) -> set[tuple[int, int]]:
-    """(start, item) of windows whose fingerprint is within the radius of an item of their size."""
-    found: set[tuple[int, int]] = set()
-    grams = np.concatenate((grams, items.filler))
-    kind = np.uint8 if items.longest < 240 else np.uint32
-    bits = np.unpackbits(grams.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    sums: dict[int, np.ndarray] = {}
-    for step, length, members, tables in items.groups:
-        if step not in sums:
-            n = len(grams) // step
-            block = bits[: n * step].reshape(n, step, 64)
-            total = block[:, 0].astype(kind)
-            for k in range(1, step):
-                total += block[:, k]
-            # Counters of a window never overflow their lane, so whole 64-bit words of lanes are added and subtracted.
-            running = np.zeros((n + 1, total.nbytes // 8 // max(n, 1)), np.uint64)
-            np.cumsum(total.view(np.uint64), axis=0, out=running[1:])
-            sums[step] = running
-        running, m = sums[step], length // step
-        if len(running) <= m:
-            continue
-        ones = (running[m:] - running[:-m]).view(kind)
-        prints = np.packbits((ones > length // 2).ravel(), bitorder="little").view(np.uint64)
-        parts = prints.view(np.uint16).reshape(-1, 4)
-        mask = tables[0].take(parts[:, 0])
-        for b in range(1, 4):
-            mask |= tables[b].take(parts[:, b])
-        live = np.flatnonzero(mask)
-        own, near_prints = mask[live], prints[live]
-        for j, at in enumerate(members):
-            near = np.flatnonzero(own & own.dtype.type(1 << j))
-            near = live[near[np.bitwise_count(near_prints[near] ^ np.uint64(items.items[at][3])) <= RADIUS]]
-            found.update((int(w) * step, at) for w in near)
-    return found
-
-
-def search(texts: list[str | None], items: Items) -> Iterator[tuple[int, int, float, int, int]]:
-    """(text index, item id, similarity, first word, words) of the best window of each contaminated (text, item)."""
+                self.ids.append(item_id)
+                self.sizes.append(len(grams))
+                self.weights.append(np.unique(grams, return_counts=True))
+                prints.append(fingerprints(grams, len(grams))[0])
+        sizes, own = np.unique(np.array(self.sizes, np.int64), return_inverse=True)
+        self.lengths, prints = sizes.tolist(), np.array(prints, np.uint64)
+        self.blocks = [Blocks(np.flatnonzero(own == g), prints[own == g]) for g in range(len(sizes))]
+        pairs = sorted({(g, w) for g, (grams, _) in zip(own.tolist(), self.weights) for w in grams.tolist()}, key=lambda x: (x[1], x[0]))
+        self.groups = np.array([g for g, _ in pairs], np.int32)
+        self.keys, starts = np.unique(np.array([w for _, w in pairs], np.uint64), return_index=True)
+        self.starts = np.append(starts, len(pairs))
+        #: Whether any shingle has these leading bits.
+        self.shift = np.uint64(64 - min(22, max(10, len(pairs).bit_length() + 4)))
+        self.some = np.zeros(1 << 64 - int(self.shift), bool)
+        self.some[(self.keys >> self.shift).astype(np.int64)] = True
+
+    def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, group): shingles that items of a group have."""
+        place = np.flatnonzero(self.some[(grams >> self.shift).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.keys, grams[place]), max(len(self.keys) - 1, 0))
+        known = self.keys[at] == grams[place]
+        place, at = place[known], at[known]
+        counts = self.starts[at + 1] - self.starts[at]
+        inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        return np.repeat(place, counts), self.groups[np.repeat(self.starts[at], counts) + inside]
+
+    def similarity(self, window: np.ndarray, item: int) -> float:
+        """Weighted Jaccard similarity of two shingle multisets."""
+        (own, n), (grams, counts) = self.weights[item], np.unique(window, return_counts=True)
+        at = np.minimum(np.searchsorted(own, grams), len(own) - 1)
+        shared = int(np.minimum(n[at], counts)[own[at] == grams].sum())
+        return shared / (len(window) + self.sizes[item] - shared)
+
+
+def dense_starts(places: np.ndarray, size: int, need: int, first: int, last: int) -> Iterator[tuple[int, int]]:
+    """Runs [low, high] of starts between first and last whose window of `size` has `need` of the places, in pieces of up to WINDOWS."""
+    tail = places[need - 1 :]
+    head = places[: len(tail)]
+    fits = tail - head < size
+    lows, highs = np.maximum(tail[fits] - size + 1, first), np.minimum(head[fits], last)
+    lows, highs = lows[lows <= highs], highs[lows <= highs]
+    if len(lows):
+        cut = np.flatnonzero(lows[1:] > np.maximum.accumulate(highs)[:-1] + 1) + 1
+        for run_low, run_high in zip(lows[np.append(0, cut)].tolist(), np.maximum.reduceat(highs, np.append(0, cut)).tolist()):
+            for low in range(run_low, run_high + 1, WINDOWS):
+                yield low, min(low + WINDOWS - 1, run_high)
+
+
+def search(texts: list[str], items: Items) -> Iterator[tuple[int, int, float, int, int]]:
+    """(text index, item id, similarity, first word, words) of the best window of each contaminated (text, item); of equal ones the first."""
     split = [(i, w) for i, w in ((i, words_of(t)) for i, t in enumerate(texts)) if len(w) >= SHINGLE]
-    if not split or not items.items:
+    if not split or not items.ids:
         return
-    hashes = word_hashes([x for _, w in split for x in w])
+    grams = shingles(word_hashes([x for _, w in split for x in w]))
     bounds = np.concatenate(([0], np.cumsum([len(w) for _, w in split])))
-    grams = shingles(hashes)
+    place, group = items.hits(grams)
+    doc = np.searchsorted(bounds, place, "right") - 1
+    inside = place <= bounds[doc + 1] - SHINGLE  # runs of words over the end of a text are none of its shingles
+    place, code = place[inside], group[inside].astype(np.int64) * len(split) + doc[inside]
+    order = np.argsort(code, kind="stable")
+    place, (codes, starts, counts) = place[order], np.unique(code[order], return_index=True, return_counts=True)
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
-    tried: set[tuple[int, int]] = set()
-    short = {(int(bounds[k]), at) for k, (_, w) in enumerate(split) for at, item in enumerate(items.items) if len(w) - SHINGLE + 1 <= item[1] <= (len(w) - SHINGLE + 1) / SIMILARITY}
-    for start, at in candidates(grams, items) | short:
-        item_id, size, weights, _ = items.items[at]
-        step = step_of(size)
-        for k in {int(np.searchsorted(bounds, min(max(p, 0), len(hashes) - 1), "right")) - 1 for p in (start - step, start, start + size // 2, start + size - 1)}:
-            first, last = int(bounds[k]), int(bounds[k + 1]) - SHINGLE + 1
-            low, high = max(first, start - step), min(max(first, last - size), start + step)
-            zone = grams[low : min(high + size, last)].tolist()
-            if sum(map(weights.__contains__, zone)) < SIMILARITY * size:
-                continue
-            for s in range(low, high + 1):
-                if (s, at) in tried:
-                    continue
-                tried.add((s, at))
-                window = grams[s : min(s + size, last)]
-                value = similarity(Counter(window.tolist()), weights)
+    for c, start, count in zip(codes.tolist(), starts.tolist(), counts.tolist()):
+        g, k = divmod(c, len(split))
+        first, n = int(bounds[k]), len(split[k][1]) - SHINGLE + 1
+        size = min(items.lengths[g], n)  # a text shorter than an item is one window
+        need = least_shared(size, items.lengths[g])
+        if count < need or need > size:
+            continue
+        tries = defaultdict(list)
+        for low, high in dense_starts(place[start : start + count], size, need, first, first + n - size):
+            windows, members = items.blocks[g].near(fingerprints(grams[low : high + size], size))
+            for item in np.unique(members).tolist():
+                known = np.isin(grams[low : high + size], items.weights[item][0])
+                held = np.concatenate(([0], np.cumsum(known)))
+                at = windows[members == item]
+                tries[item] += zip((held[at + size] - held[at]).tolist(), (-low - at).tolist())
+        for item, own in tries.items():
+            key, top = (split[k][0], items.ids[item]), (0.0, 0, 0)
+            for most, start_at in sorted(own, reverse=True):  # most shingles in common first
+                if most < need or most / (size + items.lengths[g] - most) < top[0]:
+                    break
+                value = items.similarity(grams[-start_at : -start_at + size], item)
                 if value >= SIMILARITY:
-                    key = (split[k][0], item_id)
-                    best[key] = max(best.get(key, (0.0, 0, 0)), (value, first - s, len(window) + SHINGLE - 1))
-    for (i, item_id), (value, start, n) in sorted(best.items()):
+                    top = max(top, (value, start_at + first, size + SHINGLE - 1))
+            if top[0]:
+                best[key] = max(best.get(key, top), top)
+    for (i, item_id), (value, start, n) in best.items():
         yield i, item_id, value, -start, n
 
 
@@ -197,14 +235,13 @@ def _passes(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield held
 
 
-def _found(texts: pa.Array, items: Items) -> Iterator[tuple]:
+def _found(column: pa.Array, items: Items) -> Iterator[tuple]:
     """(row, *what search finds in it), in rounds of bounded size."""
-    low = size = 0
-    lengths = [len(x.as_py() or "") for x in texts]
-    for i, n in enumerate(lengths):
-        size += n
-        if size >= 6 * BATCH_WORDS or i == len(lengths) - 1:
-            for k, *found in search(texts.slice(low, i + 1 - low).to_pylist(), items):
+    texts, low, size = texts_of(column), 0, 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= 6 * BATCH_WORDS or i == len(texts) - 1:
+            for k, *found in search(texts[low : i + 1], items):
                 yield (low + k, *found)
             low, size = i + 1, 0
 
