@@ -138,19 +138,31 @@ def read_build(spark: SparkSession, out: str) -> dict[str, DataFrame]:
     return {name: spark.read.schema(StructType.fromJson(schemas[name])).parquet(f"{out}/build={stamp['build_id']}/{name}") for name in TABLES}
 
 
-def _publish(spark: SparkSession, path: str, out: str, build: str, schemas: str, days: int | str = 0, as_of: str | None = None, glob: str = GLOB) -> None:
-    """The manifest, then the stamp, written last: readers see whole builds only."""
+def _publish(spark: SparkSession, path: str, out: str, build: str, schemas: str, days: int | str = 0, as_of: str | None = None, glob: str = GLOB, project_map: DataFrame | None = None) -> None:
+    """The manifest and the project map, then the stamp, written last: readers see whole builds only."""
     list_files(spark, path, glob).select("file_path", "modified").write.parquet(f"{out}/build={build}/manifest")
-    spark.createDataFrame([(build, path, schemas, str(days), as_of)], "build_id string, source string, schemas string, days string, as_of string").withColumn("built_at", F.current_timestamp()).write.mode("append").parquet(f"{out}/build_meta")
+    if project_map is not None:
+        project_map.select("cwd", "project_name").write.parquet(f"{out}/build={build}/project_map")
+    stamp = [(build, path, schemas, str(days), as_of, glob, project_map is not None)]
+    spark.createDataFrame(stamp, "build_id string, source string, schemas string, days string, as_of string, glob string, has_map boolean").withColumn("built_at", F.current_timestamp()).write.mode("append").parquet(f"{out}/build_meta")
+
+
+def windowed(log: DataFrame, days: int | str, as_of: str | None) -> DataFrame:
+    """Records within a retention window."""
+    if days == 0:
+        return log
+    return within_days(log.withColumn("_ts", F.col("timestamp").try_cast("timestamp")), days, as_of, "_ts").drop("_ts")
 
 
 def materialize(spark: SparkSession, path: str, out: str, days: int | str = 0, as_of: str | None = None, project_map: DataFrame | None = None, reuse: bool = True, glob: str = GLOB) -> dict[str, DataFrame]:
-    """Write all relations of the logs below path to a new build and publish it; an existing build is reused."""
+    """Write all relations of the logs below path to a new build and publish it; an existing build is reused.
+
+    A window without as_of counts from now; the stamp keeps that time.
+    """
     if not (reuse and build_meta(spark, out) is not None):
-        log = read_log(spark, path, glob=glob)
-        if days != 0:
-            log = within_days(log.withColumn("_ts", F.col("timestamp").try_cast("timestamp")), days, as_of, "_ts").drop("_ts")
+        if days != 0 and as_of is None:
+            as_of = str(spark.sql("SELECT current_timestamp()").first()[0])
         build = uuid.uuid4().hex
-        schemas = write_tables(Relations(log, project_map), f"{out}/build={build}")
-        _publish(spark, path, out, build, schemas, days, as_of, glob)
+        schemas = write_tables(Relations(windowed(read_log(spark, path, glob=glob), days, as_of), project_map), f"{out}/build={build}")
+        _publish(spark, path, out, build, schemas, days, as_of, glob, project_map)
     return read_build(spark, out)

@@ -10,9 +10,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from loomlog.functions.pricing import rates as default_rates
 from loomlog.functions.pricing import RATE_COLUMNS, cost_expr
-from loomlog.plans.relations import BUCKETS, TABLES, Relations, _publish, build_meta, materialize, read_build, session_bucket, write_tables
+from loomlog.plans.relations import BUCKETS, TABLES, Relations, _publish, build_meta, materialize, read_build, session_bucket, windowed, write_tables
 from loomlog.sources.logs import GLOB, changed_files, list_files, read_log
 from loomlog.sources.schemas import READ_SCHEMA
+from loomlog.sources.scratch import scratch_folder
 
 
 def stream_log(spark: SparkSession, path: str, schema: str = READ_SCHEMA, max_files: int = 1000, glob: str = GLOB) -> DataFrame:
@@ -82,47 +83,68 @@ def stream_into(stream: DataFrame, out: str, key: str = "message_id", order: str
     return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
 
 
-def refresh(spark: SparkSession, path: str, out: str, project_map: DataFrame | None = None) -> bool:
-    """Bring the relations below out up to date with the logs below path; False if no file changed.
+def _window(stamp) -> int | str:
+    """The retention window that a build was made with."""
+    return int(stamp["days"]) if stamp["days"].lstrip("-").isdigit() else stamp["days"]
 
-    Sessions of changed files, and sessions that share a message or tool id with them before or
-    after the change, decide which session buckets are computed again; the others are copied to
-    the new build, which is published as a whole.
+
+def refresh(spark: SparkSession, path: str, out: str, project_map: DataFrame | None = None, as_of: str | None = None) -> bool:
+    """Bring the relations below out up to date with the logs below path; False if there was nothing to do.
+
+    The build's own file pattern, retention window and project map hold on. Sessions of changed
+    files, and sessions that share a message or tool id with them before or after the change,
+    decide which session buckets are computed again; the others are copied to the new build,
+    which is published as a whole. A later as_of of a build with a window, or another project
+    map, touches any session: then all is built anew. If the pattern matches no file any more
+    though the build had some, FileNotFoundError is raised and the old build stays.
     """
-    if build_meta(spark, out) is None:
-        materialize(spark, path, out, project_map=project_map)
+    meta = build_meta(spark, out)
+    if meta is None:
+        materialize(spark, path, out, as_of=as_of, project_map=project_map)
         return True
-    old = read_build(spark, out)
-    build = build_meta(spark, out).first()["build_id"]
-    changes = changed_files(list_files(spark, path), spark.read.parquet(f"{out}/build={build}/manifest"))
-    names = changes.select(F.regexp_replace("file_path", "^file:/+", "file:///").alias("file_path"))
+    stamp, old = meta.first(), read_build(spark, out)
+    days, glob, held = _window(stamp), stamp["glob"], f"{out}/build={stamp['build_id']}"
+    files, manifest = list_files(spark, path, glob), spark.read.parquet(f"{held}/manifest")
+    if files.isEmpty() and not manifest.isEmpty():
+        raise FileNotFoundError(f"no file below {path} matches {glob}; the build stays as it is")
+    known_map = spark.read.parquet(f"{held}/project_map") if stamp["has_map"] else None
+    new_map = project_map is not None and (known_map is None or _differ(project_map.select("cwd", "project_name"), known_map))
+    if new_map or days != 0 and as_of is not None and as_of != stamp["as_of"]:
+        materialize(spark, path, out, days, as_of or stamp["as_of"], project_map if new_map else known_map, reuse=False, glob=glob)
+        return True
+    plain = F.regexp_replace("file_path", "^file:/+", "file:///").alias("file_path")
+    names = changed_files(files, manifest).select(plain)
     if names.isEmpty():
         return False
-    fresh = Relations(read_log(spark, path).withColumn("file_path", F.regexp_replace("file_path", "^file:/+", "file:///")), project_map)
-    before = old["raw_messages"].withColumn("file_path", F.regexp_replace("file_path", "^file:/+", "file:///"))
-    both = [before, fresh.raw_messages]
-    sessions = None
-    for rows in both:
-        own = rows.join(F.broadcast(names), "file_path", "left_semi").select("session_id").distinct()
-        sessions = own if sessions is None else sessions.unionByName(own).distinct()
+    log = read_log(spark, path, glob=glob).withColumn("file_path", plain)
+    fresh = Relations(windowed(log, days, stamp["as_of"]), known_map)
+    both = [old["raw_messages"].withColumn("file_path", plain), fresh.raw_messages]
+    # The keys that link sessions, of both sides, read once and small; each step over them is written.
+    keys = [rows.select("file_path", "session_id", F.col("message.id").alias("message"), "uuid") for rows in both]
+    keys = _stored(keys[0].unionByName(keys[1]).distinct())
+    calls = [r.select("session_id", "tool_use_id") for r in (old["tool_calls"], fresh.tool_calls)]
+    calls = _stored(calls[0].unionByName(calls[1]).filter("tool_use_id is not null").distinct())
+    sessions = _stored(keys.join(names, "file_path", "left_semi").select("session_id").distinct())
     # A changed session may own, or lose, the first copy of a message or a call's result of another session.
-    for column in ("message.id", "uuid"):
-        ids = None
-        for rows in both:
-            part = rows.join(sessions, "session_id", "left_semi").select(F.col(column).alias("_id")).filter("_id is not null").distinct()
-            ids = part if ids is None else ids.unionByName(part).distinct()
-        for rows in both:
-            linked = rows.select("session_id", F.col(column).alias("_id")).join(ids, "_id", "left_semi").select("session_id").distinct()
-            sessions = sessions.unionByName(linked).distinct()
-    call_ids = [r.tool_calls.join(sessions, "session_id", "left_semi").select("tool_use_id") for r in (fresh,)] + [old["tool_calls"].join(sessions, "session_id", "left_semi").select("tool_use_id")]
-    shared = call_ids[0].unionByName(call_ids[1]).distinct()
-    for calls in (fresh.tool_calls, old["tool_calls"]):
-        sessions = sessions.unionByName(calls.join(shared, "tool_use_id", "left_semi").select("session_id").distinct()).distinct()
+    for table, column in ((keys, "message"), (keys, "uuid"), (calls, "tool_use_id")):
+        linked = table.select("session_id", F.col(column).alias("_id")).filter("_id is not null")
+        ids = linked.join(sessions, "session_id", "left_semi").select("_id").distinct()
+        sessions = _stored(sessions.unionByName(linked.join(ids, "_id", "left_semi").select("session_id")).distinct())
     touched = [r[0] for r in sessions.select(session_bucket().alias("b")).distinct().collect()]  # at most BUCKETS numbers
     new = f"{out}/build={uuid.uuid4().hex}"
     schemas = write_tables(fresh, new, mode="append", only=F.col("session_bucket").isin(touched))
     for name in TABLES:
         kept = old[name].filter(~F.col("session_bucket").isin(touched))
         kept.write.mode("append").partitionBy("session_bucket").parquet(f"{new}/{name}")
-    _publish(spark, path, out, new.rpartition("build=")[2], schemas)
+    _publish(spark, path, out, new.rpartition("build=")[2], schemas, days, stamp["as_of"], glob, known_map)
     return True
+
+
+def _differ(a: DataFrame, b: DataFrame) -> bool:
+    return not (a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty())
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    folder = scratch_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -1,11 +1,12 @@
-import json
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomlog.functions.pricing import rates
 from loomlog.operators.cost import session_cost
 from loomlog.plans import relations as plans
-from loomlog.sources.logs import read_log
+from loomlog.sources.logs import changed_files, list_files, read_log
 from loomlog.streaming import stream as st
 from tests import logs
 from tests.logs import assistant, sample, text, user
@@ -72,3 +73,47 @@ def test_refresh(spark, tmp_path):
         assert sorted(map(str, a.select(common).collect())) == sorted(map(str, b.select(common).collect())), name
     spent = {r.session_id: r.cost_usd for r in session_cost(built["assistant_message_costs"], rates(spark)).collect()}
     assert spent["s3"] == 5.0 and "s2" not in spent
+
+
+def only(built, name="logical_sessions"):
+    return sorted(r.session_id for r in built[name].collect())
+
+
+def test_refresh_keeps_window_pattern_and_project_map(spark, tmp_path):
+    out, folder = str(tmp_path / "out"), tmp_path / "p"
+    old = assistant("o1", [text("x")], session="old", ts="2025-11-01T00:00:00Z")
+    new = assistant("n1", [text("x")], session="new", ts="2026-01-02T00:00:00Z")
+    path = logs.write(folder, [old, new], name="a.ndj")
+    logs.write(folder, [new | {"sessionId": "other"}], name="b.jsonl")
+    names = spark.createDataFrame([("/tmp/test", "Named")], "cwd string, project_name string")
+    built = plans.materialize(spark, path, out, days=10, as_of="2026-01-05 00:00:00", project_map=names, glob="*.ndj")
+    assert only(built) == ["new"]
+    assert not st.refresh(spark, path, out)
+    logs.write(folder, [old | {"sessionId": "older", "uuid": "o2"}, new | {"sessionId": "next", "uuid": "n2"}], name="c.ndj")
+    assert st.refresh(spark, path, out)
+    built = plans.read_build(spark, out)
+    assert only(built) == ["new", "next"] and {r.project for r in built["logical_sessions"].collect()} == {"Named"}
+    stamp = plans.build_meta(spark, out).first()
+    assert (stamp.days, stamp.as_of, stamp.glob, stamp.has_map) == ("10", "2026-01-05 00:00:00", "*.ndj", True)
+    assert st.refresh(spark, path, out, as_of="2026-01-20 00:00:00") and only(plans.read_build(spark, out)) == []
+    renamed = spark.createDataFrame([("/tmp/test", "Other")], "cwd string, project_name string")
+    assert st.refresh(spark, path, out, as_of="2026-01-05 00:00:00", project_map=renamed)
+    assert {r.project for r in plans.read_build(spark, out)["logical_sessions"].collect()} == {"Other"}
+
+
+def test_refresh_of_grown_and_deleted_files(spark, tmp_path):
+    out, folder = str(tmp_path / "out"), tmp_path / "p"
+    path = logs.write(folder, [assistant("a", [text("x")], session="s1")], name="s1.jsonl")
+    logs.write(folder, [assistant("b", [text("x")], session="s2")], name="s2.jsonl")
+    st.refresh(spark, path, out)
+    logs.write(folder, [assistant("a", [text("x")], session="s1"), assistant("c", [text("y")], session="s1")], name="s1.jsonl")
+    os.utime(folder / "s1.jsonl", (2_000_000_000, 2_000_000_000))
+    (folder / "s2.jsonl").unlink()
+    changes = changed_files(list_files(spark, path), spark.read.parquet(f"{out}/build={plans.build_meta(spark, out).first().build_id}/manifest"))
+    assert sorted((r.file_path.rpartition("/")[2], r.change) for r in changes.collect()) == [("s1.jsonl", "changed"), ("s2.jsonl", "gone")]
+    assert st.refresh(spark, path, out)
+    assert [(r.session_id, r.assistant_messages) for r in plans.read_build(spark, out)["logical_sessions"].collect()] == [("s1", 2)]
+    (folder / "s1.jsonl").unlink()
+    with pytest.raises(FileNotFoundError):
+        st.refresh(spark, path, out)
+    assert only(plans.read_build(spark, out)) == ["s1"]
