@@ -29,16 +29,29 @@ def rates(spark: SparkSession, rows=DEFAULT_RATES) -> DataFrame:
     return spark.createDataFrame(rows, "prefix string, input double, cache_write_5m double, cache_write_1h double, cache_read double, output double")
 
 
+#: Rate rows up to which prefixes are matched by one expression.
+MAX_INLINE_RATES = 500
+
+
 def with_rates(df: DataFrame, rate_table: DataFrame) -> DataFrame:
     """Add r_<rate> columns by the longest prefix of `model`; null, empty and unknown models get zeros.
 
-    Prefixes are matched against the distinct models only, so the rows meet an equality join.
+    A rate table is a handful of rows, which become an expression; a longer one is matched
+    against the distinct models, so that the rows meet an equality join.
     """
-    known = rate_table.select("prefix", F.struct(*RATE_COLUMNS).alias("_rate"))
-    models = df.select("model").filter("model <> ''").distinct()
-    matched = models.join(F.broadcast(known), F.col("model").startswith(F.col("prefix"))).groupBy("model").agg(F.max_by("_rate", F.length("prefix")).alias("_rate"))
-    joined = df.join(matched, "model", "left")
-    return joined.select(*[df[c] for c in df.columns], *[F.coalesce(F.col(f"_rate.{c}"), F.lit(0.0)).alias(f"r_{c}") for c in RATE_COLUMNS])
+    rows = rate_table.select("prefix", *RATE_COLUMNS).limit(MAX_INLINE_RATES + 1).collect()
+    if len(rows) > MAX_INLINE_RATES:
+        known = rate_table.select("prefix", F.struct(*RATE_COLUMNS).alias("_rate"))
+        models = df.select("model").filter("model <> ''").distinct()
+        matched = models.join(known, F.col("model").startswith(F.col("prefix"))).groupBy("model").agg(F.max_by("_rate", F.length("prefix")).alias("_rate"))
+        joined = df.join(matched, "model", "left")
+        return joined.select(*[df[c] for c in df.columns], *[F.coalesce(F.col(f"_rate.{c}"), F.lit(0.0)).alias(f"r_{c}") for c in RATE_COLUMNS])
+    rows = sorted((r for r in rows if r["prefix"]), key=lambda r: (-len(r["prefix"]), r["prefix"]))
+    place = F.lit(0)
+    for i, row in reversed(list(enumerate(rows, 1))):
+        place = F.when(F.col("model").startswith(row["prefix"]), i).otherwise(place)
+    rate = lambda c: F.coalesce(F.element_at(F.array(F.lit(0.0), *[F.lit(r[c]).cast("double") for r in rows]), F.col("_rate") + 1), F.lit(0.0))
+    return df.withColumn("_rate", place).withColumns({f"r_{c}": rate(c) for c in RATE_COLUMNS}).drop("_rate")
 
 
 def billed_5m() -> Column:

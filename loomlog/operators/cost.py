@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomlog.functions.pricing import RATE_COLUMNS, cost_expr, priced, with_rates
 from loomlog.functions.text import BUILT_IN_COMMANDS, bucket_expr, category_expr
 from loomlog.operators.relations import blocks
+from loomlog.sources.scratch import stored
 
 PARETO_CUTOFF = 0.80
 HUGE_READ_TOKENS, HUGE_READ_SHARE = 100_000, 0.10
@@ -120,7 +121,8 @@ def bloat_buckets(attribution: DataFrame, rates: DataFrame, top: int | None = TO
     grown = attributed(attribution, rates).filter("cache_creation_tokens > 0")
     first = F.struct("write_cost_usd", -F.unix_micros("timestamp"))
     out = grown.groupBy("bucket", "category", "agent").agg(F.sum("cache_creation_tokens").alias("tokens"), F.sum("write_cost_usd").alias("cost_usd"), F.max_by("uuid", first).alias("top_uuid"), F.max("write_cost_usd").alias("top_cost_usd"))
-    total = grown.agg(F.sum("cache_creation_tokens").alias("_all"))
+    out = stored(out)  # a row for each cause, read for the total and for the shares
+    total = out.agg(F.sum("tokens").alias("_all"))
     out = out.crossJoin(F.broadcast(total)).withColumn("pct", 100.0 * F.col("tokens") / F.col("_all")).drop("_all")
     return out if top is None else out.orderBy(F.col("cost_usd").desc(), "bucket", "agent").limit(top)
 
@@ -157,8 +159,17 @@ def binary_split(session_costs: DataFrame, flags: DataFrame) -> DataFrame:
     own = flags.groupBy("session_id").agg(F.max("flag").alias("_f"))
     rows = session_costs.join(own, "session_id", "left").select(F.coalesce("_f", F.lit(False)).alias("flag"), F.coalesce("cost_usd", F.lit(0.0)).alias("cost_usd"))
     grouped = sides.join(rows.groupBy("flag").agg(F.count("*").alias("sessions"), F.sum("cost_usd").alias("cost_usd")), "flag", "left").fillna(0, ["sessions", "cost_usd"])
-    all_ = F.sum("cost_usd").over(Window.partitionBy())
-    return grouped.select("flag", "sessions", "cost_usd", F.when(F.col("sessions") > 0, F.col("cost_usd") / F.col("sessions")).otherwise(0.0).alias("mean_usd"), F.when(all_ > 0, 100.0 * F.col("cost_usd") / all_).otherwise(0.0).alias("pct_cost"))
+    return _shares(grouped, Window.partitionBy()).select(*_SHARES)
+
+
+_SHARES = ["flag", "sessions", "cost_usd", "mean_usd", "pct_cost"]
+
+
+def _shares(sides: DataFrame, whole) -> DataFrame:
+    """Both sides of splits with mean and share of cost; a split is two rows."""
+    all_ = F.sum("cost_usd").over(whole)
+    mean = F.when(F.col("sessions") > 0, F.col("cost_usd") / F.col("sessions")).otherwise(0.0)
+    return sides.withColumns({"mean_usd": mean, "pct_cost": F.when(all_ > 0, 100.0 * F.col("cost_usd") / all_).otherwise(0.0)})
 
 
 def flag_subagent(costs: DataFrame, calls: DataFrame) -> DataFrame:
@@ -169,9 +180,17 @@ def flag_subagent(costs: DataFrame, calls: DataFrame) -> DataFrame:
 
 def flag_huge_reads(attribution: DataFrame, session_costs: DataFrame, rates: DataFrame, min_tokens: int = HUGE_READ_TOKENS, min_share: float = HUGE_READ_SHARE) -> DataFrame:
     """Sessions whose cache writes for reads are many tokens and a fair share of the session's cost."""
-    read = attributed(attribution, rates).filter("category = 'Read' and cache_creation_tokens <> 0").groupBy("session_id").agg(F.sum("cache_creation_tokens").alias("tokens"), F.sum("write_cost_usd").alias("read_usd"))
+    return _read_writes(attribution, rates).join(session_costs, "session_id", "left").select("session_id", _is_huge(min_tokens, min_share).alias("flag"))
+
+
+def _read_writes(attribution: DataFrame, rates: DataFrame) -> DataFrame:
+    read = attributed(attribution, rates).filter("category = 'Read' and cache_creation_tokens <> 0")
+    return read.groupBy("session_id").agg(F.sum("cache_creation_tokens").alias("tokens"), F.sum("write_cost_usd").alias("read_usd"))
+
+
+def _is_huge(min_tokens: int, min_share: float):
     share = F.when(F.col("cost_usd") > 0, F.col("read_usd") / F.col("cost_usd")).otherwise(0.0)
-    return read.join(session_costs, "session_id", "left").select("session_id", ((F.col("tokens") >= min_tokens) & (share >= min_share)).alias("flag"))
+    return (F.col("tokens") >= min_tokens) & (share >= min_share)
 
 
 def flag_skill(commands: DataFrame) -> DataFrame:
@@ -183,12 +202,13 @@ def pareto(session_costs: DataFrame, cutoff: float = PARETO_CUTOFF, partitions:
     """Sessions of positive cost, dearest first, with running sums; in_pareto up to and with the row that reaches the cutoff.
 
     A prefix sum in two phases: range partitions by (cost descending, id) are summed, then each
-    adds what stands before it, so no window spans all rows. Bounds and rows come from the same
-    sorted order, so a partition that is computed again has the same rows.
+    adds what stands before it, so no window spans all rows. The partitions are written once, so
+    that both phases read the same rows.
     """
     spark = session_costs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    laid = session_costs.filter("cost_usd > 0").select("session_id", "cost_usd").repartitionByRange(n, F.col("cost_usd").desc(), "session_id").withColumn("_part", F.spark_partition_id()).persist()
+    laid = session_costs.filter("cost_usd > 0").select("session_id", "cost_usd").repartitionByRange(n, F.col("cost_usd").desc(), "session_id").withColumn("_part", F.spark_partition_id())
+    laid = stored(laid)
     sums = laid.groupBy("_part").agg(F.sum("cost_usd").alias("_sum"))
     order = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select("_part", F.coalesce(F.sum("_sum").over(order), F.lit(0.0)).alias("_before"), F.sum("_sum").over(Window.partitionBy()).alias("grand_total"))
@@ -201,13 +221,15 @@ def pareto(session_costs: DataFrame, cutoff: float = PARETO_CUTOFF, partitions:
 
 def cost_portfolio(costs: DataFrame, msgs: DataFrame, calls: DataFrame, commands: DataFrame, rates: DataFrame, window: tuple | None = None) -> DataFrame:
     """The three splits of one window: cost and huge reads are those of the window, sub-agents and skills of all time."""
-    scoped = session_cost(costs, rates, window)
-    flags = {"subagent": flag_subagent(costs, calls), "huge_reads": flag_huge_reads(cost_attribution(costs, msgs, calls, window), scoped, rates), "skill": flag_skill(commands)}
-    out = None
-    for name, flag in flags.items():
-        part = binary_split(scoped, flag).select(F.lit(name).alias("split"), "*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    spark, scoped = costs.sparkSession, session_cost(costs, rates, window)
+    read = _read_writes(cost_attribution(costs, msgs, calls, window), rates)
+    side, skill = (f.select("session_id", F.lit(True).alias(name)) for f, name in ((flag_subagent(costs, calls), "_side"), (flag_skill(commands), "_skill")))
+    rows = scoped.join(read, "session_id", "left").join(side, "session_id", "left").join(skill, "session_id", "left")
+    flags = {"subagent": F.col("_side"), "huge_reads": _is_huge(HUGE_READ_TOKENS, HUGE_READ_SHARE), "skill": F.col("_skill")}
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("split"), F.coalesce(f, F.lit(False)).alias("flag")) for n, f in flags.items()])).alias("x")
+    sums = rows.select("cost_usd", each).groupBy("x.split", "x.flag").agg(F.count("*").alias("sessions"), F.sum(F.coalesce("cost_usd", F.lit(0.0))).alias("cost_usd"))
+    sides = spark.createDataFrame([(n, f) for n in flags for f in (True, False)], "split string, flag boolean")
+    return _shares(sides.join(sums, ["split", "flag"], "left").fillna(0, ["sessions", "cost_usd"]), Window.partitionBy("split")).select("split", *_SHARES)
 
 
 def invocations(calls: DataFrame) -> DataFrame:
@@ -222,19 +244,26 @@ def with_invocation(attribution: DataFrame, calls: DataFrame) -> DataFrame:
 
     An as-of join as one window over calls and messages together, calls first at equal times.
     """
-    inv = invocations(calls).select("session_id", F.col("called_at").alias("_at"), F.lit(0).alias("_side"), "inv", F.lit(None).alias("_row"))
-    rows = attribution.select("session_id", F.col("timestamp").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("int").alias("inv"), F.struct(*attribution.columns).alias("_row"))
-    both = inv.withColumn("_row", F.lit(None).cast(rows.schema["_row"].dataType)).unionByName(rows)
-    order = Window.partitionBy("session_id").orderBy("_at", "_side", "inv").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = both.withColumn("inv", F.last("inv", ignorenulls=True).over(order)).filter("_side = 1")
-    return seen.select("_row.*", F.when(F.coalesce(F.col("_row.is_sidechain"), F.lit(False)), F.col("inv")).alias("inv"))
+    side = F.coalesce(F.col("is_sidechain"), F.lit(False))
+    return _as_of(attribution, invocations(calls)).withColumn("inv", F.when(side, F.col("inv")))
+
+
+def _as_of(rows: DataFrame, inv: DataFrame) -> DataFrame:
+    """rows with inv and subagent_type of the last invocation of their session at or before their time."""
+    kinds = {f.name: f.dataType for f in rows.schema}
+    left = inv.select("session_id", F.col("called_at").alias("_at"), F.lit(0).alias("_side"), F.struct("inv", "subagent_type").alias("_inv"), *[F.lit(None).cast(t).alias(c) for c, t in kinds.items() if c != "session_id"])
+    right = rows.select("session_id", F.col("timestamp").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(left.schema["_inv"].dataType).alias("_inv"), *[c for c in kinds if c != "session_id"])
+    order = Window.partitionBy("session_id").orderBy("_at", "_side", "_inv").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = left.unionByName(right).withColumn("_inv", F.last("_inv", ignorenulls=True).over(order)).filter("_side = 1")
+    return seen.select(*kinds, "_inv.inv", "_inv.subagent_type")
 
 
 def invocation_costs(attribution: DataFrame, calls: DataFrame, rates: DataFrame, top: int = TOP_INVOCATIONS) -> DataFrame:
     """Cost of each session's invocations, ranked; the dearest by name, the rest as one row "Other"."""
-    rows = priced(with_invocation(attribution, calls), rates).filter("inv is not null")
-    kinds = invocations(calls).select("session_id", "inv", "subagent_type")
-    per = rows.groupBy("session_id", "inv").agg(F.sum("cost_usd").alias("cost_usd"), F.count("*").alias("messages"), F.min_by("uuid", F.struct("timestamp", "uuid")).alias("first_uuid")).join(kinds, ["session_id", "inv"])
+    # Only sidechain messages, and of them only what is summed, go through the as-of window.
+    side = priced(attribution.filter("is_sidechain"), rates).select("session_id", "timestamp", "uuid", "cost_usd")
+    rows = _as_of(side, invocations(calls)).filter("inv is not null")
+    per = rows.groupBy("session_id", "inv", "subagent_type").agg(F.sum("cost_usd").alias("cost_usd"), F.count("*").alias("messages"), F.min_by("uuid", F.struct("timestamp", "uuid")).alias("first_uuid"))
     rank = F.row_number().over(Window.partitionBy("session_id").orderBy(F.col("cost_usd").desc(), "inv"))
     ranked = per.withColumn("rank", rank)
     named = F.col("rank") <= top

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from loomlog.functions.pricing import unpriced_models
 from loomlog.functions.text import clean_title, snippet
 from loomlog.operators import cost, metrics, relations, search, series
-from loomlog.plans.relations import Relations, ad_hoc, materialize, register_views
+from loomlog.plans.relations import Relations, ad_hoc, materialize, read_build, register_views
 from loomlog.plans.synth import chat_log, events_log
-from loomlog.sources.logs import browse_raw, quarantine, raw_messages, raw_records, read_log, within_days
-from loomlog.sources.scratch import scratch_folder
+from loomlog.sources.logs import browse_raw, changed_files, list_files, quarantine, raw_messages, raw_records, read_log, record_types, within_days
+from loomlog.sources.scratch import scratch_folder, stored
 from loomlog.streaming import stream as streams
 
 AS_OF = "2024-01-25 12:00:00"
@@ -86,6 +86,11 @@ def _rel(spark: SparkSession, sf_dir: str) -> Relations:
     return Relations(events_log(spark, sf_dir))
 
 
+def _prep(spark: SparkSession, sf_dir: str) -> Relations:
+    """For queries that read the messages several times."""
+    return _rel(spark, sf_dir).prepared()
+
+
 def _us(c: str):
     return F.unix_micros(c)
 
@@ -122,6 +127,15 @@ def message_block_kinds(spark, sf_dir):
     return _rel(spark, sf_dir).message_blocks.groupBy("session_id", "kind").agg(F.count("*").alias("n"))
 
 
+@query("""SELECT kind, CAST(count(*) AS BIGINT) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM (
+  SELECT CASE WHEN role = 'assistant' THEN 'agent_text' WHEN turn % 5 = 0 THEN 'subagent_prompt' ELSE 'human_prompt' END AS kind, text FROM conversations WHERE role IN ('user', 'assistant')
+  UNION ALL SELECT 'agent_thinking', text FROM conversations WHERE role = 'assistant' AND turn % 3 = 0) GROUP BY kind""", cte=False)
+def chat_block_kinds(spark, sf_dir):
+    rows = chat_log(spark, sf_dir, thinking=True)
+    text = F.length(F.coalesce("text", "thinking_text"))
+    return Relations(rows).message_blocks.groupBy("kind").agg(F.count("*").alias("n"), F.sum(text.cast("long")).alias("chars"))
+
+
 @query("""SELECT 'c' || CAST(conv_id AS VARCHAR) AS session_id, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS turn_order, text AS content_text
 FROM conversations WHERE role IN ('user', 'assistant')""", cte=False)
 def conversation_turns(spark, sf_dir):
@@ -173,7 +187,7 @@ SELECT s.session_id, s.user_messages, s.assistant_messages, s.model, s.project,
   CAST(coalesce(f.files_read_only, 0) AS BIGINT) AS files_read_only, CAST(coalesce(f.files_outside, 0) AS BIGINT) AS files_outside, tt.first_prompt, cl.commands, round(s.cost, 8) AS cost_usd
 FROM sesd s LEFT JOIN tc ON tc.session_id = s.session_id LEFT JOIN files f ON f.session_id = s.session_id LEFT JOIN edits e ON e.session_id = s.session_id LEFT JOIN cl ON cl.session_id = s.session_id LEFT JOIN tt ON tt.session_id = s.session_id""")
 def session_stats(spark, sf_dir):
-    s = _rel(spark, sf_dir).session_stats
+    s = _prep(spark, sf_dir).session_stats
     return s.select("session_id", "user_messages", "assistant_messages", "model", "project", "tool_count", "files_read", "files_edited", "files_read_only", "files_outside", "first_prompt", "commands", _r("cost_usd").alias("cost_usd"))
 
 
@@ -183,7 +197,7 @@ def session_stats(spark, sf_dir):
   UNION ALL SELECT session_id, 'agent_text', 1, 0, 0, '' FROM ev WHERE event_id % 7 = 0
   UNION ALL SELECT session_id, 'slash_command', 1, NULL, 0, '' FROM cmds) GROUP BY session_id, kind""")
 def session_timeline(spark, sf_dir):
-    r = _rel(spark, sf_dir)
+    r = _prep(spark, sf_dir)
     t = relations.session_timeline(r.message_blocks, r.tool_calls, r.assistant_message_costs)
     return t.groupBy("session_id", "kind").agg(F.count("*").alias("n"), F.sum(F.col("is_first_block").cast("long")).alias("firsts"), F.sum("input_tokens").alias("input_tokens"), F.sum(F.col("is_error").cast("long")).alias("errors"), F.max("tool_hint").alias("hint"))
 
@@ -335,7 +349,7 @@ def dimension_values(spark, sf_dir):
 
 @query("SELECT session_id, round(cost, 8) AS cost_usd FROM sesd WHERE project = 'proj1' AND branch = 'dev' AND session_id IN (SELECT session_id FROM cmds WHERE command <> '/clear' AND command LIKE '/cmd1x%') ORDER BY cost DESC, session_id LIMIT 25")
 def list_sessions(spark, sf_dir):
-    r = _rel(spark, sf_dir)
+    r = _prep(spark, sf_dir)
     commands = r.message_commands.withColumn("command", F.substring("command", 1, 6))
     page = metrics.list_sessions(r.session_stats, "cost", page_size=25, project="proj1", branch="dev", commands=commands, command="/cmd1x")
     return page.select("session_id", _r("cost_usd").alias("cost_usd"))
@@ -343,7 +357,7 @@ def list_sessions(spark, sf_dir):
 
 @query("SELECT session_id, round(dur, 8) AS duration_sec FROM sesd ORDER BY dur DESC, session_id LIMIT 15")
 def top_sessions(spark, sf_dir):
-    return metrics.top_sessions(_rel(spark, sf_dir).session_stats, "duration_sec").select("session_id", _r("duration_sec").alias("duration_sec"))
+    return metrics.top_sessions(_prep(spark, sf_dir).session_stats, "duration_sec").select("session_id", _r("duration_sec").alias("duration_sec"))
 
 
 @query(f"SELECT 'a' || CAST(event_id AS VARCHAR) AS uuid FROM ev WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL '3 days' UNION ALL SELECT 'a' || CAST(event_id AS VARCHAR) || '-dup' FROM ev WHERE event_id % 7 = 0 AND ts + INTERVAL '500 milliseconds' >= TIMESTAMP '{AS_OF}' - INTERVAL '3 days'")
@@ -409,7 +423,7 @@ def _causes(r: Relations) -> DataFrame:
 
 @query(f", d AS ({_TYPES}), t AS (SELECT grp, row_number() OVER (ORDER BY sum(cost_usd) DESC, grp) AS p FROM d GROUP BY grp) SELECT d.bucket, CASE WHEN t.p <= 7 THEN d.grp ELSE 'Other' END AS grp, round(sum(d.cost_usd), 8) AS cost_usd FROM d JOIN t ON t.grp = d.grp GROUP BY 1, 2")
 def top_groups_folded(spark, sf_dir):
-    return cost.fold_top_groups(_causes(_rel(spark, sf_dir))).withColumn("cost_usd", _r("cost_usd"))
+    return cost.fold_top_groups(_causes(_prep(spark, sf_dir))).withColumn("cost_usd", _r("cost_usd"))
 
 
 @query(f""", d AS ({_TYPES.replace("bucket AS grp", "prev_tool AS grp").replace("FROM ev", "FROM ev WHERE prev_tool IS NOT NULL")}), t AS (SELECT grp, row_number() OVER (ORDER BY sum(cost_usd) DESC, grp) AS p, sum(sum(cost_usd)) OVER () AS g FROM d GROUP BY grp),
@@ -417,7 +431,7 @@ s AS (SELECT d.*, t.p, t.g, coalesce(sum(d.cost_usd) OVER (PARTITION BY d.bucket
 f AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY cost_usd DESC, bucket) AS n FROM s WHERE p <= 4)
 SELECT grp, bucket, round(cost_usd, 8) AS value, round(below + cost_usd / 2, 9) AS center FROM f WHERE n = 1 AND cost_usd >= 0.001 * g""")
 def group_peaks(spark, sf_dir):
-    r = _rel(spark, sf_dir)
+    r = _prep(spark, sf_dir)
     msgs = r.assistant_message_costs.withColumn("parent_id", F.regexp_replace("parent_uuid", "^u", "t"))
     named = cost.priced(msgs, r.rates).join(r.tool_calls.select(F.col("tool_use_id").alias("parent_id"), F.col("tool_name").alias("grp")), "parent_id")
     cells = named.groupBy(F.date_format("timestamp", "yyyy-MM-dd").alias("bucket"), "grp").agg(F.sum("write_cost_usd").alias("cost_usd"))
@@ -426,26 +440,26 @@ def group_peaks(spark, sf_dir):
 
 @query("SELECT session_id, 'a' || CAST(event_id AS VARCHAR) AS uuid, bucket, category, agent, round(cost, 8) AS cost_usd, round(wcost, 8) AS write_cost_usd FROM ev")
 def cost_attribution(spark, sf_dir):
-    r = _rel(spark, sf_dir)
+    r = _prep(spark, sf_dir)
     return cost.attributed(r.cost_attribution, r.rates).select("session_id", "uuid", "bucket", "category", "agent", _r("cost_usd").alias("cost_usd"), _r("write_cost_usd").alias("write_cost_usd"))
 
 
 @query("""SELECT bucket, category, agent, CAST(sum(wr) AS BIGINT) AS tokens, round(sum(wcost), 8) AS cost_usd, round(max(wcost), 8) AS top_cost_usd, round(100.0 * sum(wr) / (SELECT sum(wr) FROM ev WHERE wr > 0), 8) AS pct FROM ev WHERE wr > 0 GROUP BY bucket, category, agent ORDER BY sum(wcost) DESC, bucket, agent LIMIT 20""")
 def context_growth(spark, sf_dir):
-    r = _rel(spark, sf_dir)
+    r = _prep(spark, sf_dir)
     return cost.bloat_buckets(r.cost_attribution, r.rates).select("bucket", "category", "agent", "tokens", _r("cost_usd").alias("cost_usd"), _r("top_cost_usd").alias("top_cost_usd"), _r("pct").alias("pct"))
 
 
 @query("""SELECT coalesce(category, 'Total') AS category, coalesce(agent, 'Total') AS agent, CAST(sum(wr) AS BIGINT) AS tokens, round(sum(wcost), 8) AS cost_usd FROM (
   SELECT category, agent, wr, wcost FROM ev WHERE wr > 0 UNION ALL SELECT c, a, 0, 0 FROM (VALUES ('Read'), ('Created'), ('Conversation')) x(c), (VALUES ('Main'), ('Subagent')) y(a)) GROUP BY CUBE (category, agent)""")
 def growth_crosstab(spark, sf_dir):
-    r = _rel(spark, sf_dir)
+    r = _prep(spark, sf_dir)
     return cost.bloat_rollup(r.cost_attribution, r.rates).withColumn("cost_usd", _r("cost_usd"))
 
 
 @query(f", i AS (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS idx FROM ev WHERE session_id = '{PICK}') SELECT category, agent, CAST(sum(wr) AS BIGINT) AS tokens FROM i WHERE idx BETWEEN 2 AND 9 AND wr > 0 GROUP BY category, agent")
 def growth_between(spark, sf_dir):
-    r = _rel(spark, sf_dir)
+    r = _prep(spark, sf_dir)
     own = r.cost_attribution.filter(F.col("session_id") == PICK)
     ends = [x["uuid"] for x in cost.message_index(own).filter("idx in (9, 2)").orderBy(F.col("idx").desc()).collect()]
     part = cost.between_messages(own, *ends)
@@ -464,20 +478,20 @@ def _split(df: DataFrame) -> DataFrame:
 
 @query(_split_sql("SELECT DISTINCT session_id, true AS flag FROM ev WHERE side OR event_id % 50 = 0"))
 def split_subagent(spark, sf_dir):
-    r = _rel(spark, sf_dir)
+    r = _prep(spark, sf_dir)
     return _split(cost.binary_split(cost.session_cost(r.assistant_message_costs, r.rates), cost.flag_subagent(r.assistant_message_costs, r.tool_calls)))
 
 
 @query(_split_sql("SELECT e.session_id, sum(wr) >= 100000 AND CASE WHEN max(s.cost) > 0 THEN sum(wcost) / max(s.cost) ELSE 0 END >= 0.10 AS flag FROM ev e JOIN sesd s ON s.session_id = e.session_id WHERE category = 'Read' AND wr <> 0 GROUP BY e.session_id"))
 def split_huge_reads(spark, sf_dir):
-    r = _rel(spark, sf_dir)
+    r = _prep(spark, sf_dir)
     spent = cost.session_cost(r.assistant_message_costs, r.rates)
     return _split(cost.binary_split(spent, cost.flag_huge_reads(r.cost_attribution, spent, r.rates)))
 
 
 @query(_split_sql("SELECT DISTINCT session_id, true AS flag FROM cmds WHERE command <> '/clear'"))
 def split_skill(spark, sf_dir):
-    r = _rel(spark, sf_dir)
+    r = _prep(spark, sf_dir)
     return _split(cost.binary_split(cost.session_cost(r.assistant_message_costs, r.rates), cost.flag_skill(r.message_commands)))
 
 
@@ -489,7 +503,7 @@ cells AS (SELECT split, flag FROM (VALUES ('subagent'), ('skill'), ('huge_reads'
 x AS (SELECT n.split, sc.cost, coalesce(f.flag, false) AS flag FROM sc CROSS JOIN (SELECT DISTINCT split FROM cells) n LEFT JOIN fl f ON f.split = n.split AND f.session_id = sc.session_id)
 SELECT c.split, c.flag, CAST(count(x.cost) AS BIGINT) AS sessions, round(coalesce(sum(x.cost), 0), 8) AS cost_usd FROM cells c LEFT JOIN x ON x.split = c.split AND x.flag = c.flag GROUP BY c.split, c.flag""")
 def portfolio_of_day(spark, sf_dir):
-    r = _rel(spark, sf_dir)
+    r = _prep(spark, sf_dir)
     p = cost.cost_portfolio(r.assistant_message_costs, r.raw_messages, r.tool_calls, r.message_commands, r.rates, DAY)
     return p.select("split", "flag", "sessions", _r("cost_usd").alias("cost_usd"))
 
@@ -497,7 +511,7 @@ def portfolio_of_day(spark, sf_dir):
 @query(""", p AS (SELECT session_id, cost, sum(cost) OVER () AS g, sum(cost) OVER (ORDER BY cost DESC, session_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM sesd WHERE cost > 0)
 SELECT session_id, round(cost, 8) AS cost_usd, round(c, 8) AS cumulative, round(c / g, 6) AS cum_frac, (c - cost) / g < 0.8 - 1e-12 AS in_pareto, (c - cost) / g < 0.8 - 1e-12 AND c / g >= 0.8 - 1e-12 AS is_cutoff FROM p""")
 def pareto(spark, sf_dir):
-    r = _rel(spark, sf_dir)
+    r = _prep(spark, sf_dir)
     p = cost.pareto(cost.session_cost(r.assistant_message_costs, r.rates))
     return p.select("session_id", _r("cost_usd").alias("cost_usd"), _r("cumulative").alias("cumulative"), _r("cum_frac", 6).alias("cum_frac"), "in_pareto", "is_cutoff")
 
@@ -511,7 +525,7 @@ SELECT session_id, CAST(least(p, 13) AS INT) AS rank, CASE WHEN p <= 12 THEN '#'
 
 @query(_INV)
 def invocation_costs(spark, sf_dir):
-    r = _rel(spark, sf_dir)
+    r = _prep(spark, sf_dir)
     return cost.invocation_costs(r.cost_attribution, r.tool_calls, r.rates).withColumn("cost_usd", _r("cost_usd"))
 
 
@@ -521,13 +535,20 @@ _SER = ", ser AS (SELECT session_id, row_number() OVER (PARTITION BY session_id
 
 
 def _series(spark, sf_dir) -> DataFrame:
-    r = _rel(spark, sf_dir)
+    r = _prep(spark, sf_dir)
     return series.cost_series(r.cost_attribution, r.rates)
 
 
+@query(_SER + " SELECT session_id, CAST(idx AS INT) AS idx, uuid, agent AS series, round(inc, 8) AS inc_usd, round(sum(inc) OVER (PARTITION BY session_id, agent ORDER BY idx ROWS UNBOUNDED PRECEDING), 8) AS cum_usd FROM ser")
+def cumulative_by_agent(spark, sf_dir):
+    r = _prep(spark, sf_dir)
+    c = series.cumulative_cost(r.cost_attribution, r.rates, "agent")
+    return c.select("session_id", "idx", "uuid", "series", _r("inc_usd").alias("inc_usd"), _r("cum_usd").alias("cum_usd"))
+
+
 @query(_SER + " SELECT session_id, CAST(idx AS INT) AS idx, uuid, category AS series, round(inc, 8) AS inc_usd, round(sum(inc) OVER (PARTITION BY session_id, category ORDER BY idx ROWS UNBOUNDED PRECEDING), 8) AS cum_usd FROM ser")
 def cumulative_by_category(spark, sf_dir):
-    r = _rel(spark, sf_dir)
+    r = _prep(spark, sf_dir)
     c = series.cumulative_cost(r.cost_attribution, r.rates, "category")
     return c.select("session_id", "idx", "uuid", "series", _r("inc_usd").alias("inc_usd"), _r("cum_usd").alias("cum_usd"))
 
@@ -587,8 +608,8 @@ def inverted_index(spark, sf_dir):
     return search.build_index(_docs(spark, sf_dir)).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def _bm25_sql(having: str) -> str:
-    return _TERMS + f""", n AS (SELECT count(*) AS n, avg(len) AS a FROM dl), df AS (SELECT term, count(*) AS df FROM po WHERE term IN ('thering', 'stone', 'keit') GROUP BY term)
+def _bm25_sql(having: str, terms: str = "'thering', 'stone', 'keit'") -> str:
+    return _TERMS + f""", n AS (SELECT count(*) AS n, avg(len) AS a FROM dl), df AS (SELECT term, count(*) AS df FROM po WHERE term IN ({terms}) GROUP BY term)
 SELECT po.doc_id AS doc, round(sum(ln((n.n - df.df + 0.5) / (df.df + 0.5) + 1) * po.tf * 2.2 / (po.tf + 1.2 * (0.25 + 0.75 * dl.len / n.a))), 6) AS score FROM po JOIN df ON df.term = po.term JOIN dl ON dl.doc_id = po.doc_id CROSS JOIN n GROUP BY po.doc_id {having}"""
 
 
@@ -597,9 +618,9 @@ def bm25_any(spark, sf_dir):
     return search.bm25(search.build_index(_docs(spark, sf_dir)), "Thering, keit stone").withColumn("score", _r("score", 6))
 
 
-@query(_bm25_sql("HAVING count(*) = 3"), cte=False)
+@query(_bm25_sql("HAVING count(*) = 3", "'the', 'of', 'and'"), cte=False)
 def bm25_all(spark, sf_dir):
-    return search.bm25(search.build_index(_docs(spark, sf_dir)), "thering stone keit", require_all=True).withColumn("score", _r("score", 6))
+    return search.bm25(search.build_index(_docs(spark, sf_dir)), "the of and", require_all=True).withColumn("score", _r("score", 6))
 
 
 _MATCH = "SELECT 'c' || CAST(conv_id AS VARCHAR) AS session_id, text, conv_id, turn, CAST(CAST(contains(lower(text), 'then') AS INT) + CAST(contains(lower(text), 'la') AS INT) AS INT) AS score FROM conversations WHERE role IN ('user', 'assistant')"
@@ -622,10 +643,13 @@ def snippets(spark, sf_dir):
     return search.term_match(c, "then la").select("session_id", "turn", snippet(F.col("content_text"), ["then", "la"]).alias("snippet"))
 
 
-@query(f"SELECT session_id, score, epoch_us(TIMESTAMP '2024-01-01 00:00:00') + (conv_id * 3600 + turn * 60) * 1000000 AS ts_us FROM ({_MATCH.replace('WHERE role', 'WHERE 1=1 AND role')}) WHERE score = 2 ORDER BY ts_us DESC LIMIT 20", cte=False)
+_FOUND = _MATCH.replace("'then'", "'the'").replace("'la'", "'an'")
+
+
+@query(f"SELECT session_id, score, epoch_us(TIMESTAMP '2024-01-01 00:00:00') + (conv_id * 3600 + turn * 60) * 1000000 AS ts_us FROM ({_FOUND}) WHERE score = 2 ORDER BY ts_us DESC LIMIT 20", cte=False)
 def search_sessions(spark, sf_dir):
-    r = Relations(chat_log(spark, sf_dir))
-    hits = search.search_sessions(r.search_corpus, None, r.logical_sessions, r.session_stats, "then la", require_all=True)
+    r = Relations(chat_log(spark, sf_dir)).prepared()
+    hits = search.search_sessions(r.search_corpus, None, r.logical_sessions, r.session_stats, "the an", require_all=True)
     return hits.select("session_id", "score", _us("timestamp").alias("ts_us"))
 
 
@@ -669,6 +693,41 @@ def raw_page(spark, sf_dir):
     return browse_raw(raw, "s1", "user").select("uuid")
 
 
+@query(f"SELECT DISTINCT type FROM ({_RECORDS})")
+def raw_record_types(spark, sf_dir):
+    return record_types(raw_records(spark, _files(spark, sf_dir), GLOB))
+
+
+_GROUPS = 8
+
+
+def _grown_files(spark, sf_dir: str, late: bool, path: str) -> None:
+    """Records in one file for each group of sessions; late: those of the last group alone, which are added to the others."""
+    number = F.regexp_extract("sessionId", "[0-9]+", 0).cast("long") % _GROUPS
+    own = number == _GROUPS - 1 if late else number != _GROUPS - 1
+    lines = events_log(spark, sf_dir).filter(own).select(number.alias("g"), F.to_json(F.struct(*events_log(spark, sf_dir).columns)).alias("value"))
+    lines.repartition("g").write.mode("append").partitionBy("g").text(path)
+
+
+@query(f"SELECT 'new' AS change, CAST(count(DISTINCT user_id % {_GROUPS}) AS BIGINT) AS files FROM events WHERE user_id % {_GROUPS} = {_GROUPS - 1} HAVING count(*) > 0", cte=False)
+def changed_log_files(spark, sf_dir):
+    path = scratch_folder(spark)
+    _grown_files(spark, sf_dir, False, path)
+    manifest = stored(list_files(spark, path, GLOB).select("file_path", "modified"))
+    _grown_files(spark, sf_dir, True, path)
+    return changed_files(list_files(spark, path, GLOB), manifest).groupBy("change").agg(F.count("*").alias("files"))
+
+
+@query("SELECT session_id, epoch_us(started_at) AS started_us, user_messages, assistant_messages, round(cost, 8) AS cost_usd FROM sesd")
+def refreshed_sessions(spark, sf_dir):
+    path, out = scratch_folder(spark), scratch_folder(spark)
+    _grown_files(spark, sf_dir, False, path)
+    materialize(spark, path, out, glob=GLOB)
+    _grown_files(spark, sf_dir, True, path)
+    streams.refresh(spark, path, out)
+    return read_build(spark, out)["session_stats"].select("session_id", _us("started_at").alias("started_us"), "user_messages", "assistant_messages", _r("cost_usd").alias("cost_usd"))
+
+
 @query("SELECT tool AS tool_name, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE bad) AS BIGINT) AS failed FROM calls GROUP BY tool")
 def materialized_calls(spark, sf_dir):
     built = materialize(spark, _files(spark, sf_dir), scratch_folder(spark), glob=GLOB)
@@ -704,9 +763,15 @@ def streamed_cost_windows(spark, sf_dir):
     return _drained(windows, spark).select(_us("start").alias("start_us"), "model", "messages", _r("cost_usd").alias("cost_usd"))
 
 
-@query()
+@query("""
+, rec AS (SELECT session_id, epoch_us(ts) AS t FROM ev UNION ALL SELECT session_id, epoch_us(ts) + 500000 FROM ev WHERE event_id % 7 = 0
+  UNION ALL SELECT session_id, epoch_us(ts) + 1000000 FROM ev WHERE answered UNION ALL SELECT session_id, epoch_us(ts) + 250000 FROM ev WHERE event_id % 40 = 0),
+m AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY session_id ORDER BY t) <= 21600000000 THEN 0 ELSE 1 END AS head FROM rec),
+w AS (SELECT *, sum(head) OVER (PARTITION BY session_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS stretch FROM m)
+SELECT session_id, CAST(min(t) AS BIGINT) AS start_us, CAST(max(t) + 21600000000 AS BIGINT) AS end_us, CAST(count(*) AS BIGINT) AS records FROM w GROUP BY session_id, stretch HAVING max(t) + 21600000000 <= (SELECT max(t) FROM rec) - 600000000""")
 def streamed_activity(spark, sf_dir):
-    return _drained(streams.stream_sessions(_stream(spark, sf_dir), "6 hours"), spark)
+    closed = _drained(streams.stream_sessions(_stream(spark, sf_dir), "6 hours"), spark)
+    return closed.select("session_id", _us("start").alias("start_us"), _us("end").alias("end_us"), "records")
 
 
 @query("SELECT model, CAST(count(*) AS BIGINT) AS messages, CAST(sum(outp) AS BIGINT) AS output_tokens FROM ev GROUP BY model")

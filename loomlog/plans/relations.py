@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 from loomlog.functions.pricing import rates
 from loomlog.operators import cost, metrics, relations, search
 from loomlog.sources.logs import GLOB, list_files, raw_messages, read_log, within_days
+from loomlog.sources.scratch import stored
 
 BUCKETS = 64
 
@@ -24,6 +25,15 @@ class Relations:
         self.log, self.project_map = log, project_map
         self.rates = rate_table if rate_table is not None else rates(log.sparkSession)
 
+    def prepared(self) -> Relations:
+        """The same relations over messages that are parsed once and written to the shared folder.
+
+        For questions that read the messages several times; a build that is kept does the same.
+        """
+        out = Relations(self.log, self.project_map, self.rates)
+        out.__dict__["raw_messages"] = stored(self.raw_messages)
+        return out
+
     @functools.cached_property
     def raw_messages(self) -> DataFrame:
         return raw_messages(self.log)

@@ -64,40 +64,63 @@ def log_records(events: DataFrame) -> DataFrame:
     call = _json({"type": _str("tool_use"), "id": _str(F.concat(F.lit("t"), eid)), "name": _str(name), "input": given})
     task = _json({"type": _str("tool_use"), "id": _str(F.concat(F.lit("k"), eid)), "name": _str("Task"), "input": _json({"subagent_type": _str("explorer"), "description": _str("look around")})})
     content = F.concat(F.lit("["), F.when(F.col("event_id") % 50 == 0, F.concat_ws(",", call, task)).otherwise(call), F.lit("]"))
-    side = F.col("event_id") % 11 == 0
-    branch = F.when(uid % 2 == 0, "main").otherwise("dev")
-    none = F.lit(None).cast("string")
-    session = F.concat(F.lit("s"), uid.cast("string"))
-
-    def record(rows: DataFrame, kind_: str, ts: Column, uuid: Column, parent: Column, message: Column, result: Column) -> DataFrame:
-        head = [F.lit(kind_), _iso(ts), session, uuid, parent, side, cwd, F.lit("2.1.0"), F.lit("cli"), branch, F.concat(F.lit("r"), eid)]
-        return rows.select(*[c.alias(n) for c, n in zip(head, _HEAD)], message.alias("message"), result.alias("toolUseResult"))
-
-    no_usage, no_result = F.lit(None).cast(usage_type()), F.parse_json(F.lit(None).cast("string"))
-    msg = lambda role, mid, mod, use, text: F.struct(F.lit(role).alias("role"), mid.alias("id"), mod.alias("model"), use.alias("usage"), F.parse_json(text).alias("content"))
-    mid, parent = F.concat(F.lit("m"), eid), F.concat(F.lit("u"), F.col("prev").cast("string"))
-    asked = record(base, "assistant", F.col("ts"), F.concat(F.lit("a"), eid), parent, msg("assistant", mid, model, usage, content), no_result)
-    again = record(base.filter("event_id % 7 = 0"), "assistant", F.col("ts") + F.expr("INTERVAL '0.5' SECOND"), F.concat(F.lit("a"), eid, F.lit("-dup")), parent, msg("assistant", mid, model, usage, F.concat(F.lit("["), _json({"type": _str("text"), "text": _str(F.concat(F.lit("copy "), F.col("k")))}), F.lit("]"))), no_result)
+    copy = _json({"type": _str("text"), "text": _str(F.concat(F.lit("copy "), F.col("k")))})
     done = _json({"type": _str("tool_result"), "tool_use_id": _str(F.concat(F.lit("t"), eid)), "is_error": F.when(kind == "error", "true").otherwise("false"), "content": _str(F.concat(F.lit("out "), F.col("k")))})
-    answered = record(base.filter("event_id % 10 <> 0"), "user", F.col("ts") + F.expr("INTERVAL '1' SECOND"), F.concat(F.lit("u"), eid), F.concat(F.lit("a"), eid), msg("user", none, none, no_usage, F.concat(F.lit("["), done, F.lit("]"))), F.parse_json(_json({"stdout": _str(F.concat(F.lit("out "), F.col("k")))})))
     command = F.when(F.col("event_id") % 120 == 0, "/clear").otherwise(F.concat(F.lit("/cmd"), (F.col("event_id") % 3).cast("string"), F.lit("x"), (uid % 4).cast("string")))
-    prompted = record(base.filter("event_id % 40 = 0"), "user", F.col("ts") + F.expr("INTERVAL '0.25' SECOND"), F.concat(F.lit("p"), eid), none, msg("user", none, none, no_usage, _str(F.concat(F.lit("<command-name>"), command, F.lit("</command-name>")))), no_result)
-    return asked.unionByName(again).unionByName(answered).unionByName(prompted)
+
+    # Each event's records by number, so that one pass makes all and columns that are not read are never made.
+    places = {"asked": F.lit(True), "again": F.col("event_id") % 7 == 0, "answered": F.col("event_id") % 10 != 0, "prompted": F.col("event_id") % 40 == 0}
+    numbered = base.withColumn("_record", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(places.values())]))))
+    by = lambda *values: F.element_at(F.array(*values), F.col("_record") + 1)
+    of = lambda i, value: F.when(F.col("_record") == i, value)
+    is_call = F.col("_record") <= 1
+    later = by(*[F.expr(f"INTERVAL '{x}' SECOND") for x in ("0", "0.5", "1", "0.25")])
+    text = of(0, content).when(F.col("_record") == 1, F.concat(F.lit("["), copy, F.lit("]"))).when(F.col("_record") == 2, F.concat(F.lit("["), done, F.lit("]"))).otherwise(_str(F.concat(F.lit("<command-name>"), command, F.lit("</command-name>"))))
+    message = F.struct(
+        F.when(is_call, "assistant").otherwise("user").alias("role"),
+        F.when(is_call, F.concat(F.lit("m"), eid)).alias("id"),
+        F.when(is_call, model).alias("model"),
+        F.when(is_call, usage).alias("usage"),
+        F.parse_json(text).alias("content"),
+    )
+    previous = F.concat(F.lit("u"), F.col("prev").cast("string"))
+    head = [
+        F.when(is_call, "assistant").otherwise("user"),
+        _iso(F.col("ts") + later),
+        F.concat(F.lit("s"), uid.cast("string")),
+        F.concat(by(F.lit("a"), F.lit("a"), F.lit("u"), F.lit("p")), eid, F.when(F.col("_record") == 1, "-dup").otherwise("")),
+        F.when(is_call, previous).when(F.col("_record") == 2, F.concat(F.lit("a"), eid)),
+        F.col("event_id") % 11 == 0,
+        cwd,
+        F.lit("2.1.0"),
+        F.lit("cli"),
+        F.when(uid % 2 == 0, "main").otherwise("dev"),
+        F.concat(F.lit("r"), eid),
+    ]
+    result = F.parse_json(of(2, _json({"stdout": _str(F.concat(F.lit("out "), F.col("k")))})))
+    return numbered.select(*[c.alias(n) for c, n in zip(head, _HEAD)], message.alias("message"), result.alias("toolUseResult"))
 
 
 def usage_type() -> str:
     return "struct<input_tokens:bigint,output_tokens:bigint,cache_read_input_tokens:bigint,cache_creation_input_tokens:bigint,cache_creation:struct<ephemeral_5m_input_tokens:bigint,ephemeral_1h_input_tokens:bigint>>"
 
 
-def chat_records(conversations: DataFrame) -> DataFrame:
-    """Records of plain conversations: string prompts of users, text blocks of assistants; other roles keep their type."""
+def chat_records(conversations: DataFrame, thinking: bool = False) -> DataFrame:
+    """Records of plain conversations: string prompts of users, text blocks of assistants; other roles keep their type.
+
+    thinking: every third message of an assistant begins with a block of thinking, and every fifth turn stands on a sidechain.
+    """
     ts = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("conv_id") * 3600 + F.col("turn") * 60)
     is_assistant = F.col("role") == "assistant"
-    text = F.when(is_assistant, F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))))).otherwise(F.to_json(F.struct(F.col("text").alias("t"))))
+    said = F.struct(F.lit("text").alias("type"), F.lit(None).cast("string").alias("thinking"), F.col("text").alias("text"))
+    thought = F.struct(F.lit("thinking").alias("type"), F.col("text").alias("thinking"), F.lit(None).cast("string").alias("text"))
+    listed = F.when(F.col("turn") % 3 == 0, F.array(thought, said)).otherwise(F.array(said)) if thinking else F.array(said)
+    side = F.col("turn") % 5 == 0 if thinking else F.lit(False)
+    text = F.when(is_assistant, F.to_json(listed)).otherwise(F.to_json(F.struct(F.col("text").alias("t"))))
     content = F.when(is_assistant, F.parse_json(text)).otherwise(F.try_variant_get(F.parse_json(text), "$.t", "variant"))
     none = F.lit(None).cast("string")
     message = F.struct(F.col("role").alias("role"), none.alias("id"), none.alias("model"), F.lit(None).cast(usage_type()).alias("usage"), content.alias("content"))
-    head = [F.col("role"), _iso(ts), F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")), none, F.lit(False), F.lit("/tmp/chat"), F.lit("1"), F.lit("cli"), F.lit("main"), none]
+    head = [F.col("role"), _iso(ts), F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")), none, side, F.lit("/tmp/chat"), F.lit("1"), F.lit("cli"), F.lit("main"), none]
     return conversations.select(*[c.alias(n) for c, n in zip(head, _HEAD)], message.alias("message"), F.parse_json(none).alias("toolUseResult"))
 
 
@@ -105,5 +128,5 @@ def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_records(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
-def chat_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_records(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+def chat_log(spark: SparkSession, sf_dir: str, thinking: bool = False) -> DataFrame:
+    return chat_records(spark.read.parquet(f"{sf_dir}/conversations.parquet"), thinking)

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomlog.functions.pricing import rates as default_rates
-from loomlog.functions.pricing import RATE_COLUMNS, cost_expr
+from loomlog.functions.pricing import cost_expr, with_rates
 from loomlog.plans.relations import BUCKETS, TABLES, Relations, _publish, build_meta, materialize, read_build, session_bucket, windowed, write_tables
 from loomlog.sources.logs import GLOB, changed_files, list_files, read_log
 from loomlog.sources.schemas import READ_SCHEMA
-from loomlog.sources.scratch import scratch_folder
+from loomlog.sources.scratch import stored
 
 
 def stream_log(spark: SparkSession, path: str, schema: str = READ_SCHEMA, max_files: int = 1000, glob: str = GLOB) -> DataFrame:
@@ -40,10 +40,7 @@ def stream_costs(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
 def stream_cost_windows(usage: DataFrame, size: str = "1 hour", rate_table: DataFrame | None = None, delay: str | None = "10 minutes") -> DataFrame:
     """Cost by tumbling window and model, of a stream or a batch. delay sets a watermark unless the stream has one (None)."""
     rows = usage.withWatermark("timestamp", delay) if delay else usage
-    rate_table = rate_table if rate_table is not None else default_rates(usage.sparkSession)
-    known = sorted(rate_table.collect(), key=lambda r: -len(r["prefix"]))  # a rate table is a handful of rows
-    pick = lambda c: F.coalesce(*[F.when(F.col("model").startswith(r["prefix"]), F.lit(r[c])) for r in known], F.lit(0.0))
-    cost = rows.withColumns({f"r_{c}": pick(c) for c in RATE_COLUMNS}).withColumn("cost_usd", cost_expr())
+    cost = with_rates(rows, rate_table if rate_table is not None else default_rates(usage.sparkSession)).withColumn("cost_usd", cost_expr())
     windowed = cost.groupBy(F.window("timestamp", size).alias("w"), "model").agg(F.count("*").alias("messages"), F.sum("cost_usd").alias("cost_usd"))
     return windowed.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "model", "messages", "cost_usd")
 
@@ -121,15 +118,15 @@ def refresh(spark: SparkSession, path: str, out: str, project_map: DataFrame | N
     both = [old["raw_messages"].withColumn("file_path", plain), fresh.raw_messages]
     # The keys that link sessions, of both sides, read once and small; each step over them is written.
     keys = [rows.select("file_path", "session_id", F.col("message.id").alias("message"), "uuid") for rows in both]
-    keys = _stored(keys[0].unionByName(keys[1]).distinct())
+    keys = stored(keys[0].unionByName(keys[1]).distinct())
     calls = [r.select("session_id", "tool_use_id") for r in (old["tool_calls"], fresh.tool_calls)]
-    calls = _stored(calls[0].unionByName(calls[1]).filter("tool_use_id is not null").distinct())
-    sessions = _stored(keys.join(names, "file_path", "left_semi").select("session_id").distinct())
+    calls = stored(calls[0].unionByName(calls[1]).filter("tool_use_id is not null").distinct())
+    sessions = stored(keys.join(names, "file_path", "left_semi").select("session_id").distinct())
     # A changed session may own, or lose, the first copy of a message or a call's result of another session.
     for table, column in ((keys, "message"), (keys, "uuid"), (calls, "tool_use_id")):
         linked = table.select("session_id", F.col(column).alias("_id")).filter("_id is not null")
         ids = linked.join(sessions, "session_id", "left_semi").select("_id").distinct()
-        sessions = _stored(sessions.unionByName(linked.join(ids, "_id", "left_semi").select("session_id")).distinct())
+        sessions = stored(sessions.unionByName(linked.join(ids, "_id", "left_semi").select("session_id")).distinct())
     touched = [r[0] for r in sessions.select(session_bucket().alias("b")).distinct().collect()]  # at most BUCKETS numbers
     new = f"{out}/build={uuid.uuid4().hex}"
     schemas = write_tables(fresh, new, mode="append", only=F.col("session_bucket").isin(touched))
@@ -143,8 +140,3 @@ def refresh(spark: SparkSession, path: str, out: str, project_map: DataFrame | N
 def _differ(a: DataFrame, b: DataFrame) -> bool:
     return not (a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty())
 
-
-def _stored(df: DataFrame) -> DataFrame:
-    folder = scratch_folder(df.sparkSession)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
