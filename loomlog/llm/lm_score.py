@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import id_and_text, map_arrow, written
+from loomlog.llm.common import id_and_text, map_arrow, texts_of, written
 
 UNIGRAM_BASE, BIGRAM_BASE = 1.25, 2.0
 BITS_PER_ENTRY, PROBES = 8, 5
@@ -137,13 +137,13 @@ class Model:
 def _gathered(batches: Iterator[pa.RecordBatch], limit: int, pick=None) -> Iterator[tuple[list, np.ndarray, list[int]]]:
     """(rows, tokens, lengths) of texts until their tokens reach the limit; pick says by row which texts count."""
     rows, tokens, lengths, size = [], [], [], 0
-    for batch in batches:
+    for batch in (b.slice(low, 256) for b in batches for low in range(0, b.num_rows, 256)):
         others = [c.to_pylist() for i, c in enumerate(batch.columns) if i != 1]
-        for i, text in enumerate(batch.column(1)):
+        for i, text in enumerate(texts_of(batch.column(1))):
             row = tuple(c[i] for c in others)
             if pick and not pick(row):
                 continue
-            found = token_hashes(text.as_py())
+            found = token_hashes(text)
             rows.append(row)
             tokens.append(np.array(found, np.uint64))
             lengths.append(len(found))
@@ -412,7 +412,7 @@ def _joined_base(docs: DataFrame, singles: DataFrame, tokens: int, types: int) -
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                found, n = np.unique(np.array(token_hashes(batch.column(1)[i].as_py()), np.uint64), return_counts=True)
+                found, n = np.unique(np.array(token_hashes(texts_of(batch.column(1).slice(i, 1))[0]), np.uint64), return_counts=True)
                 yield pa.record_batch([pa.array([batch.column(0)[i].as_py()] * len(found), pa.int64()), pa.array(found.view(np.int64)), pa.array(n)], names=["text_hash", "hash", "tf"])
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

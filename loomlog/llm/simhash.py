@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import id_and_text, map_arrow, written
+from loomlog.llm.common import id_and_text, map_arrow, texts_of, written
 from loomlog.llm.components import components
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
@@ -58,9 +58,9 @@ def fingerprints(df: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id",
     """(doc_id, fp long), one row per input row; with keep_hash also text_hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = pa.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], pa.int64())
-            yield pa.record_batch([batch.column(0), found, *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
+        for part in (b.slice(low, 256) for b in batches for low in range(0, b.num_rows, 256)):
+            found = pa.array([fingerprint(x, shingle) for x in texts_of(part.column(1))], pa.int64())
+            yield pa.record_batch([part.column(0), found, *part.columns[2:]], names=["doc_id", "fp", *part.schema.names[2:]])
 
     docs = id_and_text(df, id_col, text_col)
     if keep_hash:
