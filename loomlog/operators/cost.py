@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomlog.functions.pricing import RATE_COLUMNS, cost_expr, priced, with_rates
 from loomlog.functions.text import BUILT_IN_COMMANDS, bucket_expr, category_expr
 from loomlog.operators.relations import blocks
+from loomlog.operators.running import in_order
 from loomlog.sources.scratch import stored
 
 PARETO_CUTOFF = 0.80
@@ -60,15 +61,16 @@ def cost_breakdown(costs: DataFrame, sessions: DataFrame, rates: DataFrame, buck
     return positive.groupBy("bucket", group.alias("grp")).agg(F.sum("cost_usd").alias("cost_usd"))
 
 
-def _group_ranks(df: DataFrame) -> DataFrame:
-    """(grp, total, rank, groups): distinct groups are few, a window over them is small."""
-    totals = df.groupBy("grp").agg(F.sum("cost_usd").alias("total"))
-    return totals.select("grp", "total", F.row_number().over(Window.orderBy(F.col("total").desc(), "grp")).alias("rank"), F.count("*").over(Window.partitionBy()).alias("groups"))
+def _largest(totals: DataFrame, count: int) -> DataFrame:
+    """(grp, rank) of the `count` largest groups, however many there are."""
+    order = [F.col("total").desc(), F.col("grp")]
+    return totals.orderBy(*order).limit(count).select("grp", F.row_number().over(Window.orderBy(*order)).alias("rank"))
 
 
 def keep_set(df: DataFrame, cap: int = MAX_GROUPS) -> DataFrame:
     """The groups that keep their name: all of up to `cap`, else the cap - 1 largest."""
-    return _group_ranks(df).filter((F.col("groups") <= cap) | (F.col("rank") < cap)).select("grp")
+    first = _largest(df.groupBy("grp").agg(F.sum("cost_usd").alias("total")), cap + 1)
+    return first.withColumn("_groups", F.count("*").over(Window.partitionBy())).filter((F.col("_groups") <= cap) | (F.col("rank") < cap)).select("grp")
 
 
 def fold_with_keepset(df: DataFrame, keep: DataFrame) -> DataFrame:
@@ -87,11 +89,12 @@ def group_peaks(df: DataFrame, top: int = LABEL_GROUPS, min_share: float = LABEL
     center is the middle of the group's part when larger groups are stacked below it; of equal
     peaks the first bucket counts.
     """
-    ranks = _group_ranks(df).withColumn("grand", F.sum("total").over(Window.partitionBy()))
+    totals = stored(df.groupBy("grp").agg(F.sum("cost_usd").alias("total")))
+    ranks = _largest(totals, top).crossJoin(F.broadcast(totals.agg(F.sum("total").alias("grand"))))
     cells = df.join(F.broadcast(ranks), "grp")
     stacked = cells.withColumn("below", F.coalesce(F.sum("cost_usd").over(Window.partitionBy("bucket").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     first = Window.partitionBy("grp").orderBy(F.col("cost_usd").desc(), "bucket")
-    peak = stacked.filter(F.col("rank") <= top).withColumn("_n", F.row_number().over(first)).filter("_n = 1 and grand > 0")
+    peak = stacked.withColumn("_n", F.row_number().over(first)).filter("_n = 1 and grand > 0")
     return peak.filter(F.col("cost_usd") >= min_share * F.col("grand")).select("grp", "bucket", F.col("cost_usd").alias("value"), (F.col("below") + F.col("cost_usd") / 2).alias("center"))
 
 
@@ -138,8 +141,7 @@ def bloat_rollup(attribution: DataFrame, rates: DataFrame) -> DataFrame:
 
 def message_index(attribution: DataFrame) -> DataFrame:
     """Attribution with idx, the place of a message in its session from 0."""
-    order = Window.partitionBy("session_id").orderBy("timestamp", "uuid")
-    return attribution.withColumn("idx", F.row_number().over(order) - 1)
+    return in_order(attribution, ["session_id"], ["timestamp", "uuid"], number="idx")
 
 
 def between_messages(attribution: DataFrame, first: str, last: str) -> DataFrame:
@@ -242,7 +244,7 @@ def invocations(calls: DataFrame) -> DataFrame:
 def with_invocation(attribution: DataFrame, calls: DataFrame) -> DataFrame:
     """Attribution with inv: for sidechain messages the latest invocation of the session at or before their time.
 
-    An as-of join as one window over calls and messages together, calls first at equal times.
+    An as-of join as one scan over calls and messages together, calls first at equal times.
     """
     side = F.coalesce(F.col("is_sidechain"), F.lit(False))
     return _as_of(attribution, invocations(calls)).withColumn("inv", F.when(side, F.col("inv")))
@@ -253,14 +255,13 @@ def _as_of(rows: DataFrame, inv: DataFrame) -> DataFrame:
     kinds = {f.name: f.dataType for f in rows.schema}
     left = inv.select("session_id", F.col("called_at").alias("_at"), F.lit(0).alias("_side"), F.struct("inv", "subagent_type").alias("_inv"), *[F.lit(None).cast(t).alias(c) for c, t in kinds.items() if c != "session_id"])
     right = rows.select("session_id", F.col("timestamp").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(left.schema["_inv"].dataType).alias("_inv"), *[c for c in kinds if c != "session_id"])
-    order = Window.partitionBy("session_id").orderBy("_at", "_side", "_inv").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = left.unionByName(right).withColumn("_inv", F.last("_inv", ignorenulls=True).over(order)).filter("_side = 1")
+    seen = in_order(left.unionByName(right), ["session_id"], ["_at", "_side", "_inv"], lasts={"_inv": "_inv"}).filter("_side = 1")
     return seen.select(*kinds, "_inv.inv", "_inv.subagent_type")
 
 
 def invocation_costs(attribution: DataFrame, calls: DataFrame, rates: DataFrame, top: int = TOP_INVOCATIONS) -> DataFrame:
     """Cost of each session's invocations, ranked; the dearest by name, the rest as one row "Other"."""
-    # Only sidechain messages, and of them only what is summed, go through the as-of window.
+    # Only sidechain messages, and of them only what is summed, go through the as-of scan.
     side = priced(attribution.filter("is_sidechain"), rates).select("session_id", "timestamp", "uuid", "cost_usd")
     rows = _as_of(side, invocations(calls)).filter("inv is not null")
     per = rows.groupBy("session_id", "inv", "subagent_type").agg(F.sum("cost_usd").alias("cost_usd"), F.count("*").alias("messages"), F.min_by("uuid", F.struct("timestamp", "uuid")).alias("first_uuid"))

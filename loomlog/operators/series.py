@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomlog.functions.pricing import priced
 from loomlog.operators.cost import attributed, with_invocation
+from loomlog.operators.running import in_order
 
 RAW_LIMIT, MAX_BUCKETS = 200, 120
 SPIKE_MIN_N, SPIKE_TOP, SPIKE_FLOOR, SPIKE_FACTOR = 6, 6, 0.02, 1.5
@@ -15,9 +16,9 @@ SLOPE_MIN_N, SLOPE_TOP, SLOPE_WINDOW, SLOPE_SIGMAS, SLOPE_RADIUS, SLOPE_MIN_RISE
 
 def cost_series(attribution: DataFrame, rates: DataFrame) -> DataFrame:
     """(session_id, idx, uuid, timestamp, agent, category, inc_usd, cum_usd) of each message in order."""
-    order = Window.partitionBy("session_id").orderBy("timestamp", "uuid")
-    rows = attributed(attribution, rates)
-    return rows.select("session_id", (F.row_number().over(order) - 1).alias("idx"), "uuid", "timestamp", "agent", "category", F.col("cost_usd").alias("inc_usd"), F.sum("cost_usd").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("cum_usd"))
+    rows = attributed(attribution, rates).select("session_id", "uuid", "timestamp", "agent", "category", F.col("cost_usd").alias("inc_usd"))
+    out = in_order(rows, ["session_id"], ["timestamp", "uuid"], number="idx", sums={"cum_usd": "inc_usd"})
+    return out.select("session_id", F.col("idx").cast("int").alias("idx"), *rows.columns[1:], "cum_usd")
 
 
 def cumulative_cost(attribution: DataFrame, rates: DataFrame, by: str = "agent", calls: DataFrame | None = None) -> DataFrame:
@@ -29,10 +30,10 @@ def cumulative_cost(attribution: DataFrame, rates: DataFrame, by: str = "agent",
         rows = priced(with_invocation(attribution, calls), rates).withColumn("series", F.col("inv").cast("string"))
     else:
         rows = attributed(attribution, rates).withColumn("series", F.col(by))
-    order = Window.partitionBy("session_id").orderBy("timestamp", "uuid")
-    placed = rows.withColumn("idx", F.row_number().over(order) - 1).filter("series is not null")
-    running = Window.partitionBy("session_id", "series").orderBy("timestamp", "uuid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return placed.select("session_id", "idx", "uuid", "series", F.col("cost_usd").alias("inc_usd"), F.sum("cost_usd").over(running).alias("cum_usd"))
+    order = ["timestamp", "uuid"]
+    placed = in_order(rows.select("session_id", *order, "series", F.col("cost_usd").alias("inc_usd")), ["session_id"], order, number="idx").filter("series is not null")
+    running = in_order(placed, ["session_id", "series"], order, sums={"cum_usd": "inc_usd"})
+    return running.select("session_id", F.col("idx").cast("int").alias("idx"), "uuid", "series", "inc_usd", "cum_usd")
 
 
 def downsample(series: DataFrame, raw_limit: int = RAW_LIMIT, max_buckets: int = MAX_BUCKETS) -> DataFrame:
@@ -45,18 +46,25 @@ def downsample(series: DataFrame, raw_limit: int = RAW_LIMIT, max_buckets: int =
     return points.withColumn("cum_usd", F.sum("inc_usd").over(order))
 
 
+def _medians(series: DataFrame) -> DataFrame:
+    """(session_id, _n, _m): messages and median cost of each session with enough of them; the middle is found by number, so that no task holds a session."""
+    sizes = series.groupBy("session_id").agg(F.count("*").alias("_n"), F.count("inc_usd").alias("_k")).filter(F.col("_n") >= SPIKE_MIN_N)
+    by_value = in_order(series.select("session_id", "inc_usd").filter("inc_usd is not null"), ["session_id"], ["inc_usd"], number="_v")
+    middle = by_value.join(sizes, "session_id").filter(F.col("_v").between(F.floor((F.col("_k") - 1) / 2), F.ceil((F.col("_k") - 1) / 2)))
+    return middle.groupBy("session_id").agg(F.max("_n").alias("_n"), F.avg("inc_usd").alias("_m"))
+
+
 def spikes(series: DataFrame) -> DataFrame:
     """(session_id, idx, uuid, inc_usd, cum_usd): single dear messages, the largest few of each session."""
-    stats = series.groupBy("session_id").agg(F.count("*").alias("_n"), F.median("inc_usd").alias("_m")).filter(F.col("_n") >= SPIKE_MIN_N)
-    over = series.join(stats, "session_id").filter(F.col("inc_usd") >= F.greatest(F.lit(SPIKE_FLOOR), SPIKE_FACTOR * F.col("_m")))
+    over = series.join(_medians(series), "session_id").filter(F.col("inc_usd") >= F.greatest(F.lit(SPIKE_FLOOR), SPIKE_FACTOR * F.col("_m")))
     rank = F.row_number().over(Window.partitionBy("session_id").orderBy(F.col("inc_usd").desc(), "idx"))
     return over.withColumn("_r", rank).filter(F.col("_r") <= SPIKE_TOP).select("session_id", "idx", "uuid", "inc_usd", "cum_usd")
 
 
 def slopes(series: DataFrame, spike_rows: DataFrame) -> DataFrame:
     """(session_id, idx, uuid, inc_usd, cum_usd): steep stretches away from spikes, the steepest few of each session."""
-    order = Window.partitionBy("session_id").orderBy("idx")
-    rise = series.withColumn("rise", F.col("cum_usd") - F.lag("cum_usd", SLOPE_WINDOW).over(order))
+    then = series.select("session_id", (F.col("idx") + SLOPE_WINDOW).alias("idx"), F.col("cum_usd").alias("_then"))
+    rise = series.join(then, ["session_id", "idx"], "left").withColumn("rise", F.col("cum_usd") - F.col("_then"))
     up = F.when(F.col("rise") > 0, F.col("rise"))
     stats = rise.groupBy("session_id").agg(F.count("*").alias("_n"), F.count(up).alias("_k"), F.stddev_pop(up).alias("_sd")).filter((F.col("_n") >= SLOPE_MIN_N) & (F.col("_k") >= SLOPE_MIN_RISES) & (F.col("_sd") > 0))
     near = spike_rows.groupBy("session_id").agg(F.collect_list("idx").alias("_spikes"))  # a handful at most
