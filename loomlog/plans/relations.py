@@ -125,7 +125,8 @@ def write_tables(rel: Relations, out: str, mode: str = "overwrite", only=None, b
         if only is not None:
             df = df.filter(only)
         sort = [c for c in ("session_bucket", _ORDER.get(name)) if c]
-        df.repartition("session_bucket").sortWithinPartitions(*sort).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("session_bucket").parquet(f"{out}/{name}")
+        # Rebalancing splits the bucket of a giant session over several tasks and files.
+        df.hint("rebalance", "session_bucket").sortWithinPartitions(*sort).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("session_bucket").parquet(f"{out}/{name}")
     return json.dumps(schemas)
 
 
