@@ -26,6 +26,6 @@ def test_a_group_over_many_partitions(spark):
     assert in_order(df.filter("false"), ["g"], ["t"], number="n").count() == 0
 
 
-def test_hot_group_is_spread(spark):
+def test_long_group_is_numbered(spark):
     df = spark.range(4000).select(F.lit("s").alias("g"), F.col("id").alias("t"))
     assert in_order(df, ["g"], ["t"], number="n").filter("n <> t").count() == 0
