@@ -30,7 +30,7 @@ from loomlog.llm.common import id_and_text, map_arrow, texts_of, written
 from loomlog.llm.components import components
 
 SHINGLE, PERCENT = 5, 85
-BANDS, ROWS, MISS = 40, 8, 1e-6
+BANDS, ROWS, MISS = 40, 8, 1e-5
 #: Hashes that are compared before the posterior is looked at again.
 BATCH = 64
 #: Members of a list that are compared in one block.
@@ -84,15 +84,15 @@ def least_matches(n: int, percent: int = PERCENT, miss: float = MISS) -> int:
 
 
 def signatures(df: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, k1, k2, n_shingles, bytes binary, bands array<long>), one row per input row.
+    """(doc_id, text_hash, k1, k2, n_shingles, bytes binary), one row per input row.
 
-    k1 and k2 are 128 bits of the set; bytes holds the low byte of each minimum, bands a hash of each band's.
+    k1 and k2 are 128 bits of the set; bytes holds the low byte of each minimum, band after band (without words: null).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, shifts = permutations(bands * rows)
         for part in (b.slice(low, 256) for b in batches for low in range(0, b.num_rows, 256)):
-            k1, k2, size, low, keys = [], [], [], [], []
+            k1, k2, size, low = [], [], [], []
             for text in texts_of(part.column(2)):
                 hashes = shingle_hashes(text, shingle)
                 whole = xxhash.xxh3_128_intdigest(hashes.tobytes())
@@ -101,20 +101,18 @@ def signatures(df: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows:
                 k2.append(whole & 0xFFFFFFFFFFFFFFFF)
                 size.append(len(hashes))
                 low.append((least & np.uint32(255)).astype(np.uint8).tobytes() if len(hashes) else None)
-                keys.append([xxhash.xxh64_intdigest(x.tobytes()) for x in least.reshape(bands, rows)] if len(hashes) else [])
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            flat = np.array([k for ks in keys for k in ks], np.uint64).view(np.int64)
-            listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(k) for k in keys]), pa.int32()), pa.array(flat))
-            yield pa.record_batch([part.column(0), part.column(1), signed(k1), signed(k2), pa.array(size, pa.int64()), pa.array(low, pa.binary()), listed], names=["doc_id", "text_hash", "k1", "k2", "n_shingles", "bytes", "bands"])
+            yield pa.record_batch([part.column(0), part.column(1), signed(k1), signed(k2), pa.array(size, pa.int64()), pa.array(low, pa.binary())], names=["doc_id", "text_hash", "k1", "k2", "n_shingles", "bytes"])
 
     docs = id_and_text(df, id_col, text_col).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-    return map_arrow(docs, run, "doc_id long, text_hash long, k1 long, k2 long, n_shingles long, bytes binary, bands array<long>")
+    return map_arrow(docs, run, "doc_id long, text_hash long, k1 long, k2 long, n_shingles long, bytes binary")
 
 
-def _comparison(percent: int, miss: float, width: int):
-    """Rows (group, part, side, node, label, n, bytes), each group's parts together, to (a, b): pairs that survive.
+def _comparison(percent: int, miss: float, width: int, bands: int, everywhere: bool):
+    """Rows (band, key, part, side, node, label, n, bytes), each part together, to (a, b): pairs that survive.
 
-    Within a part, rows of different sides meet, and rows of side -1 each other; pairs of one label are known.
+    Within a part, rows of different sides meet, and rows of side -1 each other; pairs of one label
+    are known. Unless `everywhere`, a pair comes from the first band in which it meets.
     """
     stops = [(low, min(low + BATCH, width)) for low in range(0, width, BATCH)]
     needed = [least_matches(high, percent, miss) for _, high in stops]
@@ -138,6 +136,10 @@ def _comparison(percent: int, miss: float, width: int):
                 equal += (sig[p, low:high] == sig[q, low:high]).sum(axis=1)
                 ok = equal >= least
                 p, q, equal = p[ok], q[ok], equal[ok]
+            if not everywhere and len(p):
+                agree = (sig[p] == sig[q]).reshape(len(p), bands, -1).all(axis=2)
+                ok = agree.argmax(axis=1) == band[p]
+                p, q = p[ok], q[ok]
             a.append(np.minimum(node[p], node[q]))
             b.append(np.maximum(node[p], node[q]))
         pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0) if a else np.zeros((0, 2), np.int64)
@@ -168,10 +170,10 @@ def _comparison(percent: int, miss: float, width: int):
     return run
 
 
-def _compared(rows: DataFrame, percent: int, miss: float, width: int) -> DataFrame:
+def _compared(rows: DataFrame, percent: int, miss: float, width: int, bands: int, everywhere: bool) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     laid = rows.select("band", "key", "part", "side", "node", "label", "n", "bytes").repartition(n, "band", "key", "part").sortWithinPartitions("band", "key", "part", "side", "node")
-    return map_arrow(laid, _comparison(percent, miss, width), "a long, b long").distinct()
+    return map_arrow(laid, _comparison(percent, miss, width, bands, everywhere), "a long, b long").distinct()
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -215,7 +217,8 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, shingle: int = SHINGL
     same = [signed[c].eqNullSafe(reps[c]) for c in ("doc_id", "text_hash", "k1", "k2")]
     picked = signed.join(reps, same[0] & same[1] & same[2] & same[3], "left_semi").dropDuplicates(["k1", "k2"])
     classes = written(picked.withColumn("node", F.monotonically_increasing_id()))
-    postings = classes.select("node", F.posexplode("bands").alias("band", "key"))
+    keys = [F.xxhash64(F.substring("bytes", i * rows + 1, rows)) for i in range(bands)]
+    postings = classes.select("node", F.posexplode(F.array(*keys)).alias("band", "key"))
     sizes = postings.groupBy("band", "key").agg(F.count("*").alias("members")).filter("members > 1")
     lists = written(postings.join(sizes, ["band", "key"]))
     carried = classes.select("node", F.col("n_shingles").alias("n"), "bytes")
@@ -229,7 +232,7 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, shingle: int = SHINGL
     star = long_lists.select("band", "key", chunk.alias("part"), F.lit(1).alias("side"), "node").unionByName(hubs.select("band", "key", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("part"), F.lit(0).alias("side"), "node"))
     star = star.withColumn("label", F.when(F.col("side") == 0, F.lit(-1).cast("long")).otherwise(F.col("node")))
     # The hub among its own members would be a pair of itself.
-    met = _compared(star.join(carried, "node"), percent, miss, width).filter("a <> b")
+    met = _compared(star.join(carried, "node"), percent, miss, width, bands, True).filter("a <> b")
     links = written(_confirmed(met, classes, docs, shingle, percent))
     labels = written(components(links)).withColumnRenamed("label", "known")
 
@@ -240,7 +243,7 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, shingle: int = SHINGL
     dealt = labelled.join(mixed, ["band", "key"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     dealt = dealt.select("band", "key", (high * (high + 1) / 2 + low).cast("int").alias("part"), F.when(low == high, -1).when(F.col("own") == low, 0).otherwise(1).alias("side"), "node", "label")
-    rest = _confirmed(_compared(dealt.join(carried, "node"), percent, miss, width), classes, docs, shingle, percent)
+    rest = _confirmed(_compared(dealt.join(carried, "node"), percent, miss, width, bands, False), classes, docs, shingle, percent)
     found = components(links.unionByName(rest))
 
     least = classes.select("k1", "k2", "node", F.col("doc_id").alias("class_id")).join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
