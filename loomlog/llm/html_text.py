@@ -12,7 +12,8 @@ by its own containers.
 
 Elements that HTML itself sets apart (nav, header, footer, aside, form and the like) hold no
 tokens. Class and id words are a last resort for varying text that no class can tell from an
-article: comments, adverts and the like; inside of main content only words that mean nothing else.
+article: comments, adverts and the like; inside of main content only words that mean nothing else. A
+name says so only if all its words are such words or words of layout, so that `share-price` is prose.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ _TAG = re.compile(r"<(?:(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"'=]++|=\s*+(?:\"[^
 _NAMES = re.compile(r"\b(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++))", re.I)
 
 # Elements of the HTML standard by their part in a text.
-_RAW = {t: re.compile(rf"</{t}\b[^>]*+>", re.I) for t in "script style noscript template textarea svg iframe title".split()}
+_RAW = {t: re.compile(rf"</{t}\b", re.I) for t in "script style noscript template textarea svg iframe title".split()}
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _LEFT_OUT = frozenset("head nav footer aside form button select menu dialog".split())
@@ -49,6 +50,8 @@ _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 _BOXES = frozenset("body div section td html center".split())
 _HINTS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal navbar navigation nav newsletter notice notices popup promo related reply respond share sharing sidebar social sponsor sponsored subscribe widget".split())
 _SURE_HINTS = frozenset("ad ads advert advertisement adverts comment comments consent cookie cookies disqus newsletter share sharing sidebar social sponsored subscribe".split())
+#: Words beside which a hint still means a part of the page: `site-header`, but not `share-price`.
+_LAYOUT = frozenset("area bar block bottom box btn button buttons class col column container content desktop float global group holder icon icons id inline inner item items js left level links list main mobile outer page panel post primary right row secondary section site slot sticky sub thread top unit user wrap wrapper".split())
 _MAIN_HINTS = frozenset("article body content entry main post story text".split())
 
 
@@ -67,10 +70,12 @@ class Node:
 def _node(tag: str, attributes: str, parent: Node | None, slot: int | None) -> Node:
     names = " ".join(x for m in _NAMES.findall(attributes) for x in m if x).lower() if "=" in attributes else ""
     words = set(re.split(r"[^a-z]+", names)) - {""} if names else ()
+    # Only names that are made of hints and layout words alone say what a container is.
+    told = {w for name in names.split() if (pieces := set(re.split(r"[^a-z]+", name)) - {""}) <= _HINTS | _LAYOUT for w in pieces}
     inside = bool(parent and parent.main)
     out = bool(parent and parent.out) or tag in _LEFT_OUT or tag == "header" and not inside
     if words and not out and tag not in ("html", "body", "article", "main"):
-        out = bool(words & (_SURE_HINTS if inside else _HINTS)) and not words & _MAIN_HINTS or bool(words & {"comment", "comments"})
+        out = bool(told & (_SURE_HINTS if inside else _HINTS)) and not words & _MAIN_HINTS or bool(told & {"comment", "comments"})
     return Node(tag, tag + "".join(f".{w}" for w in sorted(words)), parent, out, inside or tag in ("article", "main"), slot)
 
 
@@ -97,8 +102,9 @@ def walk(page: str, slot: int | None = None) -> Iterator[tuple[str, Node | None,
         elif m := _TAG.match(page, start):
             end, closing, tag, attributes = m.end(), m.group(1), (m.group(2) or "").lower(), m.group(3) or ""
             if tag in _RAW and not closing:
+                # The first end tag, which takes all up to the next bracket; without one the rest of the page is raw.
                 m = _RAW[tag].search(page, end)
-                end, tag = m.end() if m else len(page), ""
+                end, tag = (page.find(">", m.end()) + 1 or len(page)) if m else len(page), ""
         elif page[start + 1 : start + 2].isalpha() or page[start + 1 : start + 2] in ("/", "!", "?"):
             end, tag, closing, attributes = len(page), "", "", ""
         else:

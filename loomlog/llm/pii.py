@@ -205,9 +205,12 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     names = df.columns
     spans = find_pii(df, id_col, text_col).filter(F.size("spans") > 0).groupBy("doc_id", "text_hash").agg(F.first("spans").alias("_spans"))
-    key = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    keyed = df.withColumn("_hash", key)
-    hit = keyed.join(spans.withColumnsRenamed({"doc_id": "_doc", "text_hash": "_text"}), F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_text")), "left")
+    # The caller's row is one column, so that no name of its can clash.
+    text = F.col(f"`{text_col}`").cast("string")
+    row = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_hash"))
+    hit = row.join(spans.withColumnsRenamed({"doc_id": "_doc", "text_hash": "_text"}), F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_text")), "left")
+    places = [f"c{i}" for i in range(len(names))]
+    hit = hit.select(*[F.col("_row").getField(c).alias(p) for c, p in zip(names, places)], "_spans")
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +223,7 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             columns = [texts.cast(batch.schema.field(at).type) if i == at else c for i, c in enumerate(batch.columns[:-1])]
             yield pa.record_batch(columns, names=names)
 
-    return map_arrow(hit.select(*[F.col(f"`{c}`") for c in names], "_spans"), run, df.schema)
+    return map_arrow(hit, run, df.schema)
 
 
 def cut_out(text: str, spans: list[dict]) -> str:

@@ -135,10 +135,11 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     rows = keys.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "n")).alias("x"))
     first = rows.join(_labelled(fps).select("fp", "label"), "fp").groupBy("label").agg(F.min("x").alias("x"))
     keep = first.select(F.col("x.doc_id").alias("_doc"), F.col("x.text_hash").alias("_text"), F.col("x.n").alias("_rows"))
-    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_text"))
-    kept = df.withColumn("_hash", F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))).join(keep, same)
-    once = kept.filter("_rows = 1").select(*names)
-    return once.unionByName(kept.filter("_rows > 1").dropDuplicates(["_doc", "_text"]).select(*names))
+    # The caller's row is one column, so that no name of its can clash.
+    row = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("_hash"))
+    kept = row.join(keep, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_text")))
+    once = kept.filter("_rows = 1").select("_row.*")
+    return once.unionByName(kept.filter("_rows > 1").dropDuplicates(["_doc", "_text"]).select("_row.*"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

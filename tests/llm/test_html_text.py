@@ -121,3 +121,25 @@ def test_large_broken_pages_take_linear_time(html, text):
 def test_bytes_that_are_no_utf8(spark):
     df = spark.range(1).selectExpr("id page_id", "'https://h.example/' url", "cast(unhex('3c703e61ff3c2f703e') as string) html")
     assert html_text.extract_main_text(df).first().text == "a\ufffd"
+
+
+PROSE = "social-history cookies-recipe share-price comment-on-law sponsored-bill menu-of-the-day related-work ad-hoc".split()
+
+
+def test_names_that_only_contain_a_hint_keep_their_prose():
+    for name in PROSE:
+        page = f'<body><article><p>First.</p><section class="{name}"><p>Real prose.</p></section></article></body>'
+        assert html_text.extract(page, html_text._own_slot(page)) == "First.\nReal prose.", name
+        bare = f'<body><div><p>First words of it.</p><div class="{name}"><p>Real prose.</p></div></div></body>'
+        assert "Real prose." in html_text.extract(bare, html_text._own_slot(bare)), name
+    for name in ("comments", "comment-list", "ad-slot", "share-buttons", "cookie-notice"):
+        page = f'<body><article><p>First.</p><div class="{name}"><p>Not of it.</p></div></article></body>'
+        assert html_text.extract(page, html_text._own_slot(page)) == "First.", name
+
+
+def test_end_tags_that_do_not_end_take_linear_time():
+    began = time.perf_counter()
+    n = 300_000
+    assert html_text.extract("<p>a</p>" + "<script>" * n + "</script" * n, None) == "a"
+    assert html_text.extract("<p>a</p><script>x</script\n><p>b</p>", None) == "a\nb"
+    assert time.perf_counter() - began < 5

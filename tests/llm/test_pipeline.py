@@ -59,3 +59,14 @@ def test_stages_keep_the_columns(spark, tables):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, root).dtypes == docs.dtypes
         assert stage(spark, docs.filter("false"), root).count() == 0
+
+
+def test_columns_named_like_the_stages_own_stay(spark):
+    from loomlog.llm import pii, simhash
+
+    names = ["_hash", "_doc", "_text", "_rows", "_spans", "_row", "_id", "c0", "a b"]
+    rows = [(1, "Write to ann.lee@example.org today please", *range(70, 70 + len(names))), (1, "Write to ann.lee@example.org today please", *range(70, 70 + len(names))), (2, "Nothing personal is said in this one", *range(len(names)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` long" for c in names))
+    assert sorted(map(tuple, simhash.one_of_each(df).collect())) == sorted(set(rows))
+    got = sorted(map(tuple, pii.redact(df).collect()))
+    assert [r[2:] for r in got] == sorted(r[2:] for r in rows)[::-1] and "[EMAIL]" in got[0][1] and pii.redact(df).columns == df.columns
