@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlog.functions.text import BUILT_IN_COMMANDS, command_of, escape_like, first_two_words, first_word
@@ -39,10 +39,11 @@ def command_list(commands: DataFrame) -> DataFrame:
 
 def tool_breakdown(calls: DataFrame, mcp: bool = False) -> DataFrame:
     """Calls, success and share of all calls by tool, either built-in or server tools (LIKE wildcards as in the log's rule)."""
+    grouped = calls.groupBy("tool_name").agg(F.count("*").alias("cnt"), _success().alias("success_rate"))
+    # The total of all calls, from the few groups of one pass.
+    grouped = grouped.withColumn("pct_of_total", 100.0 * F.col("cnt") / F.sum("cnt").over(Window.partitionBy(F.lit(0))))
     server = F.col("tool_name").like("mcp__%")
-    total = calls.agg(F.count("*").alias("_total"))
-    grouped = calls.filter(server if mcp else F.col("tool_name").isNotNull() & ~server).groupBy("tool_name").agg(F.count("*").alias("cnt"), _success().alias("success_rate"))
-    return grouped.crossJoin(F.broadcast(total)).select("tool_name", "cnt", "success_rate", (100.0 * F.col("cnt") / F.col("_total")).alias("pct_of_total"))
+    return grouped.filter(server if mcp else F.col("tool_name").isNotNull() & ~server).select("tool_name", "cnt", "success_rate", "pct_of_total")
 
 
 def _servers(calls: DataFrame) -> DataFrame:

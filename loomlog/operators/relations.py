@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomlog.functions.text import WRITE_TOOLS, last_segment, tool_hint
+from loomlog.functions.pricing import cost_expr, with_rates
+from loomlog.functions.text import BUILT_IN_COMMANDS, WRITE_TOOLS, last_segment, tool_hint
 
+_SESSION = ["session_id", "started_at", "ended_at", "duration", "duration_sec", "user_messages", "assistant_messages", "model", "cwd", "project", "git_branch", "entrypoint"]
 
 
 def _content(path: str, kind: str = "string") -> Column:
@@ -18,6 +20,11 @@ def _json_text(v: Column) -> Column:
     return F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))
 
 
+def session_key() -> Column:
+    """A session's name, null sessions under one of their own, for joins on it."""
+    return F.coalesce("session_id", F.lit("\0"))
+
+
 def first_filled(column: str) -> Column:
     """The earliest value that is not null."""
     return F.min_by(column, F.when(F.col(column).isNotNull(), F.struct("timestamp", "uuid"))).alias(column)
@@ -48,8 +55,7 @@ def logical_sessions(msgs: DataFrame, project_map: DataFrame | None = None) -> D
     )
     out = out.withColumn("duration", F.col("ended_at") - F.col("started_at"))
     out = out.withColumn("duration_sec", (F.unix_micros("ended_at") - F.unix_micros("started_at")) / 1e6)
-    order = ["session_id", "started_at", "ended_at", "duration", "duration_sec", "user_messages", "assistant_messages", "model", "cwd", "project", "git_branch", "entrypoint"]
-    return with_project(out, project_map).select(*order)
+    return with_project(out, project_map).select(*_SESSION)
 
 
 def message_costs(msgs: DataFrame) -> DataFrame:
@@ -178,17 +184,81 @@ def file_writes(calls: DataFrame) -> DataFrame:
     return calls.filter(F.col("tool_name").isin(WRITE_TOOLS)).select("session_id", "tool_use_id", "called_at", "tool_name", path.alias("file_path")).filter("file_path is not null")
 
 
-def session_stats(sessions: DataFrame, titles: DataFrame, counts: DataFrame, files: DataFrame, commands: DataFrame, session_costs: DataFrame) -> DataFrame:
-    """Sessions with title, tool and file counts, command list and cost.
+def _sessions_with_titles(msgs: DataFrame) -> DataFrame:
+    """logical_sessions without project and duration, with first_prompt and commands, in one aggregation."""
+    typed = (F.col("type") == "user") & (F.col("role") == "user")
+    # Columns of their own, so that each is computed once for a message.
+    rows = msgs.select("session_id", "timestamp", "uuid", "type", "model", "cwd", "git_branch", "entrypoint", typed.alias("_typed"), _content("$[0].type").alias("_block"), F.when(typed, _prompt_text()).alias("_prompt"))
+    named = F.regexp_extract_all("_prompt", F.lit("<command-name>([^<]+)</command-name>"), 1)
+    rows = rows.withColumn("_commands", F.when(F.contains("_prompt", F.lit("<command-name>")), F.filter(named, lambda c: ~c.isin(BUILT_IN_COMMANDS))))
+    text, at = F.coalesce("_prompt", F.lit("")), F.struct("timestamp", "uuid")
+    result = F.col("_block").eqNullSafe(F.lit("tool_result"))
+    titled = F.col("_typed") & ~result & ~text.like("/clear%") & ~text.like("<command-name>/clear%") & ~text.like("<local-command-caveat>%")
+    return rows.groupBy("session_id").agg(
+        F.min("timestamp").alias("started_at"),
+        F.max("timestamp").alias("ended_at"),
+        F.count_if(F.col("_typed") & ~result).alias("user_messages"),
+        F.count_if(F.col("type") == "assistant").alias("assistant_messages"),
+        *[first_filled(c) for c in ("model", "cwd", "git_branch", "entrypoint")],
+        F.min_by("_prompt", F.when(titled, at)).alias("first_prompt"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("_commands")))).alias("_commands"),
+    )
+
+
+def _usage_and_calls(msgs: DataFrame) -> DataFrame:
+    """Slim rows of one scan, told apart by kind: a usage record (m), a call (c), a result (r).
 
-    Every input is aggregated by session, so the joins share one partitioning. Missing counts are
-    zero; title, commands and cost stay null.
+    key is the message or tool id; calls without an id get one of their own, as no result meets them.
     """
-    out = sessions
-    for side in (titles, counts.select("session_id", "tool_count"), files, commands, session_costs):
-        out = out.join(side, "session_id", "left")
-    zero = {c: F.coalesce(F.col(c), F.lit(0).cast("long")) for c in ("tool_count", "files_read", "files_edited", "files_read_only", "files_outside")}
-    return out.withColumns(zero).select(*sessions.columns, *zero, "first_prompt", "commands", "cost_usd")
+    tokens = lambda path: F.coalesce(F.col(f"message.usage.{path}"), F.lit(0).cast("long"))
+    usage = F.struct(
+        F.struct(F.coalesce("timestamp", F.lit("9999-12-31").cast("timestamp")).alias("t"), "uuid").alias("at"), "session_id", "model", tokens("input_tokens").alias("input_tokens"), tokens("output_tokens").alias("output_tokens"),
+        tokens("cache_read_input_tokens").alias("cache_read_tokens"), tokens("cache_creation_input_tokens").alias("cache_creation_tokens"), tokens("cache_creation.ephemeral_5m_input_tokens").alias("cache_creation_5m"), tokens("cache_creation.ephemeral_1h_input_tokens").alias("cache_creation_1h"),
+    )
+    is_call = F.col("type") == "assistant"
+    is_usage = is_call & F.col("message.id").isNotNull()
+    slim = msgs.select("session_id", is_call.alias("_call"), F.when(is_usage, F.col("message.id")).alias("_id"), F.when(is_usage, usage).alias("m"), F.when(F.col("type").isin("user", "assistant"), _content("$", "array<variant>")).alias("_list"), F.xxhash64("session_id", "uuid", "timestamp").alias("_row"))
+    m_type = slim.schema["m"].dataType.simpleString()
+    # Every block, and the usage record as one more.
+    rows = slim.filter("_id is not null or size(_list) > 0").select("session_id", "_call", "_id", "m", "_row", F.posexplode(F.concat(F.array(F.lit(None).cast("variant")), F.coalesce("_list", F.array().cast("array<variant>")))).alias("_i", "block"))
+    rows = rows.withColumn("_type", _field("type")).filter(F.when(F.col("_i") == 0, F.col("_id").isNotNull()).otherwise(F.col("_type") == F.when(F.col("_call"), "tool_use").otherwise("tool_result")))
+    rows = rows.withColumn("kind", F.when(F.col("_i") == 0, "m").when(F.col("_call"), "c").otherwise("r"))
+    rows = rows.withColumn("_name", F.when(F.col("kind") == "c", _field("name")))
+    rows = rows.withColumn("reads", F.coalesce(F.col("_name") == "Read", F.lit(False))).withColumn("writes", F.coalesce(F.col("_name").isin(WRITE_TOOLS), F.lit(False)))
+    rows = rows.withColumn("_input", F.when(F.col("reads") | F.col("writes"), _json_text(F.try_variant_get("block", "$.input", "variant"))))
+    path = F.coalesce(F.get_json_object("_input", "$.file_path"), F.when(F.col("writes"), F.get_json_object("_input", "$.notebook_path")))
+    alone = F.concat_ws("\0", F.lit(""), F.col("_row").cast("string"), F.col("_i").cast("string"))
+    key = F.when(F.col("kind") == "m", F.col("_id")).when(F.col("kind") == "c", F.coalesce(_field("id"), alone)).otherwise(_field("tool_use_id"))
+    return rows.select("kind", key.alias("key"), F.when(F.col("kind") == "c", F.col("session_id")).alias("session_id"), path.alias("path"), "reads", "writes", F.when(F.col("kind") == "m", F.col("m")).cast(m_type).alias("m"))
+
+
+def session_stats(msgs: DataFrame, rate_table: DataFrame, project_map: DataFrame | None = None) -> DataFrame:
+    """Sessions with title, tool and file counts, command list and cost, from two scans of the messages.
+
+    One aggregation by session gives what its messages tell. Usage, calls and results are aggregated
+    together by message or tool id; results then meet their calls, and files are told apart in each
+    session. Sessions, titles, commands, counts and costs agree with the relations of those names;
+    missing counts are zero, a missing title, command list or cost null. A null session counts like
+    any other.
+    """
+    sessions = _sessions_with_titles(msgs).withColumn("_session", session_key())
+    first = _usage_and_calls(msgs).groupBy("kind", "key", "session_id", "path", "reads", "writes").agg(F.count("*").alias("n"), F.min_by("m", "m.at").alias("m"))
+    # A result counts for every call of its id.
+    results = F.sum(F.when(F.col("kind") == "r", F.col("n"))).over(Window.partitionBy("key", F.col("kind") == "m"))
+    met = first.withColumn("calls", F.when(F.col("kind") == "c", F.col("n") * F.greatest(F.lit(1), F.coalesce(results, F.lit(0))))).filter("kind <> 'r'")
+    tokens = ("model", "input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens", "cache_creation_5m", "cache_creation_1h")
+    used = met.select(F.coalesce("session_id", "m.session_id").alias("session_id"), "path", "reads", "writes", "calls", "kind", *[F.col(f"m.{c}") for c in tokens])
+    billed = with_rates(used, rate_table).withColumn("cost", F.when(F.col("kind") == "m", cost_expr())).withColumn("_session", session_key())
+    by_file = billed.groupBy("_session", "path").agg(F.sum("calls").alias("calls"), (F.bool_or("reads") & F.col("path").isNotNull()).alias("reads"), (F.bool_or("writes") & F.col("path").isNotNull()).alias("writes"), F.sum("cost").alias("cost"))
+    outside = ~F.col("path").startswith(F.coalesce("cwd", F.lit("")))
+    counted = by_file.join(sessions.select("_session", "cwd"), "_session").groupBy("_session").agg(
+        F.sum("calls").alias("tool_count"), F.count_if("reads").alias("files_read"), F.count_if("writes").alias("files_edited"), F.count_if(F.col("reads") & ~F.col("writes")).alias("files_read_only"), F.count_if(F.col("reads") & outside).alias("files_outside"), F.sum("cost").alias("cost_usd"),
+    )
+    out = sessions.join(counted, "_session", "left")
+    out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast("long")) for c in ("tool_count", "files_read", "files_edited", "files_read_only", "files_outside")})
+    out = out.withColumn("duration", F.col("ended_at") - F.col("started_at")).withColumn("duration_sec", (F.unix_micros("ended_at") - F.unix_micros("started_at")) / 1e6)
+    out = with_project(out.withColumn("commands", F.when(F.size("_commands") > 0, F.array_join("_commands", ", "))), project_map)
+    return out.select(*_SESSION, "tool_count", "files_read", "files_edited", "files_read_only", "files_outside", "first_prompt", "commands", "cost_usd")
 
 
 def session_timeline(msg_blocks: DataFrame, calls: DataFrame, costs: DataFrame) -> DataFrame:
@@ -208,6 +278,22 @@ def session_timeline(msg_blocks: DataFrame, calls: DataFrame, costs: DataFrame)
     )
 
 
+def file_sessions(msgs: DataFrame) -> DataFrame:
+    """(file_path, session_id): which sessions have messages in which files."""
+    return msgs.select("file_path", "session_id").distinct()
+
+
+def session_links(msgs: DataFrame) -> DataFrame:
+    """(kind, id, session_id): the message ids and tool call ids of each session, in calls and results alike.
+
+    What relations make of a session depends on those sessions alone that share an id with it.
+    """
+    messages = msgs.select(F.lit("message").alias("kind"), F.col("message.id").alias("id"), "session_id")
+    tools = blocks(msgs.select("session_id", "message")).filter(_field("type").isin("tool_use", "tool_result"))
+    both = messages.unionByName(tools.select(F.lit("tool").alias("kind"), F.when(_field("type") == "tool_use", _field("id")).otherwise(_field("tool_use_id")).alias("id"), "session_id"))
+    return both.filter("id is not null").distinct()
+
+
 def get_session(sessions: DataFrame, turns: DataFrame, session_id: str, text_chars: int = 500) -> tuple[DataFrame, DataFrame]:
     """Metadata of one session and its turns in order, texts cut."""
     own = turns.filter(F.col("session_id") == session_id).orderBy("turn_order")

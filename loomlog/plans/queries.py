@@ -12,8 +12,8 @@ from loomlog.functions.text import clean_title, snippet
 from loomlog.operators import cost, metrics, relations, search, series
 from loomlog.plans.relations import Relations, ad_hoc, materialize, read_build, register_views
 from loomlog.plans.synth import chat_log, events_log
-from loomlog.sources.logs import browse_raw, changed_files, list_files, quarantine, raw_messages, raw_records, read_log, record_types, within_days
-from loomlog.sources.scratch import scratch_folder, stored
+from loomlog.sources.logs import browse_raw, changed_files, file_census, list_files, quarantine, raw_messages, raw_records, read_log, record_types, within_days
+from loomlog.sources.scratch import remove_folder, scratch_folder, stored
 from loomlog.streaming import stream as streams
 
 AS_OF = "2024-01-25 12:00:00"
@@ -728,6 +728,34 @@ def refreshed_sessions(spark, sf_dir):
     return read_build(spark, out)["session_stats"].select("session_id", _us("started_at").alias("started_us"), "user_messages", "assistant_messages", _r("cost_usd").alias("cost_usd"))
 
 
+@query(f"SELECT session_id, epoch_us(started_at) AS started_us, user_messages, assistant_messages, round(cost, 8) AS cost_usd FROM sesd WHERE CAST(substr(session_id, 2) AS BIGINT) % {_GROUPS} <> 5")
+def refreshed_changed_files(spark, sf_dir):
+    """A build is refreshed after one group's file grew by its later half, and another's went."""
+    path, out = scratch_folder(spark), scratch_folder(spark)
+    log = events_log(spark, sf_dir)
+    number = F.regexp_extract("sessionId", "[0-9]+", 0).cast("long") % _GROUPS
+    lines = log.select(number.alias("g"), (F.crc32("uuid") % 2).alias("late"), F.to_json(F.struct(*log.columns)).alias("value"))
+    put = lambda rows: rows.select("g", "value").repartition("g").write.mode("append").partitionBy("g").text(path)
+    put(lines.filter("g <> 3 or late = 0"))
+    materialize(spark, path, out, glob=GLOB)
+    for gone in (3, 5):
+        remove_folder(spark, f"{path}/g={gone}")
+    put(lines.filter("g = 3"))
+    streams.refresh(spark, path, out)
+    return read_build(spark, out)["session_stats"].select("session_id", _us("started_at").alias("started_us"), "user_messages", "assistant_messages", _r("cost_usd").alias("cost_usd"))
+
+
+@query(f"""SELECT g, lines + bad AS lines, bad AS bad_lines, CASE WHEN bad > 0 THEN 'bad lines' ELSE 'read' END AS status FROM
+  (SELECT user_id % {_GROUPS} AS g, CAST(count(*) AS BIGINT) AS lines FROM ({_RECORDS}) GROUP BY 1)
+  JOIN (SELECT user_id % {_GROUPS} AS g, CAST(count(*) FILTER (WHERE event_id % 1000 = 0) AS BIGINT) AS bad FROM ev GROUP BY 1) USING (g)""")
+def census_of_files(spark, sf_dir):
+    path, log = scratch_folder(spark), events_log(spark, sf_dir)
+    lines = log.select((F.regexp_extract("sessionId", "[0-9]+", 0).cast("long") % _GROUPS).alias("g"), F.to_json(F.struct(*log.columns)).alias("value"))
+    broken = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id % 1000 = 0").select((F.col("user_id") % _GROUPS).alias("g"), F.lit('{"type": broken').alias("value"))
+    lines.unionByName(broken).repartition("g").write.partitionBy("g").text(path)
+    return file_census(spark, path, GLOB).select(F.regexp_extract("file_path", "g=([0-9]+)", 1).cast("long").alias("g"), "lines", "bad_lines", "status")
+
+
 @query("SELECT tool AS tool_name, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE bad) AS BIGINT) AS failed FROM calls GROUP BY tool")
 def materialized_calls(spark, sf_dir):
     built = materialize(spark, _files(spark, sf_dir), scratch_folder(spark), glob=GLOB)

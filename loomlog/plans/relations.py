@@ -6,14 +6,14 @@ import functools
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from loomlog.functions.pricing import rates
-from loomlog.operators import cost, metrics, relations, search
-from loomlog.sources.logs import GLOB, list_files, raw_messages, read_log, within_days
-from loomlog.sources.scratch import stored
+from loomlog.operators import cost, relations, search
+from loomlog.sources.logs import GLOB, listing, raw_messages, read_log, within_days
+from loomlog.sources.scratch import remove_folder, stored, subfolders
 
 BUCKETS = 64
 
@@ -28,7 +28,7 @@ class Relations:
     def prepared(self) -> Relations:
         """The same relations over messages that are parsed once and written to the shared folder.
 
-        For questions that read the messages several times; a build that is kept does the same.
+        For questions that read the messages several times; a build derives from its written messages in the same way.
         """
         out = Relations(self.log, self.project_map, self.rates)
         out.__dict__["raw_messages"] = stored(self.raw_messages)
@@ -76,8 +76,15 @@ class Relations:
 
     @functools.cached_property
     def session_stats(self) -> DataFrame:
-        files = metrics.file_metrics(self.file_reads, self.file_writes, self.logical_sessions)
-        return relations.session_stats(self.logical_sessions, self.session_titles, metrics.tool_counts(self.tool_calls), files, metrics.command_list(self.message_commands), cost.session_cost(self.assistant_message_costs, self.rates))
+        return relations.session_stats(self.raw_messages, self.rates, self.project_map)
+
+    @functools.cached_property
+    def file_sessions(self) -> DataFrame:
+        return relations.file_sessions(self.raw_messages)
+
+    @functools.cached_property
+    def session_links(self) -> DataFrame:
+        return relations.session_links(self.raw_messages)
 
     @functools.cached_property
     def search_corpus(self) -> DataFrame:
@@ -89,6 +96,8 @@ class Relations:
 
 
 TABLES = ["raw_messages", "logical_sessions", "assistant_message_costs", "tool_calls", "message_blocks", "conversation_turns", "session_titles", "message_commands", "file_reads", "file_writes", "session_stats", "search_corpus"]
+#: Written beside the tables of a build, for its refresh.
+MAPS = ["file_sessions", "session_links"]
 _ORDER = {"raw_messages": "timestamp", "assistant_message_costs": "timestamp", "tool_calls": "called_at", "message_blocks": "timestamp", "conversation_turns": "timestamp"}
 
 
@@ -109,24 +118,42 @@ def session_bucket(buckets: int = BUCKETS):
     return F.pmod(F.hash("session_id"), F.lit(buckets))
 
 
-def write_tables(rel: Relations, out: str, mode: str = "overwrite", only=None, buckets: int = BUCKETS) -> str:
-    """Each relation partitioned by session bucket; only: a predicate on rows, for partial rewrites.
+# A build is a manifest: for each table and session bucket the folder that holds its rows, which may be that of
+# an earlier build. Below `out`:
+#   data/<table>/written_by=<build>/session_bucket=<n>   rows, never changed once written
+#   build=<build>/pointers, manifest, project_map          what the build consists of and was made from
+#   build_meta                                            one row for each build, written last: readers see whole builds only
+
+
+def _folder(out: str, name: str) -> str:
+    return f"{out}/data/{name}"
+
+
+def _shaped(df: DataFrame, name: str, buckets: int = BUCKETS) -> DataFrame:
+    """A relation as it is stored: with its bucket, without intervals, which Parquet doesn't hold."""
+    gone = {"logical_sessions": "duration", "session_stats": "duration", "tool_calls": "execution_time"}
+    return df.withColumn("session_bucket", session_bucket(buckets)).drop(gone.get(name, ""))
+
+
+def write_table(df: DataFrame, name: str, out: str, build: str) -> DataFrame:
+    """Write a stored relation's rows for a build; they are read back without the bucket."""
+    sort = [c for c in ("session_bucket", _ORDER.get(name)) if c]
+    path = f"{_folder(out, name)}/written_by={build}"
+    # Rebalancing splits the bucket of a giant session over several tasks and files.
+    df.hint("rebalance", "session_bucket").sortWithinPartitions(*sort).write.partitionBy("session_bucket").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).drop("session_bucket")
+
 
-    Returns the schemas as JSON, so that tables without rows can be read back.
+def write_tables(rel: Relations, out: str, build: str, given: dict[str, DataFrame] | None = None) -> str:
+    """Write all relations and maps for a build, each derived from those written before it, so that the log is parsed once.
+
+    given: rows to write as they are instead of the relation of that name. Returns the schemas as JSON.
     """
-    schemas = {}
-    for name in TABLES:
-        df = getattr(rel, name).withColumn("session_bucket", session_bucket(buckets))
-        if name in ("logical_sessions", "session_stats"):
-            df = df.drop("duration")  # Parquet keeps duration_sec
-        if name == "tool_calls":
-            df = df.drop("execution_time")
-        schemas[name] = json.loads(df.schema.json())
-        if only is not None:
-            df = df.filter(only)
-        sort = [c for c in ("session_bucket", _ORDER.get(name)) if c]
-        # Rebalancing splits the bucket of a giant session over several tasks and files.
-        df.hint("rebalance", "session_bucket").sortWithinPartitions(*sort).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("session_bucket").parquet(f"{out}/{name}")
+    rel, schemas, given = Relations(rel.log, rel.project_map, rel.rates), {}, given or {}
+    for name in TABLES + MAPS:
+        rows = _shaped(given[name] if name in given else getattr(rel, name), name)
+        schemas[name] = json.loads(rows.schema.json())
+        rel.__dict__[name] = write_table(rows, name, out, build)
     return json.dumps(schemas)
 
 
@@ -140,22 +167,66 @@ def build_meta(spark: SparkSession, out: str) -> DataFrame | None:
         return None
 
 
-def read_build(spark: SparkSession, out: str) -> dict[str, DataFrame]:
+def read_build(spark: SparkSession, out: str, maps: bool = False) -> dict[str, DataFrame]:
+    """The tables of the newest build (maps: those of its refresh too), from the folders that its pointers name."""
     meta = build_meta(spark, out)
     if meta is None:
         raise FileNotFoundError(f"{out} has no published build")
     stamp = meta.first()
-    schemas = json.loads(stamp["schemas"])
-    return {name: spark.read.schema(StructType.fromJson(schemas[name])).parquet(f"{out}/build={stamp['build_id']}/{name}") for name in TABLES}
+    schemas, tables = json.loads(stamp["schemas"]), {}
+    # At most a row for each table and bucket.
+    pointers = spark.read.parquet(f"{out}/build={stamp['build_id']}/pointers").collect()
+    for name in TABLES + (MAPS if maps else []):
+        schema = StructType.fromJson(schemas[name])
+        paths = [f"{_folder(out, name)}/written_by={p['written_by']}/session_bucket={p['session_bucket']}" for p in pointers if p["table_name"] == name]
+        reader = spark.read.schema(StructType([*schema.fields]).add("written_by", "string")).option("basePath", _folder(out, name))
+        tables[name] = reader.parquet(*paths).drop("written_by") if paths else spark.createDataFrame([], schema)
+    return tables
+
+
+def _pointers(spark: SparkSession, out: str, build: str, schemas: str) -> DataFrame:
+    """(table_name, session_bucket, written_by) of what a build wrote itself."""
+    parts = []
+    for name, schema in json.loads(schemas).items():
+        rows = spark.read.schema(StructType.fromJson(schema)).parquet(f"{_folder(out, name)}/written_by={build}")
+        parts.append(rows.select(F.lit(name).alias("table_name"), "session_bucket").distinct())
+    return functools.reduce(DataFrame.unionByName, parts).withColumn("written_by", F.lit(build))
+
 
+STAMP = "build_id string, source string, schemas string, days string, as_of string, glob string, has_map boolean, files_read long, bytes_read long"
 
-def _publish(spark: SparkSession, path: str, out: str, build: str, schemas: str, days: int | str = 0, as_of: str | None = None, glob: str = GLOB, project_map: DataFrame | None = None) -> None:
-    """The manifest and the project map, then the stamp, written last: readers see whole builds only."""
-    list_files(spark, path, glob).select("file_path", "modified").write.parquet(f"{out}/build={build}/manifest")
+
+def publish(spark: SparkSession, out: str, build: str, files: DataFrame, stamp: dict, kept: DataFrame | None = None, project_map: DataFrame | None = None) -> None:
+    """The manifest of files, the project map and the pointers, those of `kept` buckets to earlier builds, then the stamp."""
+    files.select("file_path", "modified", "size").write.parquet(f"{out}/build={build}/manifest")
     if project_map is not None:
         project_map.select("cwd", "project_name").write.parquet(f"{out}/build={build}/project_map")
-    stamp = [(build, path, schemas, str(days), as_of, glob, project_map is not None)]
-    spark.createDataFrame(stamp, "build_id string, source string, schemas string, days string, as_of string, glob string, has_map boolean").withColumn("built_at", F.current_timestamp()).write.mode("append").parquet(f"{out}/build_meta")
+    pointers = _pointers(spark, out, build, stamp["schemas"])
+    (pointers if kept is None else pointers.unionByName(kept)).coalesce(1).write.parquet(f"{out}/build={build}/pointers")
+    row = stamp | {"build_id": build, "has_map": project_map is not None}
+    names = [f.split()[0] for f in STAMP.split(", ")]
+    spark.createDataFrame([tuple(row[n] for n in names)], STAMP).withColumn("built_at", F.current_timestamp()).write.mode("append").parquet(f"{out}/build_meta")
+
+
+def vacuum(spark: SparkSession, out: str, keep: int = 2) -> int:
+    """Delete what none of the `keep` newest builds names; returns the number of folders deleted.
+
+    A reader of an older build loses its files, so keep as many builds as readers may hold.
+    """
+    builds = [r["build_id"] for r in spark.read.parquet(f"{out}/build_meta").orderBy(F.col("built_at").desc(), "build_id").select("build_id").limit(keep).collect()]
+    named = spark.read.parquet(*[f"{out}/build={b}/pointers" for b in builds]).distinct().collect()
+    live = {f"{p['table_name']}/written_by={p['written_by']}/session_bucket={p['session_bucket']}" for p in named}
+    whole = {x.rpartition("/")[0] for x in live}
+    gone = [f"{out}/{x}" for x in subfolders(spark, out) if x.startswith("build=") and x[6:] not in builds]
+    for name in subfolders(spark, f"{out}/data"):
+        for build in subfolders(spark, f"{out}/data/{name}"):
+            if f"{name}/{build}" not in whole:
+                gone.append(f"{out}/data/{name}/{build}")
+            else:
+                gone += [f"{out}/data/{name}/{build}/{b}" for b in subfolders(spark, f"{out}/data/{name}/{build}") if f"{name}/{build}/{b}" not in live]
+    for path in gone:
+        remove_folder(spark, path)
+    return len(gone)
 
 
 def windowed(log: DataFrame, days: int | str, as_of: str | None) -> DataFrame:
@@ -173,7 +244,8 @@ def materialize(spark: SparkSession, path: str, out: str, days: int | str = 0, a
     if not (reuse and build_meta(spark, out) is not None):
         if days != 0 and as_of is None:
             as_of = str(spark.sql("SELECT current_timestamp()").first()[0])
-        build = uuid.uuid4().hex
-        schemas = write_tables(Relations(windowed(read_log(spark, path, glob=glob), days, as_of), project_map), f"{out}/build={build}")
-        _publish(spark, path, out, build, schemas, days, as_of, glob, project_map)
+        build, files = uuid.uuid4().hex, stored(listing(spark, path, glob))
+        schemas = write_tables(Relations(windowed(read_log(spark, path, glob=glob), days, as_of), project_map), out, build)
+        read = files.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0).cast("long"))).first()
+        publish(spark, out, build, files, {"source": path, "schemas": schemas, "days": str(days), "as_of": as_of, "glob": glob, "files_read": read[0], "bytes_read": read[1]}, project_map=project_map)
     return read_build(spark, out)

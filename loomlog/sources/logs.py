@@ -13,7 +13,7 @@ from loomlog.sources.schemas import READ_SCHEMA
 GLOB = "*.jsonl"
 
 
-def read_log(spark: SparkSession, path: str, schema: str = READ_SCHEMA, glob: str = GLOB) -> DataFrame:
+def read_log(spark: SparkSession, path: str | list[str], schema: str = READ_SCHEMA, glob: str = GLOB) -> DataFrame:
     """All records below path, with file_path; bad lines stay as rows whose _corrupt is set.
 
     Unreadable files are skipped. A folder without logs gives the same columns and no rows.
@@ -92,6 +92,58 @@ def list_files(spark: SparkSession, path: str, glob: str = GLOB) -> DataFrame:
     return files.select(F.col("path").alias("file_path"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
 
 
+def listing(spark: SparkSession, path: str, glob: str = GLOB) -> DataFrame:
+    """(file_path, path, modified, size) of the log files: file_path as scans name it, path to open it by."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    return files.select(F.col("_metadata.file_path").alias("file_path"), "path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
+
+
+def _whole_gzip(batches):
+    """(file_path, content) to (file_path, whole): whether each gzip file ends as it should."""
+    import zlib
+
+    import pyarrow as pa
+
+    for batch in batches:
+        whole = []
+        for content in batch.column(1):
+            view, done = memoryview(content.as_buffer()), True
+            while len(view) and done:
+                part, at = zlib.decompressobj(31), 0
+                try:
+                    while at < len(view) and not part.eof:
+                        part.decompress(view[at : at + (1 << 20)])
+                        at += 1 << 20
+                except zlib.error:
+                    done = False
+                done = done and part.eof
+                view = view[len(view) - len(part.unused_data) - max(0, len(view) - at) :] if done and (part.unused_data or at < len(view)) else view[:0]
+            whole.append(done)
+        yield pa.record_batch([batch.column(0), pa.array(whole, pa.bool_())], names=["file_path", "whole"])
+
+
+def file_census(spark: SparkSession, path: str, glob: str = GLOB) -> DataFrame:
+    """(file_path, size, lines, bad_lines, status) of every file below path, those included that give no row; files without a byte are not listed.
+
+    The listing is held against what a scan reads. status: `unreadable` (no line of a file that
+    isn't empty), `cut` (fewer bytes read than the file has, or a gzip file that breaks off), `bad
+    lines` (lines that do not parse) or `read`. The lines of a file that breaks off may be
+    lost to readers; here it is named.
+    """
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+    name = F.col("_metadata.file_path").alias("file_path")
+    scanned = reader.text(path).select(name, F.octet_length("value").alias("n"), F.try_parse_json("value").isNull() & (F.trim("value") != "") & F.col("value").isNotNull()).toDF("file_path", "n", "bad")
+    read = scanned.groupBy("file_path").agg(F.count("*").alias("lines"), F.sum("n").alias("bytes"), F.count_if("bad").alias("bad_lines"))
+    packed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).filter(F.lower("path").endswith(".gz"))
+    ends = packed.select(name, "content").mapInArrow(_whole_gzip, "file_path string, whole boolean")
+    files = listing(spark, path, glob).select("file_path", "size").join(read, "file_path", "left").join(ends, "file_path", "left")
+    lines, plain = F.coalesce("lines", F.lit(0)), ~F.col("file_path").rlike(r"\.(gz|bz2|zst|lz4|snappy|deflate)$")
+    # A line's end takes one byte or two.
+    short = F.when(plain, F.col("size") > F.col("bytes") + 2 * F.col("lines")).otherwise(~F.coalesce("whole", F.lit(True)))
+    status = F.when(short & (lines > 0), "cut").when((lines == 0) | short, "unreadable").when(F.col("bad_lines") > 0, "bad lines").otherwise("read")
+    return files.select("file_path", "size", lines.cast("long").alias("lines"), F.coalesce("bad_lines", F.lit(0)).cast("long").alias("bad_lines"), status.alias("status"))
+
+
 def browse_raw(raw: DataFrame, session_prefix: str = "", record_type: str = "", page: int = 1, page_size: int = 20) -> DataFrame:
     """One page of raw records, newest first, by session prefix (LIKE wildcards apply) and type."""
     rows = raw.select(

@@ -24,3 +24,19 @@ def stored(df: DataFrame) -> DataFrame:
     folder = scratch_folder(df.sparkSession)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def _files(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders right below path; none if it is missing."""
+    fs, folder = _files(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(folder) if x.isDirectory()] if fs.exists(folder) else []
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    fs, folder = _files(spark, path)
+    fs.delete(folder, True)

@@ -10,10 +10,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from loomlog.functions.pricing import rates as default_rates
 from loomlog.functions.pricing import cost_expr, with_rates
-from loomlog.plans.relations import BUCKETS, TABLES, Relations, _publish, build_meta, materialize, read_build, session_bucket, windowed, write_tables
-from loomlog.sources.logs import GLOB, changed_files, list_files, read_log
+from loomlog.operators.relations import session_key, session_links
+from loomlog.plans.relations import BUCKETS, Relations, build_meta, materialize, publish, read_build, session_bucket, windowed, write_tables
+from loomlog.sources.logs import GLOB, changed_files, listing, raw_messages, read_log
 from loomlog.sources.schemas import READ_SCHEMA
-from loomlog.sources.scratch import stored
+from loomlog.sources.scratch import remove_folder, stored
 
 
 def stream_log(spark: SparkSession, path: str, schema: str = READ_SCHEMA, max_files: int = 1000, glob: str = GLOB) -> DataFrame:
@@ -53,7 +54,7 @@ def stream_sessions(stream: DataFrame, gap: str = "30 minutes", delay: str = "10
 
 
 def stream_into(stream: DataFrame, out: str, key: str = "message_id", order: str = "timestamp", checkpoint: str | None = None) -> StreamingQuery:
-    """Upsert a stream into Parquet by key, the row of least order staying; only touched key buckets are rewritten.
+    """Upsert a stream into Parquet by key, the row of least order staying, null order last; only touched key buckets are rewritten.
 
     A batch that is run again writes the same rows.
     """
@@ -71,10 +72,11 @@ def stream_into(stream: DataFrame, out: str, key: str = "message_id", order: str
                 raise
             old = new.limit(0)
         rest = [c for c in new.columns if c not in (key, "key_bucket")]
-        merged = old.unionByName(new).groupBy(key, "key_bucket").agg(F.min_by(F.struct(*rest), F.struct(order, *[c for c in rest if c == "uuid"])).alias("r")).select(key, "r.*", "key_bucket").select(*new.columns)
+        merged = old.unionByName(new).groupBy(key, "key_bucket").agg(F.min_by(F.struct(*rest), F.struct(F.col(order).isNull().alias("last"), order, *[c for c in rest if c == "uuid"])).alias("r")).select(key, "r.*", "key_bucket").select(*new.columns)
         staged = f"{out}.staged/{batch_id}-{uuid.uuid4().hex}"  # a table that is read cannot be overwritten in the same job
         merged.write.parquet(staged)
         spark.read.parquet(staged).repartition("key_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key_bucket").parquet(out)
+        remove_folder(spark, staged)
 
     writer = stream.writeStream.foreachBatch(upsert).trigger(availableNow=True)
     return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
@@ -88,12 +90,14 @@ def _window(stamp) -> int | str:
 def refresh(spark: SparkSession, path: str, out: str, project_map: DataFrame | None = None, as_of: str | None = None) -> bool:
     """Bring the relations below out up to date with the logs below path; False if there was nothing to do.
 
-    The build's own file pattern, retention window and project map hold on. Sessions of changed
-    files, and sessions that share a message or tool id with them before or after the change,
-    decide which session buckets are computed again; the others are copied to the new build,
-    which is published as a whole. A later as_of of a build with a window, or another project
-    map, touches any session: then all is built anew. If the pattern matches no file any more
-    though the build had some, FileNotFoundError is raised and the old build stays.
+    Only changed files, and the files of sessions that share a message or tool id with them, are
+    read: the build's maps of files and ids to sessions tell which. Session buckets with such
+    sessions are written anew, their other sessions from the old build; all other buckets are
+    referred to. The new build is published as a whole by its stamp, which keeps the number and
+    bytes of the files read. The build's own file pattern, retention window and project map hold
+    on; a later as_of of a build with a window, or another project map, touches any session: then
+    all is built anew. If the pattern matches no file any more though the build had some,
+    FileNotFoundError is raised and the old build stays.
     """
     meta = build_meta(spark, out)
     if meta is None:
@@ -101,7 +105,7 @@ def refresh(spark: SparkSession, path: str, out: str, project_map: DataFrame | N
         return True
     stamp, old = meta.first(), read_build(spark, out)
     days, glob, held = _window(stamp), stamp["glob"], f"{out}/build={stamp['build_id']}"
-    files, manifest = list_files(spark, path, glob), spark.read.parquet(f"{held}/manifest")
+    files, manifest = stored(listing(spark, path, glob)), spark.read.parquet(f"{held}/manifest")
     if files.isEmpty() and not manifest.isEmpty():
         raise FileNotFoundError(f"no file below {path} matches {glob}; the build stays as it is")
     known_map = spark.read.parquet(f"{held}/project_map") if stamp["has_map"] else None
@@ -109,31 +113,48 @@ def refresh(spark: SparkSession, path: str, out: str, project_map: DataFrame | N
     if new_map or days != 0 and as_of is not None and as_of != stamp["as_of"]:
         materialize(spark, path, out, days, as_of or stamp["as_of"], project_map if new_map else known_map, reuse=False, glob=glob)
         return True
-    plain = F.regexp_replace("file_path", "^file:/+", "file:///").alias("file_path")
-    names = changed_files(files, manifest).select(plain)
-    if names.isEmpty():
+    changes = stored(changed_files(files, manifest))
+    if changes.isEmpty():
         return False
-    log = read_log(spark, path, glob=glob).withColumn("file_path", plain)
-    fresh = Relations(windowed(log, days, stamp["as_of"]), known_map)
-    both = [old["raw_messages"].withColumn("file_path", plain), fresh.raw_messages]
-    # The keys that link sessions, of both sides, read once and small; each step over them is written.
-    keys = [rows.select("file_path", "session_id", F.col("message.id").alias("message"), "uuid") for rows in both]
-    keys = stored(keys[0].unionByName(keys[1]).distinct())
-    calls = [r.select("session_id", "tool_use_id") for r in (old["tool_calls"], fresh.tool_calls)]
-    calls = stored(calls[0].unionByName(calls[1]).filter("tool_use_id is not null").distinct())
-    sessions = stored(keys.join(names, "file_path", "left_semi").select("session_id").distinct())
-    # A changed session may own, or lose, the first copy of a message or a call's result of another session.
-    for table, column in ((keys, "message"), (keys, "uuid"), (calls, "tool_use_id")):
-        linked = table.select("session_id", F.col(column).alias("_id")).filter("_id is not null")
-        ids = linked.join(sessions, "session_id", "left_semi").select("_id").distinct()
-        sessions = stored(sessions.unionByName(linked.join(ids, "_id", "left_semi").select("session_id")).distinct())
-    touched = [r[0] for r in sessions.select(session_bucket().alias("b")).distinct().collect()]  # at most BUCKETS numbers
-    new = f"{out}/build={uuid.uuid4().hex}"
-    schemas = write_tables(fresh, new, mode="append", only=F.col("session_bucket").isin(touched))
-    for name in TABLES:
-        kept = old[name].filter(~F.col("session_bucket").isin(touched))
-        kept.write.mode("append").partitionBy("session_bucket").parquet(f"{new}/{name}")
-    _publish(spark, path, out, new.rpartition("build=")[2], schemas, days, stamp["as_of"], glob, known_map)
+    old = read_build(spark, out, maps=True)
+
+    def parsed(names: DataFrame) -> tuple[DataFrame, int, int]:
+        """Messages of the named files that are there, with the number of those and their bytes."""
+        # One path for each file that is read, as a scan's own listing holds on the driver anyway.
+        found = files.join(names, "file_path", "left_semi").select("path", "size").collect()
+        log = read_log(spark, [r["path"] for r in found], glob=glob) if found else read_log(spark, path, glob=glob).limit(0)
+        return raw_messages(windowed(log, days, stamp["as_of"])), len(found), sum(r["size"] for r in found)
+
+    own = lambda df: df.withColumn("_session", session_key())
+    news, n_changed, changed_bytes = parsed(changes.filter("change <> 'gone'").select("file_path"))
+    news = stored(news)
+    links = stored(session_links(news).unionByName(old["session_links"].select("kind", "id", "session_id")))
+
+    def linked(sessions: DataFrame) -> DataFrame:
+        """The sessions, and those that share an id with one of them."""
+        ids = own(links).join(sessions, "_session", "left_semi").select("kind", "id").distinct()
+        return stored(own(links.join(ids, ["kind", "id"], "left_semi")).select("_session").union(sessions).distinct())
+
+    # Sessions of changed files, before and after; those whose rows may change with them; those that their rows depend on.
+    before = old["file_sessions"].join(changes, "file_path", "left_semi").select("session_id")
+    touched = linked(stored(own(before.union(news.select("session_id"))).select("_session").distinct()))
+    around = linked(touched)
+    rest = own(old["file_sessions"]).join(around, "_session", "left_semi").select("file_path").distinct().join(changes, "file_path", "left_anti")
+    others, n_rest, rest_bytes = parsed(rest)
+    context = stored(own(news.unionByName(others)).join(around, "_session", "left_semi").drop("_session"))
+    buckets = [r[0] for r in touched.select(F.expr("nullif(_session, '\0')").alias("session_id")).select(session_bucket()).distinct().collect()]  # at most BUCKETS numbers
+
+    # What depends on other sessions is computed in their company; the remaining tables of a bucket follow from these.
+    fresh, given = Relations(context, known_map), {}
+    fresh.__dict__["raw_messages"] = context
+    for name in ("raw_messages", "assistant_message_costs", "tool_calls"):
+        stays = own(old[name].filter(F.col("session_bucket").isin(buckets))).join(touched, "_session", "left_anti").drop("_session", "session_bucket")
+        anew = own(getattr(fresh, name)).join(touched, "_session", "left_semi").drop("_session")
+        given[name] = stays.unionByName(anew.select(*stays.columns))
+    build = uuid.uuid4().hex
+    schemas = write_tables(Relations(context, known_map), out, build, given)
+    kept = spark.read.parquet(f"{held}/pointers").filter(~F.col("session_bucket").isin(buckets))
+    publish(spark, out, build, files, {"source": path, "schemas": schemas, "days": str(days), "as_of": stamp["as_of"], "glob": glob, "files_read": n_changed + n_rest, "bytes_read": changed_bytes + rest_bytes}, kept, known_map)
     return True
 
 
