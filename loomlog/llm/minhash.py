@@ -194,9 +194,10 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: i
     sets = written(map_arrow(found.select("node", "text"), run, "node long, hashes array<long>").groupBy("node").agg(F.first("hashes").alias("hashes")))
     # A hub has many pairs, so they are dealt by hub and slot; a slot's copy of the set is made only where it has a pair.
     slots = max(64, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    side = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(slots)).alias("sa"), F.pmod(F.xxhash64("a"), F.lit(slots)).alias("sb"))
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(slots)).alias("sa"), F.pmod(F.xxhash64("a"), F.lit(slots)).alias("sb"))
+    side = dealt
     for c in "ab":
-        own = side.select(c, f"s{c}").distinct().join(sets.withColumnRenamed("node", c).withColumnRenamed("hashes", f"h{c}"), c)
+        own = dealt.select(c, f"s{c}").distinct().join(sets.withColumnRenamed("node", c).withColumnRenamed("hashes", f"h{c}"), c)
         side = side.join(own, [c, f"s{c}"])
     both = F.size(F.array_intersect("ha", "hb"))
     return side.withColumn("both", both.cast("long")).filter(100 * F.col("both") >= percent * (F.size("ha") + F.size("hb") - F.col("both"))).select("a", "b")
@@ -237,7 +238,7 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, shingle: int = SHINGL
     labels = written(components(links)).withColumnRenamed("label", "known")
 
     # Lists with members of several components, in blocks: each pair of blocks is a part.
-    labelled = lists.join(labels, "node", "left").withColumn("label", F.coalesce("known", "node"))
+    labelled = written(lists.join(labels, "node", "left").select("node", "band", "key", "members", F.coalesce("known", "node").alias("label")))
     mixed = labelled.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("band", "key")
     blocks, own = F.ceil(F.col("members") / block).cast("int"), F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / block)).cast("int")
     dealt = labelled.join(mixed, ["band", "key"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
