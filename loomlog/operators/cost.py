@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomlog.functions.pricing import RATE_COLUMNS, cost_expr, priced, with_rates
 from loomlog.functions.text import BUILT_IN_COMMANDS, bucket_expr, category_expr
+from loomlog.operators.joins import spread_left_join
 from loomlog.operators.relations import blocks
 from loomlog.operators.running import in_order
 from loomlog.sources.scratch import stored
@@ -108,7 +109,9 @@ def cost_attribution(costs: DataFrame, msgs: DataFrame, calls: DataFrame, window
     rank = F.struct(F.when(F.col("block_type") == "tool_result", 0).otherwise(1), F.col("block_idx"))
     # One block for each parent first: the same choice as for each message, on fewer rows.
     chosen = parents.groupBy("parent_uuid").agg(F.min_by(F.struct("block_type", "tool_use_id"), rank).alias("b")).select("parent_uuid", F.col("b.block_type").alias("user_block_type"), F.col("b.tool_use_id").alias("tool_use_id"))
-    joined = own.join(chosen, "parent_uuid", "left").join(calls.select("tool_use_id", "tool_name", "tool_input"), "tool_use_id", "left")
+    # Calls are met by parent, before the messages: fewer rows, and most messages share parents with none.
+    caused = spread_left_join(chosen, calls.select("tool_use_id", "tool_name", "tool_input"), "tool_use_id", ["parent_uuid"]).drop("tool_use_id")
+    joined = spread_left_join(own, caused, "parent_uuid", ["uuid"], counted=own)
     return joined.select("session_id", "uuid", "timestamp", "is_sidechain", "model", "input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens", "cache_creation_5m", "cache_creation_1h", "user_block_type", "tool_name", "tool_input")
 
 

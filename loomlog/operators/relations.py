@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomlog.functions.pricing import cost_expr, with_rates
 from loomlog.functions.text import BUILT_IN_COMMANDS, WRITE_TOOLS, last_segment, tool_hint
+from loomlog.operators.joins import spread_left_join
 
 _SESSION = ["session_id", "started_at", "ended_at", "duration", "duration_sec", "user_messages", "assistant_messages", "model", "cwd", "project", "git_branch", "entrypoint"]
 
@@ -114,7 +115,7 @@ def tool_calls(msgs: DataFrame, dedupe: bool = False) -> DataFrame:
     if dedupe:
         calls = calls.groupBy("tool_use_id").agg(F.min_by(F.struct(*[c for c in calls.columns if c != "tool_use_id"]), F.struct("called_at", "assistant_uuid")).alias("_r")).select("tool_use_id", "_r.*")
         results = results.groupBy("tool_use_id").agg(F.min_by(F.struct("is_error", "tool_use_result", "result_at", "_uuid"), F.struct("result_at", "_uuid")).alias("_r")).select("tool_use_id", "_r.*")
-    joined = calls.join(results.drop("_uuid"), "tool_use_id", "left")
+    joined = spread_left_join(calls, results.drop("_uuid"), "tool_use_id", ["assistant_uuid", "called_at"])
     return joined.select("session_id", "called_at", "tool_name", "tool_use_id", "tool_input", "is_error", "tool_use_result", "result_at", (F.col("result_at") - F.col("called_at")).alias("execution_time"), ((F.unix_micros("result_at") - F.unix_micros("called_at")) / 1e6).alias("execution_sec"))
 
 
@@ -269,8 +270,11 @@ def session_timeline(msg_blocks: DataFrame, calls: DataFrame, costs: DataFrame)
     shown = msg_blocks.filter("kind <> 'tool_result'")
     call = calls.select("tool_use_id", "tool_use_result", "is_error", "execution_sec")
     usage = costs.select("uuid", "input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens")
-    first = F.row_number().over(Window.partitionBy("uuid").orderBy("timestamp", "block_idx")) == 1
-    rows = shown.withColumn("is_first_block", first & (F.coalesce("uuid", F.lit("")) != "")).join(call, "tool_use_id", "left").join(usage, "uuid", "left")
+    # Blocks without a uuid have no first one; they are dealt by other columns, not as one group.
+    known = F.coalesce("uuid", F.lit("")) != ""
+    first = F.row_number().over(Window.partitionBy("uuid", F.when(~known, F.xxhash64("session_id", "timestamp", "block_idx"))).orderBy("timestamp", "block_idx")) == 1
+    rows = spread_left_join(shown.withColumn("is_first_block", first & known), call, "tool_use_id", ["uuid", "timestamp", "block_idx"])
+    rows = spread_left_join(rows, usage, "uuid", ["session_id", "timestamp", "block_idx"])
     badge = F.col("is_first_block") & F.col("kind").isin("agent_text", "agent_thinking")
     return rows.select(
         "session_id", "timestamp", "block_idx", "uuid", "kind", "is_first_block", F.coalesce("is_sidechain", F.lit(False)).alias("is_sidechain"), "text", "thinking_text", "tool_name", "tool_use_id", tool_hint(F.coalesce("tool_name", F.lit("")), F.col("tool_input")).alias("tool_hint"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -48,13 +49,24 @@ def terms_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), 1)
 
 
+#: Postings of a segmented index lie in as many folders, by a hash of their term.
+TERM_BUCKETS = 64
+
+
+def term_bucket(term: Column) -> Column:
+    return F.pmod(F.hash(term), F.lit(TERM_BUCKETS))
+
+
 @dataclass
 class Index:
-    """postings(term, doc, tf), doc_len(doc, len), term_df(term, df), totals(n_docs, avg_len)."""
+    """postings(term, doc, tf), doc_len(doc, len), term_df(term, df), totals(n_docs, avg_len).
+
+    Postings may also hold `len` and `term_bucket`; term_df None: counted from the postings of a query's terms.
+    """
 
     postings: DataFrame
     doc_len: DataFrame
-    term_df: DataFrame
+    term_df: DataFrame | None
     totals: DataFrame
 
 
@@ -86,10 +98,16 @@ def bm25(index: Index, query: str, require_all: bool = False, limit: int | None
     """(doc, score) of documents with any, or all, of the query's terms."""
     terms = query_terms(query)
     hits = index.postings.filter(F.col("term").isin(terms))
-    stats = index.term_df.filter(F.col("term").isin(terms)).crossJoin(F.broadcast(index.totals))
+    if "term_bucket" in hits.columns:
+        # Hashes of constants are folded, so that only the terms' folders are read.
+        hits = hits.filter(functools.reduce(Column.__or__, [F.col("term_bucket") == term_bucket(F.lit(t)) for t in terms], F.lit(False)))
+    if "len" not in hits.columns:
+        hits = hits.join(index.doc_len, "doc")
+    found = hits.groupBy("term").agg(F.count("*").alias("df")) if index.term_df is None else index.term_df.filter(F.col("term").isin(terms))
+    stats = found.crossJoin(F.broadcast(index.totals))
     idf = stats.select("term", "avg_len", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = hits.join(F.broadcast(idf), "term").join(index.doc_len, "doc").groupBy("doc").agg(F.sum(part).alias("score"), F.count("*").alias("_k"))
+    scored = hits.join(F.broadcast(idf), "term").groupBy("doc").agg(F.sum(part).alias("score"), F.count("*").alias("_k"))
     if require_all:
         scored = scored.filter(F.col("_k") == len(terms))
     out = scored.drop("_k")

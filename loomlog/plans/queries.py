@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomlog.functions.pricing import unpriced_models
 from loomlog.functions.text import clean_title, snippet
-from loomlog.operators import cost, metrics, relations, search, series
+from loomlog.operators import cost, metrics, relations, search, segments, series
 from loomlog.plans.relations import Relations, ad_hoc, materialize, read_build, register_views
 from loomlog.plans.synth import chat_log, events_log
 from loomlog.sources.logs import browse_raw, changed_files, file_census, list_files, quarantine, raw_messages, raw_records, read_log, record_types, within_days
@@ -261,6 +261,19 @@ def search_calls(spark, sf_dir):
     return found.select("session_id", "tool_use_id", "project")
 
 
+@query("SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE bad) AS BIGINT) AS failed_total FROM calls WHERE project = 'proj1'")
+def search_call_totals(spark, sf_dir):
+    r = _rel(spark, sf_dir)
+    return metrics.call_totals(metrics.search_calls(r.tool_calls, r.logical_sessions, r.session_titles, project="proj1"))
+
+
+@query("SELECT session_id, id AS tool_use_id, epoch_us(ts) AS called_us, bad AS is_error FROM calls WHERE bad AND project = 'proj1' ORDER BY ts DESC, id LIMIT 20 OFFSET 40")
+def search_calls_third_page(spark, sf_dir):
+    r = _rel(spark, sf_dir)
+    page = metrics.newest_calls(metrics.search_calls(r.tool_calls, r.logical_sessions, r.session_titles, only_failed=True, project="proj1"), page=3, page_size=20)
+    return page.select("session_id", "tool_use_id", _us("called_at").alias("called_us"), "is_error")
+
+
 @query("SELECT tool AS tool_name, CAST(count(*) AS BIGINT) AS cnt, round(100.0 * count(*) FILTER (WHERE NOT bad) / count(*), 8) AS success_rate FROM calls GROUP BY tool")
 def tool_success(spark, sf_dir):
     return metrics.tool_success(_rel(spark, sf_dir).tool_calls).withColumn("success_rate", _r("success_rate"))
@@ -553,6 +566,16 @@ def cumulative_by_category(spark, sf_dir):
     return c.select("session_id", "idx", "uuid", "series", _r("inc_usd").alias("inc_usd"), _r("cum_usd").alias("cum_usd"))
 
 
+@query(_SER + """, inv AS (SELECT session_id, ts AS at, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) - 1 AS inv FROM ev WHERE event_id % 50 = 0),
+hit AS (SELECT e.event_id, max(i.inv) AS inv FROM ev e JOIN inv i ON i.session_id = e.session_id AND i.at <= e.ts WHERE e.side GROUP BY e.event_id)
+SELECT session_id, CAST(idx AS INT) AS idx, uuid, CAST(inv AS VARCHAR) AS series, round(inc, 8) AS inc_usd, round(sum(inc) OVER (PARTITION BY session_id, inv ORDER BY idx ROWS UNBOUNDED PRECEDING), 8) AS cum_usd
+FROM ser JOIN hit ON uuid = 'a' || CAST(event_id AS VARCHAR)""")
+def cumulative_by_invocation(spark, sf_dir):
+    r = _prep(spark, sf_dir)
+    c = series.cumulative_cost(r.cost_attribution, r.rates, "invocation", r.tool_calls)
+    return c.select("session_id", "idx", "uuid", "series", _r("inc_usd").alias("inc_usd"), _r("cum_usd").alias("cum_usd"))
+
+
 _DOWN = _SER + ", dn AS (SELECT *, CASE WHEN n > 20 THEN CAST(ceil(n / 12.0) AS INT) ELSE 1 END AS size FROM ser)"
 
 
@@ -653,6 +676,27 @@ def search_sessions(spark, sf_dir):
     return hits.select("session_id", "score", _us("timestamp").alias("ts_us"))
 
 
+@query(f"""SELECT session_id, score, epoch_us(TIMESTAMP '2024-01-01 00:00:00') + (conv_id * 3600 + turn * 60) * 1000000 AS ts_us FROM ({_FOUND.replace("role IN ('user', 'assistant')", "role = 'assistant'")})
+WHERE score > 0 AND conv_id * 3600 + turn * 60 >= 86400 ORDER BY score DESC, ts_us DESC LIMIT 30""", cte=False)
+def search_with_filters(spark, sf_dir):
+    r = Relations(chat_log(spark, sf_dir)).prepared()
+    hits = search.search_sessions(r.search_corpus, None, r.logical_sessions, r.session_stats, "the an", limit=30, cwd="/tmp/ch", role="assistant", since="2024-01-02 00:00:00")
+    return hits.select("session_id", "score", _us("timestamp").alias("ts_us"))
+
+
+@query(_bm25_sql(""), cte=False)
+def bm25_refreshed_index(spark, sf_dir):
+    """All documents in an index that began with other texts in some parts, without others, and with a part that goes later."""
+    out = scratch_folder(spark)
+    docs = _docs(spark, sf_dir).withColumn("part", F.pmod("doc", F.lit(8)))
+    other = F.when(F.col("part") < 3, F.concat(F.coalesce("content_text", F.lit("")), F.lit(" stone keit"))).otherwise(F.col("content_text"))
+    stale = docs.select((-1 - F.col("doc")).alias("doc"), F.lit(8).alias("part"), "content_text")
+    segments.sync(docs.filter("part < 6").withColumn("content_text", other).unionByName(stale), out)
+    for parts in ([0, 6], [1], [2, 7], [8]):
+        segments.sync(docs.filter(F.col("part").isin(parts)), out, parts)
+    return search.bm25(segments.open_index(spark, out), "Thering, keit stone").withColumn("score", _r("score", 6))
+
+
 # --- files and streams: the records are written as JSON lines first ---
 
 GLOB = "part-*"

@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from loomlog.functions.pricing import rates
 from loomlog.operators import cost, relations, search
@@ -101,6 +101,10 @@ MAPS = ["file_sessions", "session_links"]
 _ORDER = {"raw_messages": "timestamp", "assistant_message_costs": "timestamp", "tool_calls": "called_at", "message_blocks": "timestamp", "conversation_turns": "timestamp"}
 
 
+#: Rows and characters of a cell that an ad-hoc query shows.
+MAX_ROWS, MAX_CELL = 500, 200
+
+
 def register_views(spark: SparkSession, log: DataFrame, project_map: DataFrame | None = None, prefix: str = "") -> Relations:
     """The relations as temporary views, for ad-hoc SQL."""
     rel = Relations(log, project_map)
@@ -109,9 +113,17 @@ def register_views(spark: SparkSession, log: DataFrame, project_map: DataFrame |
     return rel
 
 
-def ad_hoc(spark: SparkSession, sql: str, limit: int = 500) -> DataFrame:
-    """Result of a SQL text over the views, at most 500 rows."""
-    return spark.sql(sql).limit(min(limit, 500))
+def ad_hoc(spark: SparkSession, sql: str, limit: int = MAX_ROWS, max_chars: int = MAX_CELL) -> DataFrame:
+    """Result of a query over the views: at most 500 rows, strings longer than max_chars cut there with "…".
+
+    The text stands as a subquery, so that whatever is no query (a command, an insert, several
+    statements) is an error of the parser before anything runs.
+    """
+    rows = spark.sql(f"SELECT * FROM (\n{sql.strip().rstrip(';')}\n)")
+    text = [f.dataType == StringType() for f in rows.schema]
+    names = [f"_c{i}" for i in range(len(text))]  # names may repeat
+    cut = lambda c: F.when(F.length(c) > max_chars, F.concat(F.substring(c, 1, max_chars), F.lit("…"))).otherwise(F.col(c))
+    return rows.toDF(*names).limit(max(1, min(limit, MAX_ROWS))).select(*[cut(n) if t else F.col(n) for n, t in zip(names, text)]).toDF(*rows.columns)
 
 
 def session_bucket(buckets: int = BUCKETS):
