@@ -11,12 +11,12 @@ from loomlog.sources.scratch import stored
 def frequent_keys(keys: DataFrame, key: str, parts: int) -> DataFrame:
     """(key, _pieces) of keys with more than two fair shares of the rows, of `parts` shares: at most parts / 2 rows.
 
-    A key's pieces are a quarter of a fair share each, so that several in one task do not weigh much;
-    all keys together have at most 4.5 x parts.
+    A key's pieces are an eighth of a fair share each, so that several in one task do not weigh much;
+    all keys together have at most 8.5 x parts.
     """
     counts = keys.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_c"))
     total = keys.agg(F.count("*").alias("_all"))
-    return counts.crossJoin(F.broadcast(total)).filter(F.col("_c") * parts > 2 * F.col("_all")).select(key, F.ceil(4 * F.col("_c") * parts / F.col("_all")).cast("int").alias("_pieces"))
+    return counts.crossJoin(F.broadcast(total)).filter(F.col("_c") * parts > 2 * F.col("_all")).select(key, F.ceil(8 * F.col("_c") * parts / F.col("_all")).cast("int").alias("_pieces"))
 
 
 def spread_left_join(left: DataFrame, right: DataFrame, key: str, spread: list[str], counted: DataFrame | None = None) -> DataFrame:
