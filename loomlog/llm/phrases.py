@@ -1,6 +1,6 @@
 """Phrase collocations from count streams kept in prefix order and in suffix order.
 
-Counts of words, word pairs and triples are pruned level by level: a phrase can only be frequent if
+Counts of phrases of up to four words are pruned level by level: a phrase can only be frequent if
 its parts are. A level is counted by 64-bit hashes of its phrases, whose collisions only add; the
 frequent hashes go to the next pass as a bit table of bounded size, in which a wrong hit costs work
 and changes no result. The last pass counts the phrases left as texts, so all counts are exact.
@@ -32,6 +32,10 @@ NO_LANG = "und"
 STEP = 1 << 21
 #: Hashes that a task holds before it adds them up.
 HELD = 1 << 22
+#: Distinct phrases whose counts a task of the last pass holds before it reports them.
+PHRASES_HELD = 1 << 20
+#: Phrases of up to so many words are counted by hash before the last pass.
+HASHED = 4
 #: The bit table of frequent hashes has between 2**20 and 2**MAX_BITS bits.
 MAX_BITS = 27
 
@@ -176,7 +180,7 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = MIN_COUN
     """From docs (lang, text): (lang, phrase, a) of all phrases of up to `longest` words that occur `least` times or more, and (lang, n)."""
     spark = docs.sparkSession
     tables: list = []
-    for size in range(1, min(3, longest) + 1):
+    for size in range(1, min(HASHED, longest) + 1):
         tables.append(_bit_table(spark, _frequent_hashes(docs, size, tables, least), max_bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +204,7 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = MIN_COUN
                     n = max(0, len(first) - size + 1)
                     ok = ok[:n] & ok[1 : n + 1] & words.together(size)
                     h = _joined(h[:n], first[size - 1 :]) if n else h[:0]
-                if size <= 3:
+                if size <= len(known):
                     ok = ok & _known(known[size - 1], h)
                 at = np.flatnonzero(ok)
                 if not len(at):
@@ -209,7 +213,7 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = MIN_COUN
                     own = at[here[at] == i]
                     if len(own):
                         seen.setdefault(lang, Counter()).update(words.phrases(own, size))
-            if sum(map(len, seen.values())) > HELD >> 4:
+            if sum(map(len, seen.values())) > PHRASES_HELD:
                 yield from (batch(*x) for x in seen.items())
                 seen = {}
         yield from (batch(*x) for x in seen.items())
