@@ -33,20 +33,33 @@ def rates(spark: SparkSession, rows=DEFAULT_RATES) -> DataFrame:
 MAX_INLINE_RATES = 500
 
 
+def longest_prefixes(models: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(model, prefix): the longest of the prefixes that begins each distinct model; models without one are left out.
+
+    A model is cut at the lengths that prefixes have and meets them by equality, so that neither a
+    long table nor many models lead to a loop over pairs. The lengths are one value.
+    """
+    known = prefixes.select("prefix").filter("prefix <> ''").distinct()
+    lengths = known.agg(F.collect_set(F.length("prefix"))).scalar()
+    cut = models.select("model").filter("model <> ''").distinct().withColumn("_lengths", lengths)
+    starts = cut.select("model", F.explode(F.filter("_lengths", lambda n: n <= F.length("model"))).alias("_n"))
+    return starts.withColumn("prefix", F.expr("substring(model, 1, _n)")).join(known, "prefix").groupBy("model").agg(F.max_by("prefix", "_n").alias("prefix"))
+
+
 def with_rates(df: DataFrame, rate_table: DataFrame) -> DataFrame:
     """Add r_<rate> columns by the longest prefix of `model`; null, empty and unknown models get zeros.
 
-    A rate table is a handful of rows, which become an expression; a longer one is matched
-    against the distinct models, so that the rows meet an equality join.
+    A rate table is a handful of rows, which become an expression; a longer one is matched with the
+    distinct models, whose rates the rows then meet by equality. Of rows with the same prefix, the
+    one with the lowest rates counts.
     """
     rows = rate_table.select("prefix", *RATE_COLUMNS).limit(MAX_INLINE_RATES + 1).collect()
     if len(rows) > MAX_INLINE_RATES:
-        known = rate_table.select("prefix", F.struct(*RATE_COLUMNS).alias("_rate"))
-        models = df.select("model").filter("model <> ''").distinct()
-        matched = models.join(known, F.col("model").startswith(F.col("prefix"))).groupBy("model").agg(F.max_by("_rate", F.length("prefix")).alias("_rate"))
+        known = rate_table.groupBy("prefix").agg(F.min(F.struct(*RATE_COLUMNS)).alias("_rate"))
+        matched = longest_prefixes(df, rate_table).join(known, "prefix").drop("prefix")
         joined = df.join(matched, "model", "left")
         return joined.select(*[df[c] for c in df.columns], *[F.coalesce(F.col(f"_rate.{c}"), F.lit(0.0)).alias(f"r_{c}") for c in RATE_COLUMNS])
-    rows = sorted((r for r in rows if r["prefix"]), key=lambda r: (-len(r["prefix"]), r["prefix"]))
+    rows = sorted((r for r in rows if r["prefix"]), key=lambda r: (-len(r["prefix"]), r["prefix"], [(x is not None, x) for x in r[1:]]))
     place = F.lit(0)
     for i, row in reversed(list(enumerate(rows, 1))):
         place = F.when(F.col("model").startswith(row["prefix"]), i).otherwise(place)
@@ -77,4 +90,4 @@ def priced(costs: DataFrame, rate_table: DataFrame) -> DataFrame:
 def unpriced_models(costs: DataFrame, rate_table: DataFrame) -> DataFrame:
     """(model, messages, tokens) of models without a rate, the synthetic one left out."""
     named = costs.filter("model <> '' and model <> '<synthetic>'").groupBy("model").agg(F.count("*").alias("messages"), F.sum(F.col("input_tokens") + F.col("output_tokens") + F.col("cache_read_tokens") + F.col("cache_creation_tokens")).alias("tokens"))
-    return named.join(F.broadcast(rate_table.select("prefix")), F.col("model").startswith(F.col("prefix")), "left_anti")
+    return named.join(longest_prefixes(named, rate_table), "model", "left_anti")

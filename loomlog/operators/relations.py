@@ -10,6 +10,8 @@ from loomlog.functions.text import BUILT_IN_COMMANDS, WRITE_TOOLS, last_segment,
 from loomlog.operators.joins import spread_left_join
 
 _SESSION = ["session_id", "started_at", "ended_at", "duration", "duration_sec", "user_messages", "assistant_messages", "model", "cwd", "project", "git_branch", "entrypoint"]
+#: Columns of which a session takes the earliest value.
+_FIRSTS = ["model", "cwd", "git_branch", "entrypoint"]
 
 
 def _content(path: str, kind: str = "string") -> Column:
@@ -40,25 +42,53 @@ def with_project(df: DataFrame, project_map: DataFrame | None) -> DataFrame:
     return df.join(names, "cwd", "left").withColumn("project", F.coalesce("_name", fallback)).select(*df.columns, "project")
 
 
-def logical_sessions(msgs: DataFrame, project_map: DataFrame | None = None) -> DataFrame:
-    """One row per session: span, message counts, and its earliest model, directory, branch and entry point.
-
-    A user message counts unless its first block is a tool result. Durations are elapsed time.
-    """
+def _counted(msgs: DataFrame, firsts: list[Column]) -> DataFrame:
+    """Span and message counts of each session, and what `firsts` make of its rows."""
     typed = (F.col("type") == "user") & (F.col("role") == "user")
     rows = msgs.select("session_id", "timestamp", "uuid", "type", "role", "model", "cwd", "git_branch", "entrypoint", _content("$[0].type").alias("_block"))
-    out = rows.groupBy("session_id").agg(
+    return rows.groupBy("session_id").agg(
         F.min("timestamp").alias("started_at"),
         F.max("timestamp").alias("ended_at"),
         F.count_if(typed & ~F.col("_block").eqNullSafe(F.lit("tool_result"))).alias("user_messages"),
         F.count_if(F.col("type") == "assistant").alias("assistant_messages"),
-        *[first_filled(c) for c in ("model", "cwd", "git_branch", "entrypoint")],
+        *firsts,
     )
-    out = out.withColumn("duration", F.col("ended_at") - F.col("started_at"))
+
+
+def _with_durations(sessions: DataFrame, project_map: DataFrame | None) -> DataFrame:
+    out = sessions.withColumn("duration", F.col("ended_at") - F.col("started_at"))
     out = out.withColumn("duration_sec", (F.unix_micros("ended_at") - F.unix_micros("started_at")) / 1e6)
     return with_project(out, project_map).select(*_SESSION)
 
 
+def logical_sessions(msgs: DataFrame, project_map: DataFrame | None = None) -> DataFrame:
+    """One row per session: span, message counts, and its earliest model, directory, branch and entry point.
+
+    A user message counts unless its first block is a tool result. Durations are elapsed time.
+    """
+    return _with_durations(_counted(msgs, [first_filled(c) for c in _FIRSTS]), project_map)
+
+
+def session_states(msgs: DataFrame) -> DataFrame:
+    """What some messages tell of their sessions, so that states of several parts of a log can be added up.
+
+    An earliest value stands with its place (timestamp, uuid), which decides between parts.
+    """
+    placed = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("timestamp", "uuid", F.col(c).alias("value")))).alias(c)
+    return _counted(msgs, [placed(c) for c in _FIRSTS])
+
+
+def merged_states(states: DataFrame) -> DataFrame:
+    """One state per session from the states of parts that have no message in common, in any order."""
+    sums = [F.sum(c).alias(c) for c in ("user_messages", "assistant_messages")]
+    return states.groupBy("session_id").agg(F.min("started_at").alias("started_at"), F.max("ended_at").alias("ended_at"), *sums, *[F.min(c).alias(c) for c in _FIRSTS])
+
+
+def sessions_of_states(states: DataFrame, project_map: DataFrame | None = None) -> DataFrame:
+    """The rows of logical_sessions from session states."""
+    return _with_durations(merged_states(states).withColumns({c: F.col(f"{c}.value") for c in _FIRSTS}), project_map)
+
+
 def message_costs(msgs: DataFrame) -> DataFrame:
     """Token usage, one row per message id: of its copies the earliest counts. Rows without an id are dropped."""
     tokens = lambda path: F.coalesce(F.col(f"message.usage.{path}"), F.lit(0).cast("long"))

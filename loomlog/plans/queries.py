@@ -14,6 +14,7 @@ from loomlog.plans.relations import Relations, ad_hoc, materialize, read_build,
 from loomlog.plans.synth import chat_log, events_log
 from loomlog.sources.logs import browse_raw, changed_files, file_census, list_files, quarantine, raw_messages, raw_records, read_log, record_types, within_days
 from loomlog.sources.scratch import remove_folder, scratch_folder, stored
+from loomlog.streaming import rollup
 from loomlog.streaming import stream as streams
 
 AS_OF = "2024-01-25 12:00:00"
@@ -102,12 +103,18 @@ def _r(c, places: int = 8):
 # --- relations ---
 
 
-@query("SELECT session_id, epoch_us(started_at) AS started_us, epoch_us(ended_at) AS ended_us, round(dur, 8) AS duration_sec, user_messages, assistant_messages, model, cwd, project, branch AS git_branch, 'cli' AS entrypoint FROM sesd")
-def logical_sessions(spark, sf_dir):
-    s = _rel(spark, sf_dir).logical_sessions
+_SESSIONS_SQL = "SELECT session_id, epoch_us(started_at) AS started_us, epoch_us(ended_at) AS ended_us, round(dur, 8) AS duration_sec, user_messages, assistant_messages, model, cwd, project, branch AS git_branch, 'cli' AS entrypoint FROM sesd"
+
+
+def _session_rows(s: DataFrame) -> DataFrame:
     return s.select("session_id", _us("started_at").alias("started_us"), _us("ended_at").alias("ended_us"), _r("duration_sec").alias("duration_sec"), "user_messages", "assistant_messages", "model", "cwd", "project", "git_branch", "entrypoint")
 
 
+@query(_SESSIONS_SQL)
+def logical_sessions(spark, sf_dir):
+    return _session_rows(_rel(spark, sf_dir).logical_sessions)
+
+
 @query("SELECT session_id, 'a' || CAST(event_id AS VARCHAR) AS uuid, 'u' || CAST(prev_id AS VARCHAR) AS parent_uuid, epoch_us(ts) AS ts_us, side AS is_sidechain, model, 'm' || CAST(event_id AS VARCHAR) AS message_id, inp AS input_tokens, outp AS output_tokens, rd AS cache_read_tokens, wr AS cache_creation_tokens, w5 AS cache_creation_5m, w1 AS cache_creation_1h FROM ev")
 def message_costs(spark, sf_dir):
     c = _rel(spark, sf_dir).assistant_message_costs
@@ -851,3 +858,13 @@ def streamed_upsert(spark, sf_dir):
     out = scratch_folder(spark)
     streams.stream_into(streams.stream_usage(_stream(spark, sf_dir)), out, checkpoint=scratch_folder(spark)).awaitTermination()
     return spark.read.parquet(out).groupBy("model").agg(F.count("*").alias("messages"), F.sum("output_tokens").alias("output_tokens"))
+
+
+@query(_SESSIONS_SQL)
+def streamed_sessions(spark, sf_dir):
+    """Ten micro-batches, each with a part of the records of every session; eight of them are merged on the way."""
+    path, out, log = scratch_folder(spark), scratch_folder(spark), events_log(spark, sf_dir)
+    lines = log.select((F.crc32("uuid") % 10).alias("g"), F.to_json(F.struct(*log.columns)).alias("value"))
+    lines.repartition("g").write.partitionBy("g").text(path)
+    rollup.stream_rollup(streams.stream_log(spark, path, max_files=1, glob=GLOB), out, scratch_folder(spark)).awaitTermination()
+    return _session_rows(rollup.read_rollup(spark, out))

@@ -37,6 +37,11 @@ def subfolders(spark: SparkSession, path: str) -> list[str]:
     return [x.getPath().getName() for x in fs.listStatus(folder) if x.isDirectory()] if fs.exists(folder) else []
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, file = _files(spark, path)
+    return fs.exists(file)
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     fs, folder = _files(spark, path)
     fs.delete(folder, True)

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loomlog.functions.pricing import cost_expr, rates, unpriced_models, with_rates
+from loomlog.functions.pricing import MAX_INLINE_RATES, RATE_COLUMNS, cost_expr, longest_prefixes, rates, unpriced_models, with_rates
 from loomlog.operators import cost, series
 from loomlog.plans.relations import Relations
 from loomlog.sources.logs import read_log
@@ -45,6 +45,25 @@ def test_unpriced_models(rel):
     assert [(x.model, x.messages, x.tokens) for x in unpriced_models(r.assistant_message_costs, r.rates).collect()] == [("other", 1, 2 * 10**6)]
 
 
+def test_long_rate_tables_meet_models_by_equality(spark):
+    """100,000 prefixes, many nested, some twice; the same rates as the expression over the few that matter gives."""
+    odd = [("m", 1.0), ("m1", 2.0), ("m1", 3.0), ("m12", 4.0), ("é", 5.0), ("", 9.0)]
+    few = rates(spark, [(p, *[r] * 5) for p, r in odd])
+    many = few.union(spark.range(100_000).select(F.concat(F.lit("x"), F.col("id").cast("string")), *[(F.col("id") + 10).cast("double") for _ in RATE_COLUMNS]))
+    names = [None, "", "m", "m1", "m123", "m2", "M1", "él", "é", "zz", "x", "m1" + "9" * 100_000]
+    models = spark.createDataFrame([(m,) for m in names], "model string")
+    long, short = with_rates(models, many), with_rates(models, few)
+    assert {r.model: r.r_input for r in long.collect()} == {r.model: r.r_input for r in short.collect()} and long.count() == len(names)
+    assert {r.r_input for r in long.filter("model like 'm1%'").collect()} == {2.0, 4.0}
+    more = spark.createDataFrame([("x999999",), ("x12",), ("x1a",)], "model string")
+    assert {r.model: r.r_input for r in with_rates(more, many).collect()} == {"x999999": 100009.0, "x12": 22.0, "x1a": 11.0}
+    assert many.count() > MAX_INLINE_RATES
+    for plan in (long, longest_prefixes(models, many)):
+        text_of = plan._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in text_of and "NestedLoop" not in text_of
+    assert longest_prefixes(models, few.limit(0)).count() == 0
+
+
 def costs_of(spark, values):
     return spark.createDataFrame([(f"s{i:02d}", float(v)) for i, v in enumerate(values)], "session_id string, cost_usd double")
 
