@@ -12,6 +12,8 @@ from loomlog.operators.running import in_order
 RAW_LIMIT, MAX_BUCKETS = 200, 120
 SPIKE_MIN_N, SPIKE_TOP, SPIKE_FLOOR, SPIKE_FACTOR = 6, 6, 0.02, 1.5
 SLOPE_MIN_N, SLOPE_TOP, SLOPE_WINDOW, SLOPE_SIGMAS, SLOPE_RADIUS, SLOPE_MIN_RISES = 10, 8, 5, 1.5, 5, 2
+#: How far the bracket of a median reaches to both sides, as a part of the messages; messages in a cell of a lag.
+MEDIAN_SLACK, LAG_CELL = 0.001, 4096
 
 
 def cost_series(attribution: DataFrame, rates: DataFrame) -> DataFrame:
@@ -47,11 +49,23 @@ def downsample(series: DataFrame, raw_limit: int = RAW_LIMIT, max_buckets: int =
 
 
 def _medians(series: DataFrame) -> DataFrame:
-    """(session_id, _n, _m): messages and median cost of each session with enough of them; the middle is found by number, so that no task holds a session."""
-    sizes = series.groupBy("session_id").agg(F.count("*").alias("_n"), F.count("inc_usd").alias("_k")).filter(F.col("_n") >= SPIKE_MIN_N)
-    by_value = in_order(series.select("session_id", "inc_usd").filter("inc_usd is not null"), ["session_id"], ["inc_usd"], number="_v")
-    middle = by_value.join(sizes, "session_id").filter(F.col("_v").between(F.floor((F.col("_k") - 1) / 2), F.ceil((F.col("_k") - 1) / 2)))
-    return middle.groupBy("session_id").agg(F.max("_n").alias("_n"), F.avg("inc_usd").alias("_m"))
+    """(session_id, _n, _m): messages and median cost of each session with enough of them, exact.
+
+    A quantile sketch brackets the middle, at a slack ten times its error; the values between are
+    counted one by one, those below as a whole. So no task sorts a session: what is ordered are the
+    distinct values in two thousandths of its messages. A sketch beyond its error would be an error.
+    """
+    within = F.percentile_approx("inc_usd", F.array(*[F.lit(0.5 + d) for d in (-MEDIAN_SLACK, MEDIAN_SLACK)]), int(10 / MEDIAN_SLACK))
+    sessions = series.groupBy("session_id").agg(F.count("*").alias("_n"), F.count("inc_usd").alias("_k"), within.alias("_b")).filter(F.col("_n") >= SPIKE_MIN_N)
+    low, high = F.col("_b")[0], F.col("_b")[1]
+    up_to = series.select("session_id", "inc_usd").join(sessions, "session_id").filter(F.col("inc_usd") <= high)
+    counts = up_to.groupBy("session_id", "_n", "_k", F.when(F.col("inc_usd") >= low, F.col("inc_usd")).alias("_v")).agg(F.count("*").alias("_c"))
+    order = Window.partitionBy("session_id").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first, last = F.floor((F.col("_k") - 1) / 2), F.ceil((F.col("_k") - 1) / 2)
+    placed = counts.withColumn("_to", F.sum("_c").over(order)).withColumn("_from", F.col("_to") - F.col("_c")).filter("_v is not null")
+    middle = F.avg(F.when((F.col("_to") > first) & (F.col("_from") <= last), F.col("_v")))
+    held = (F.min(F.col("_from") - first) <= 0) & (F.max(F.col("_to") - last) > 0)
+    return placed.groupBy("session_id").agg(F.max("_n").alias("_n"), F.when(held, middle).otherwise(F.raise_error(F.lit("median outside its bracket")).cast("double")).alias("_m"))
 
 
 def spikes(series: DataFrame) -> DataFrame:
@@ -61,10 +75,22 @@ def spikes(series: DataFrame) -> DataFrame:
     return over.withColumn("_r", rank).filter(F.col("_r") <= SPIKE_TOP).select("session_id", "idx", "uuid", "inc_usd", "cum_usd")
 
 
+def series_lag(series: DataFrame, value: str, back: int, cell: int = LAG_CELL) -> DataFrame:
+    """series with _then: value `back` messages earlier in the session, null if there is none.
+
+    Sessions are cut into cells of messages, each with the last few of the cell before, so that
+    one shuffle is enough and no task holds a session.
+    """
+    own = F.floor(F.col("idx") / cell)
+    cells = F.when(F.col("idx") % cell >= cell - back, F.array(own, own + 1)).otherwise(F.array(own))
+    earlier = Window.partitionBy("session_id", "_cell").orderBy("idx").rangeBetween(-back, -back)
+    dealt = series.withColumn("_cell", F.explode(cells)).withColumn("_then", F.max(value).over(earlier))
+    return dealt.filter(F.col("_cell") == own).drop("_cell")
+
+
 def slopes(series: DataFrame, spike_rows: DataFrame) -> DataFrame:
     """(session_id, idx, uuid, inc_usd, cum_usd): steep stretches away from spikes, the steepest few of each session."""
-    then = series.select("session_id", (F.col("idx") + SLOPE_WINDOW).alias("idx"), F.col("cum_usd").alias("_then"))
-    rise = series.join(then, ["session_id", "idx"], "left").withColumn("rise", F.col("cum_usd") - F.col("_then"))
+    rise = series_lag(series, "cum_usd", SLOPE_WINDOW).withColumn("rise", F.col("cum_usd") - F.col("_then"))
     up = F.when(F.col("rise") > 0, F.col("rise"))
     stats = rise.groupBy("session_id").agg(F.count("*").alias("_n"), F.count(up).alias("_k"), F.stddev_pop(up).alias("_sd")).filter((F.col("_n") >= SLOPE_MIN_N) & (F.col("_k") >= SLOPE_MIN_RISES) & (F.col("_sd") > 0))
     near = spike_rows.groupBy("session_id").agg(F.collect_list("idx").alias("_spikes"))  # a handful at most

@@ -1,3 +1,6 @@
+import random
+import statistics
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,6 +157,20 @@ def test_spikes_and_slopes(spark):
     assert kept == {12, 13, 14} and all(min(abs(s.idx - k) for k in kept) > 5 for s in series.slopes(hill, series.spikes(hill)).collect())
 
 
+def test_medians_equal_sorting_and_lags_equal_looking_up(spark):
+    draw = random.Random(5)
+    values = {f"n{n}": [draw.choice([0.0, 0.25, draw.random(), 1e-9, 1e9]) for _ in range(n)] for n in [*range(6, 24), 100, 999, 1000, 5001]}
+    values |= {"big": [draw.lognormvariate(0, 4) for _ in range(40_000)], "equal": [0.5] * 3000, "two": [0.0] * 2000 + [1.0] * 2000, "few": [1.0] * 5, "nulls": [None, None, *[3.0, 1.0] * 4]}
+    rows = [(k, i, v, draw.random()) for k, vs in values.items() for i, v in enumerate(vs)]
+    s = spark.createDataFrame(rows, "session_id string, idx int, inc_usd double, cum_usd double").repartition(7)
+    got = {r.session_id: (r._n, r._m) for r in series._medians(s).collect()}
+    assert got == {k: (len(v), statistics.median(x for x in v if x is not None)) for k, v in values.items() if len(v) >= 6}
+    at = {r[:2]: r[3] for r in rows}
+    for cell in (5, 7, 4096):
+        assert all(r._then == at.get((r.session_id, r.idx - 5)) for r in series.series_lag(s, "cum_usd", 5, cell).collect())
+    assert series.series_lag(s, "cum_usd", 5, 7).count() == len(rows) and series._medians(s.limit(0)).count() == 0
+
+
 def test_downsample_and_markers(spark):
     s = points(spark, [0.01] * 249 + [5.0])
     d = series.downsample(s)
