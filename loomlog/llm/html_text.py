@@ -6,7 +6,8 @@ their container and content. Over the pages of a host, tokens with the same occu
 hashes of (page, occurrences) stand for it, which Spark combines before shuffling, so a host of
 any size is no single group. Classes that enough pages share are valid; ordered by place and
 nested by container they are the host's template. Blocks of text in a class with an element
-are part of the template and go. What varies remains in the template's slots: the slot that
+are part of the template and go, and so do blocks of many pages, though not of all, whose class
+is nested in that of a container in which most text varies. What varies remains in the template's slots: the slot that
 holds most of it is the main one, and its text is extracted. A page without that slot is judged
 by its own containers.
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,6 +36,8 @@ from loomlog.llm.common import map_arrow, texts_of, written
 MIN_SHARE = 0.5
 #: Distinct pages that a block of text must occur on to belong to a template.
 MIN_PAGES = 3
+#: As many for a block that is not on all pages of an element, at least, of a map of 64 places.
+MANY_PAGES = 6
 
 # Never gives back what it matched: a tag that does not end is found so in one pass over the rest.
 _TAG = re.compile(r"<(?:(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>|[!?/][^>]*+>)")
@@ -232,7 +236,7 @@ _ARROW = {"pid": pa.int64(), "parent": pa.int64(), "label": pa.string(), "depth"
 
 
 def templates(df: DataFrame, min_share: float = MIN_SHARE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The valid tokens of each host: (host, class_id, support, pid, parent, label, depth, is_main, text, place, chars).
+    """The valid tokens of each host: (host, class_id, support, pid, parent, label, depth, is_main, text, place, chars, many).
 
     Tokens with one class_id share their occurrence vector. A class is valid if enough of the
     host's pages have it, and at least half that share of the distinct pages, which a 64-bit map
@@ -258,26 +262,33 @@ def templates(df: DataFrame, min_share: float = MIN_SHARE, id_col: str = "page_i
     size = rows.groupBy("host").agg(F.count("*").alias("pages"), seen.alias("all_seen"))
     share = (F.col("support") >= min_share * F.col("pages")) & (2 * F.bit_count("seen") >= min_share * F.bit_count("all_seen"))
     valid = stats.join(size, "host").filter(share & ((F.col("text") == 0) | (F.bit_count("seen") >= MIN_PAGES)))
-    return valid.select("host", F.xxhash64("support", "v1", "v2").alias("class_id"), "support", "pid", "parent", "label", "depth", "is_main", "text", (F.col("place") / F.col("support")).alias("place"), "chars")
+    many = (F.bit_count("seen") >= MANY_PAGES).alias("many")
+    return valid.select("host", F.xxhash64("support", "v1", "v2").alias("class_id"), "support", "pid", "parent", "label", "depth", "is_main", "text", (F.col("place") / F.col("support")).alias("place"), "chars", many)
 
 
 def nested(tokens: list[tuple]) -> tuple[int | None, list[int], dict[int, int | None]]:
     """Main slot, fixed blocks of text, and the class that each class is nested in, from one host's template.
 
-    tokens: (class_id, pid, parent, label, depth, is_main, text, place, chars). A block of text
-    whose class has an element too is fixed. A class hangs below the class of the container of
-    its first and highest token. What varies in a container is its text without the fixed blocks;
+    tokens: (class_id, pid, parent, label, depth, is_main, text, place, chars, many). A class hangs
+    below the class of the container of its first and highest token. A block of text whose class
+    has an element too is fixed; so is one on many pages whose class hangs below another, if most
+    text of its container is in no class. What varies in a container is its text without the fixed blocks;
     where that is less than half of the main slot, nothing counts as fixed.
     """
     tokens = sorted(tokens, key=lambda t: (t[4], t[7], t[1], t[6]))
     elements = {t[1]: t for t in tokens if not t[6]}
     with_element = {t[0] for t in elements.values()}
-    fixed = [t for t in tokens if t[6] and t[0] in with_element]
     above: dict[int, int | None] = {}
     for t in tokens:
         if t[0] not in above:
             holder = elements.get(t[1] if t[6] else t[2])
             above[t[0]] = holder[0] if holder and holder[0] != t[0] else None
+    shared = Counter()
+    for t in tokens:
+        if t[6]:
+            shared[t[1]] += t[8]
+    around = lambda t: t[9] and above[t[0]] is not None and 2 * shared[t[1]] <= elements[t[1]][8] if t[1] in elements else False
+    fixed = [t for t in tokens if t[6] and (t[0] in with_element or around(t))]
     varying = {pid: t[8] for pid, t in elements.items()}
     for t in fixed:
         pid = t[1]
@@ -297,7 +308,7 @@ def main_slots(classes: DataFrame) -> DataFrame:
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        slot, fixed, _ = nested(list(pdf[["class_id", "pid", "parent", "label", "depth", "is_main", "text", "place", "chars"]].itertuples(index=False, name=None)))
+        slot, fixed, _ = nested(list(pdf[["class_id", "pid", "parent", "label", "depth", "is_main", "text", "place", "chars", "many"]].itertuples(index=False, name=None)))
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "slot": pd.array([slot], "Int64"), "fixed": [fixed]})
 
     return classes.groupBy("host").applyInPandas(run, "host string, slot long, fixed array<long>")

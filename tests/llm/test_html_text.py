@@ -100,6 +100,22 @@ def test_fixed_text_goes_and_prose_stays(spark):
     assert texts(spark, [page(i, inside.format(i)) for i in range(6)]) == [f"Text {i}\nProse {i}\nMore {i}" for i in range(6)]
 
 
+@pytest.mark.parametrize("on,goes", [(10, True), (9, True), (7, True), (4, False)])
+def test_text_of_many_pages_goes_though_not_of_all(spark, on, goes):
+    """A promotion among the paragraphs of some of ten pages; the same paragraph on a few pages is prose."""
+    promo = "Win ten percent off this week only"
+    own = [f"{'words ' * (40 + i)}of {i}" for i in range(10)]
+    rows = [page(i, f"<article><p>{own[i]}</p>" + f"<p>{promo}</p>" * (i < on) + f"<p>End {i}</p></article>") for i in range(10)]
+    assert texts(spark, rows) == [f"{own[i]}\n" + f"{promo}\n" * (i < on and not goes) + f"End {i}" for i in range(10)]
+
+
+def test_versions_of_one_article_stay(spark):
+    """Eight of ten pages share most of their text: nothing of it varies, so it is no template."""
+    shared = "The same long article. " * 20
+    rows = [page(i, f"<article><p>{shared if i < 8 else 'Another one. ' * 9}</p><p>Edited {i}</p></article>") for i in range(10)]
+    assert texts(spark, rows) == [f"{(shared if i < 8 else 'Another one. ' * 9).strip()}\nEdited {i}" for i in range(10)]
+
+
 def test_copies_of_a_page_are_no_template(spark):
     rows = [page(1, "<article><p>Copied</p></article>")] * 8 + [page(i, f"<article><p>Own {i}</p></article>") for i in range(2, 7)]
     rows = [(i, u, h) for i, (_, u, h) in enumerate(rows)]
