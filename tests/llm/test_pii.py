@@ -88,6 +88,14 @@ def test_digest_and_edge_cases(spark):
     assert hashlib.sha256(b"").hexdigest() == found.filter("doc_id = 3").select(F.sha2(pii.spans_text(F.col("base")).cast("binary"), 256)).first()[0]
 
 
+def test_query_counts_each_kind(spark, tmp_path):
+    rows = [(1, "a@b.c c@d.e 10.1.2.3"), (2, "+49 30 1234567"), (3, "4111 1111 1111 1111 f@g.h"), (4, None)]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone) for r in pii.op10_pii(spark, str(tmp_path)).collect()}
+    want = {i: tuple(sum(kind == k for _, kind, _ in brute(t or "")) for k in range(4)) for i, t in rows}
+    assert got == want == {1: (2, 1, 0, 0), 2: (0, 0, 0, 1), 3: (1, 0, 1, 0), 4: (0, 0, 0, 0)}
+
+
 def test_redact(spark):
     docs = documents(spark, [(1, "é bob@x.org 𝒳 10.1.2.3 end"), (1, "é bob@x.org 𝒳 10.1.2.3 end"), (2, None), (3, ""), (None, "+49 30 1234567")])
     out = pii.redact(docs)
