@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,9 +135,11 @@ def file_census(spark: SparkSession, path: str, glob: str = GLOB) -> DataFrame:
     name = F.col("_metadata.file_path").alias("file_path")
     scanned = reader.text(path).select(name, F.octet_length("value").alias("n"), F.try_parse_json("value").isNull() & (F.trim("value") != "") & F.col("value").isNotNull()).toDF("file_path", "n", "bad")
     read = scanned.groupBy("file_path").agg(F.count("*").alias("lines"), F.sum("n").alias("bytes"), F.count_if("bad").alias("bad_lines"))
-    packed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).filter(F.lower("path").endswith(".gz"))
-    ends = packed.select(name, "content").mapInArrow(_whole_gzip, "file_path string, whole boolean")
-    files = listing(spark, path, glob).select("file_path", "size").join(read, "file_path", "left").join(ends, "file_path", "left")
+    listed = listing(spark, path, glob)
+    # A filter on the path would come after the contents of all files are in memory, so gzip files are opened by name.
+    packed = [re.sub(r"([][{}*?\\])", r"\\\1", r["path"]) for r in listed.filter(F.lower("path").endswith(".gz")).select("path").collect()]
+    ends = spark.read.format("binaryFile").load(packed).select(name, "content").mapInArrow(_whole_gzip, "file_path string, whole boolean") if packed else spark.createDataFrame([], "file_path string, whole boolean")
+    files = listed.select("file_path", "size").join(read, "file_path", "left").join(ends, "file_path", "left")
     lines, plain = F.coalesce("lines", F.lit(0)), ~F.col("file_path").rlike(r"\.(gz|bz2|zst|lz4|snappy|deflate)$")
     # A line's end takes one byte or two.
     short = F.when(plain, F.col("size") > F.col("bytes") + 2 * F.col("lines")).otherwise(~F.coalesce("whole", F.lit(True)))

@@ -119,3 +119,16 @@ def test_census_names_files_that_cannot_be_read(spark, tmp_path):
     assert {k: r.status for k, r in rows.items() if r.status != "read"} == {"bad.jsonl": "bad lines", "cut.jsonl.gz": rows["cut.jsonl.gz"].status, "noise.jsonl.gz": "unreadable"}
     assert rows["cut.jsonl.gz"].status in ("cut", "unreadable")
     assert (rows["good.jsonl"].lines, rows["bad.jsonl"].lines, rows["bad.jsonl"].bad_lines, rows["twice.jsonl.gz"].lines) == (9, 11, 2, 900)
+
+
+def test_census_opens_no_plain_file_whole(spark, tmp_path):
+    """A file larger than Spark may load into one cell; gzip files are found by names with marks of a pattern too."""
+    folder = tmp_path / "logs"
+    logs.write(folder, [user(f"u{i}", "hello") for i in range(50)])
+    (folder / "s[2].jsonl.gz").write_bytes(gzip.compress(b'{"a": 1}\n')[:-4])
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        rows = {r.file_path.rpartition("/")[2].partition(".")[2]: (r.lines, r.status) for r in file_census(spark, str(folder), "*.jsonl*").collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert rows["jsonl"] == (50, "read") and rows["jsonl.gz"][1] in ("cut", "unreadable")
