@@ -752,12 +752,17 @@ def raw_record_types(spark, sf_dir):
 _GROUPS = 8
 
 
+def _group_files(lines: DataFrame, groups: int, path: str) -> None:
+    """(g, value) as one text file for each group right below path; rows go from the shuffle to the file, so that no task sorts a group."""
+    lines.repartitionById(groups, F.col("g").cast("int")).select("value").write.mode("append").text(path)
+
+
 def _grown_files(spark, sf_dir: str, late: bool, path: str) -> None:
     """Records in one file for each group of sessions; late: those of the last group alone, which are added to the others."""
     number = F.regexp_extract("sessionId", "[0-9]+", 0).cast("long") % _GROUPS
     own = number == _GROUPS - 1 if late else number != _GROUPS - 1
     lines = events_log(spark, sf_dir).filter(own).select(number.alias("g"), F.to_json(F.struct(*events_log(spark, sf_dir).columns)).alias("value"))
-    lines.repartition("g").write.mode("append").partitionBy("g").text(path)
+    _group_files(lines, 1 if late else _GROUPS, path)
 
 
 @query(f"SELECT 'new' AS change, CAST(count(DISTINCT user_id % {_GROUPS}) AS BIGINT) AS files FROM events WHERE user_id % {_GROUPS} = {_GROUPS - 1} HAVING count(*) > 0", cte=False)
@@ -803,8 +808,8 @@ def census_of_files(spark, sf_dir):
     path, log = scratch_folder(spark), events_log(spark, sf_dir)
     lines = log.select((F.regexp_extract("sessionId", "[0-9]+", 0).cast("long") % _GROUPS).alias("g"), F.to_json(F.struct(*log.columns)).alias("value"))
     broken = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id % 1000 = 0").select((F.col("user_id") % _GROUPS).alias("g"), F.lit('{"type": broken').alias("value"))
-    lines.unionByName(broken).repartition("g").write.partitionBy("g").text(path)
-    return file_census(spark, path, GLOB).select(F.regexp_extract("file_path", "g=([0-9]+)", 1).cast("long").alias("g"), "lines", "bad_lines", "status")
+    _group_files(lines.unionByName(broken), _GROUPS, path)
+    return file_census(spark, path, GLOB).select(F.regexp_extract("file_path", "part-([0-9]+)", 1).cast("long").alias("g"), "lines", "bad_lines", "status")
 
 
 @query("SELECT tool AS tool_name, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE bad) AS BIGINT) AS failed FROM calls GROUP BY tool")
@@ -865,6 +870,6 @@ def streamed_sessions(spark, sf_dir):
     """Ten micro-batches, each with a part of the records of every session; eight of them are merged on the way."""
     path, out, log = scratch_folder(spark), scratch_folder(spark), events_log(spark, sf_dir)
     lines = log.select((F.crc32("uuid") % 10).alias("g"), F.to_json(F.struct(*log.columns)).alias("value"))
-    lines.repartition("g").write.partitionBy("g").text(path)
+    _group_files(lines, 10, path)
     rollup.stream_rollup(streams.stream_log(spark, path, max_files=1, glob=GLOB), out, scratch_folder(spark)).awaitTermination()
     return _session_rows(rollup.read_rollup(spark, out))
