@@ -61,21 +61,25 @@ def log_records(events: DataFrame) -> DataFrame:
         .when(kind == "click", _json({"command": _str(F.concat(F.lit("git log -n "), F.col("k"))), "description": _str("history")}))
         .otherwise(_json({"command": _str(F.concat(F.lit("make test && echo "), F.col("k")))}))
     )
+
+    # What an event's records are made of stands in columns before they are told apart: once for each event, and in
+    # pieces of code small enough for the JVM to compile. One pass makes all; columns that are not read are never made.
+    made = base.withColumns({"_cwd": cwd, "_given": given, "_session": F.concat(F.lit("s"), uid.cast("string")), "_model": model, "_usage": usage, "_eid": eid})
+    eid, cwd, given = F.col("_eid"), F.col("_cwd"), F.col("_given")
     call = _json({"type": _str("tool_use"), "id": _str(F.concat(F.lit("t"), eid)), "name": _str(name), "input": given})
-    task = _json({"type": _str("tool_use"), "id": _str(F.concat(F.lit("k"), eid)), "name": _str("Task"), "input": _json({"subagent_type": _str("explorer"), "description": _str("look around")})})
-    content = F.concat(F.lit("["), F.when(F.col("event_id") % 50 == 0, F.concat_ws(",", call, task)).otherwise(call), F.lit("]"))
-    copy = _json({"type": _str("text"), "text": _str(F.concat(F.lit("copy "), F.col("k")))})
-    done = _json({"type": _str("tool_result"), "tool_use_id": _str(F.concat(F.lit("t"), eid)), "is_error": F.when(kind == "error", "true").otherwise("false"), "content": _str(F.concat(F.lit("out "), F.col("k")))})
+    task = F.when(F.col("event_id") % 50 == 0, _json({"type": _str("tool_use"), "id": _str(F.concat(F.lit("k"), eid)), "name": _str("Task"), "input": _json({"subagent_type": _str("explorer"), "description": _str("look around")})}))
+    content = F.concat(F.lit("["), F.concat_ws(",", call, task), F.lit("]"))
+    copy = F.concat(F.lit("["), _json({"type": _str("text"), "text": _str(F.concat(F.lit("copy "), F.col("k")))}), F.lit("]"))
+    done = F.concat(F.lit("["), _json({"type": _str("tool_result"), "tool_use_id": _str(F.concat(F.lit("t"), eid)), "is_error": F.when(kind == "error", "true").otherwise("false"), "content": _str(F.concat(F.lit("out "), F.col("k")))}), F.lit("]"))
     command = F.when(F.col("event_id") % 120 == 0, "/clear").otherwise(F.concat(F.lit("/cmd"), (F.col("event_id") % 3).cast("string"), F.lit("x"), (uid % 4).cast("string")))
-
-    # Each event's records by number, so that one pass makes all and columns that are not read are never made.
+    prompt = _str(F.concat(F.lit("<command-name>"), command, F.lit("</command-name>")))
     places = {"asked": F.lit(True), "again": F.col("event_id") % 7 == 0, "answered": F.col("event_id") % 10 != 0, "prompted": F.col("event_id") % 40 == 0}
-    numbered = base.withColumn("_record", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(places.values())]))))
+    made = made.withColumns({f"_text{i}": F.when(c, text) for i, (c, text) in enumerate(zip(places.values(), (content, copy, done, prompt)))})
+    numbered = made.withColumn("_record", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(places.values())]))))
     by = lambda *values: F.element_at(F.array(*values), F.col("_record") + 1)
-    of = lambda i, value: F.when(F.col("_record") == i, value)
-    is_call = F.col("_record") <= 1
+    is_call, is_result = F.col("_record") <= 1, F.col("_record") == 2
     later = by(*[F.expr(f"INTERVAL '{x}' SECOND") for x in ("0", "0.5", "1", "0.25")])
-    text = of(0, content).when(F.col("_record") == 1, F.concat(F.lit("["), copy, F.lit("]"))).when(F.col("_record") == 2, F.concat(F.lit("["), done, F.lit("]"))).otherwise(_str(F.concat(F.lit("<command-name>"), command, F.lit("</command-name>"))))
+    text, model, usage = by(*[F.col(f"_text{i}") for i in range(4)]), F.col("_model"), F.col("_usage")
     message = F.struct(
         F.when(is_call, "assistant").otherwise("user").alias("role"),
         F.when(is_call, F.concat(F.lit("m"), eid)).alias("id"),
@@ -87,9 +91,9 @@ def log_records(events: DataFrame) -> DataFrame:
     head = [
         F.when(is_call, "assistant").otherwise("user"),
         _iso(F.col("ts") + later),
-        F.concat(F.lit("s"), uid.cast("string")),
+        F.col("_session"),
         F.concat(by(F.lit("a"), F.lit("a"), F.lit("u"), F.lit("p")), eid, F.when(F.col("_record") == 1, "-dup").otherwise("")),
-        F.when(is_call, previous).when(F.col("_record") == 2, F.concat(F.lit("a"), eid)),
+        F.when(is_call, previous).when(is_result, F.concat(F.lit("a"), eid)),
         F.col("event_id") % 11 == 0,
         cwd,
         F.lit("2.1.0"),
@@ -97,7 +101,7 @@ def log_records(events: DataFrame) -> DataFrame:
         F.when(uid % 2 == 0, "main").otherwise("dev"),
         F.concat(F.lit("r"), eid),
     ]
-    result = F.parse_json(of(2, _json({"stdout": _str(F.concat(F.lit("out "), F.col("k")))})))
+    result = F.parse_json(F.when(is_result, _json({"stdout": _str(F.concat(F.lit("out "), F.col("k")))})))
     return numbered.select(*[c.alias(n) for c, n in zip(head, _HEAD)], message.alias("message"), result.alias("toolUseResult"))
 
 
