@@ -9,7 +9,7 @@ from loomlog.functions.pricing import cost_expr, with_rates
 from loomlog.functions.text import BUILT_IN_COMMANDS, WRITE_TOOLS, last_segment, tool_hint
 from loomlog.operators.joins import spread_left_join
 
-_SESSION = ["session_id", "started_at", "ended_at", "duration", "duration_sec", "user_messages", "assistant_messages", "model", "cwd", "project", "git_branch", "entrypoint"]
+SESSION = ["session_id", "started_at", "ended_at", "duration", "duration_sec", "user_messages", "assistant_messages", "model", "cwd", "project", "git_branch", "entrypoint"]
 #: Columns of which a session takes the earliest value.
 _FIRSTS = ["model", "cwd", "git_branch", "entrypoint"]
 
@@ -58,7 +58,7 @@ def _counted(msgs: DataFrame, firsts: list[Column]) -> DataFrame:
 def _with_durations(sessions: DataFrame, project_map: DataFrame | None) -> DataFrame:
     out = sessions.withColumn("duration", F.col("ended_at") - F.col("started_at"))
     out = out.withColumn("duration_sec", (F.unix_micros("ended_at") - F.unix_micros("started_at")) / 1e6)
-    return with_project(out, project_map).select(*_SESSION)
+    return with_project(out, project_map).select(*SESSION)
 
 
 def logical_sessions(msgs: DataFrame, project_map: DataFrame | None = None) -> DataFrame:
@@ -281,15 +281,31 @@ def session_stats(msgs: DataFrame, rate_table: DataFrame, project_map: DataFrame
     used = met.select(F.coalesce("session_id", "m.session_id").alias("session_id"), "path", "reads", "writes", "calls", "kind", *[F.col(f"m.{c}") for c in tokens])
     billed = with_rates(used, rate_table).withColumn("cost", F.when(F.col("kind") == "m", cost_expr())).withColumn("_session", session_key())
     by_file = billed.groupBy("_session", "path").agg(F.sum("calls").alias("calls"), (F.bool_or("reads") & F.col("path").isNotNull()).alias("reads"), (F.bool_or("writes") & F.col("path").isNotNull()).alias("writes"), F.sum("cost").alias("cost"))
+    return _with_counts(sessions, by_file.join(sessions.select("_session", "cwd"), "_session"), project_map)
+
+
+def _with_counts(sessions: DataFrame, by_file: DataFrame, project_map: DataFrame | None) -> DataFrame:
+    """session_stats from sessions with titles and, for each session and path, its cwd, calls, cost and whether it was read or written."""
     outside = ~F.col("path").startswith(F.coalesce("cwd", F.lit("")))
-    counted = by_file.join(sessions.select("_session", "cwd"), "_session").groupBy("_session").agg(
+    counted = by_file.groupBy("_session").agg(
         F.sum("calls").alias("tool_count"), F.count_if("reads").alias("files_read"), F.count_if("writes").alias("files_edited"), F.count_if(F.col("reads") & ~F.col("writes")).alias("files_read_only"), F.count_if(F.col("reads") & outside).alias("files_outside"), F.sum("cost").alias("cost_usd"),
     )
     out = sessions.join(counted, "_session", "left")
     out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast("long")) for c in ("tool_count", "files_read", "files_edited", "files_read_only", "files_outside")})
     out = out.withColumn("duration", F.col("ended_at") - F.col("started_at")).withColumn("duration_sec", (F.unix_micros("ended_at") - F.unix_micros("started_at")) / 1e6)
     out = with_project(out.withColumn("commands", F.when(F.size("_commands") > 0, F.array_join("_commands", ", "))), project_map)
-    return out.select(*_SESSION, "tool_count", "files_read", "files_edited", "files_read_only", "files_outside", "first_prompt", "commands", "cost_usd")
+    return out.select(*SESSION, "tool_count", "files_read", "files_edited", "files_read_only", "files_outside", "first_prompt", "commands", "cost_usd")
+
+
+def session_stats_of(msgs: DataFrame, calls: DataFrame, costs: DataFrame, rate_table: DataFrame, project_map: DataFrame | None = None) -> DataFrame:
+    """The rows of session_stats where tool_calls and message_costs are tables already, which know of other sessions' copies and results."""
+    sessions = _sessions_with_titles(msgs).withColumn("_session", session_key())
+    reads, writes = F.coalesce(F.col("tool_name") == "Read", F.lit(False)), F.coalesce(F.col("tool_name").isin(WRITE_TOOLS), F.lit(False))
+    path = F.when(reads | writes, F.coalesce(F.get_json_object("tool_input", "$.file_path"), F.when(writes, F.get_json_object("tool_input", "$.notebook_path"))))
+    called = calls.select(session_key().alias("_session"), path.alias("path"), F.lit(1).cast("long").alias("calls"), reads.alias("reads"), writes.alias("writes"), F.lit(None).cast("double").alias("cost"))
+    spent = with_rates(costs, rate_table).select(session_key().alias("_session"), F.lit(None).cast("string").alias("path"), F.lit(0).cast("long").alias("calls"), F.lit(False).alias("reads"), F.lit(False).alias("writes"), cost_expr().alias("cost"))
+    by_file = called.unionByName(spent).groupBy("_session", "path").agg(F.sum("calls").alias("calls"), (F.bool_or("reads") & F.col("path").isNotNull()).alias("reads"), (F.bool_or("writes") & F.col("path").isNotNull()).alias("writes"), F.sum("cost").alias("cost"))
+    return _with_counts(sessions, by_file.join(sessions.select("_session", "cwd"), "_session"), project_map)
 
 
 def session_timeline(msg_blocks: DataFrame, calls: DataFrame, costs: DataFrame) -> DataFrame:

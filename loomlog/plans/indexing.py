@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from loomlog.operators.segments import Version, current, sync
-from loomlog.plans.relations import build_meta, read_build
+from loomlog.plans.relations import TOUCHED, build_meta, read_build, read_pointers
 from loomlog.sources.scratch import subfolders
 
 
@@ -23,11 +24,11 @@ def index_build(spark: SparkSession, built: str, out: str) -> Version:
         return v
 
     def folders(name: str) -> set:
-        """(bucket, folder) of the corpus, at most one for each bucket."""
-        rows = spark.read.parquet(f"{built}/build={name}/pointers").filter("table_name = 'search_corpus'").collect()
-        return {(r["session_bucket"], r["written_by"]) for r in rows}
+        """(bucket, table, folder) of the corpus, and of the sessions that hide rows of it."""
+        rows = read_pointers(spark, built, name).filter(F.col("table_name").isin("search_corpus", TOUCHED)).collect()
+        return {(r["session_bucket"], r["table_name"], r["written_by"]) for r in rows}
 
     known = v.source is not None and f"build={v.source}" in subfolders(spark, built)
-    parts = sorted({bucket for bucket, _ in folders(build) ^ folders(v.source)}) if known else None
+    parts = sorted({bucket for bucket, _, _ in folders(build) ^ folders(v.source)}) if known else None
     corpus = read_build(spark, built)["search_corpus"].withColumnRenamed("session_bucket", "part")
     return sync(corpus if parts is None else corpus.filter(corpus["part"].isin(parts)), out, parts, build)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import json
 import uuid
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,6 +99,10 @@ class Relations:
 TABLES = ["raw_messages", "logical_sessions", "assistant_message_costs", "tool_calls", "message_blocks", "conversation_turns", "session_titles", "message_commands", "file_reads", "file_writes", "session_stats", "search_corpus"]
 #: Written beside the tables of a build, for its refresh.
 MAPS = ["file_sessions", "session_links"]
+#: The sessions that a refresh wrote anew: their rows in folders with a lower number are gone.
+TOUCHED = "touched_sessions"
+#: With so many folders, a bucket that is touched again is written as a whole.
+MAX_FOLDERS = 4
 _ORDER = {"raw_messages": "timestamp", "assistant_message_costs": "timestamp", "tool_calls": "called_at", "message_blocks": "timestamp", "conversation_turns": "timestamp"}
 
 
@@ -130,9 +135,11 @@ def session_bucket(buckets: int = BUCKETS):
     return F.pmod(F.hash("session_id"), F.lit(buckets))
 
 
-# A build is a manifest: for each table and session bucket the folder that holds its rows, which may be that of
-# an earlier build. Below `out`:
+# A build is a manifest: for each table and session bucket the folders that hold its rows, which may be those of
+# earlier builds. A folder's number (seq) is that of the refresh that wrote it; rows of sessions that a later folder
+# of touched sessions names are gone. Below `out`:
 #   data/<table>/written_by=<build>/session_bucket=<n>   rows, never changed once written
+#   data/touched_sessions/written_by=<build>/...           the sessions that a refresh wrote anew
 #   build=<build>/pointers, manifest, project_map          what the build consists of and was made from
 #   build_meta                                            one row for each build, written last: readers see whole builds only
 
@@ -162,8 +169,18 @@ def write_tables(rel: Relations, out: str, build: str, given: dict[str, DataFram
     given: rows to write as they are instead of the relation of that name. Returns the schemas as JSON.
     """
     rel, schemas, given = Relations(rel.log, rel.project_map, rel.rates), {}, given or {}
-    for name in TABLES + MAPS:
-        rows = _shaped(given[name] if name in given else getattr(rel, name), name)
+    # What session_stats says of calls, files and costs stands in other tables, and what logical_sessions says in session_stats.
+    first = ["raw_messages", "assistant_message_costs", "tool_calls", "session_stats"]
+    for name in first + [n for n in TABLES + MAPS if n not in first]:
+        if name in given:
+            rows = given[name]
+        elif name == "session_stats":
+            rows = relations.session_stats_of(rel.raw_messages, rel.tool_calls, rel.assistant_message_costs, rel.rates, rel.project_map)
+        elif name == "logical_sessions":
+            rows = rel.session_stats.select(*[c for c in relations.SESSION if c in rel.session_stats.columns])
+        else:
+            rows = getattr(rel, name)
+        rows = _shaped(rows, name)
         schemas[name] = json.loads(rows.schema.json())
         rel.__dict__[name] = write_table(rows, name, out, build)
     return json.dumps(schemas)
@@ -179,41 +196,94 @@ def build_meta(spark: SparkSession, out: str) -> DataFrame | None:
         return None
 
 
-def read_build(spark: SparkSession, out: str, maps: bool = False) -> dict[str, DataFrame]:
+class Build(Mapping):
+    """The tables of one build by name; a table's folders are listed when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, out: str, names: list[str], schemas: dict, pointers: list):
+        self.spark, self.out, self.names, self.schemas, self.pointers, self.read = spark, out, names, schemas, pointers, {}
+        gone = [p for p in pointers if p["table_name"] == TOUCHED]
+        self.hidden = _touched(spark, out, gone) if gone else None
+        self.last: dict[int, int] = {}
+        for p in gone:
+            self.last[p["session_bucket"]] = max(p["seq"], self.last.get(p["session_bucket"], 0))
+
+    def __iter__(self):
+        return iter(self.names)
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.names:
+            raise KeyError(name)
+        if name not in self.read:
+            self.read[name] = self._table(name, StructType.fromJson(self.schemas[name]))
+        return self.read[name]
+
+    def _table(self, name: str, schema: StructType) -> DataFrame:
+        own = [p for p in self.pointers if p["table_name"] == name]
+        cut = [p for p in own if p["seq"] < self.last.get(p["session_bucket"], 0)]
+        whole = _folders(self.spark, self.out, name, schema, [p for p in own if p not in cut])
+        if not cut:
+            return whole
+        seqs = F.create_map(*[F.lit(x) for pair in sorted({(p["written_by"], p["seq"]) for p in cut}) for x in pair])
+        older = _folders(self.spark, self.out, name, schema, cut, keep=True).withColumns({"_seq": seqs[F.col("written_by")], "_session": relations.session_key()})
+        older = older.join(self.hidden, (F.col("_session") == F.col("_touched")) & (F.col("_seq") < F.col("_before")), "left_anti")
+        return whole.unionByName(older.select(*schema.names))
+
+
+def read_build(spark: SparkSession, out: str, maps: bool = False) -> Build:
     """The tables of the newest build (maps: those of its refresh too), from the folders that its pointers name."""
     meta = build_meta(spark, out)
     if meta is None:
         raise FileNotFoundError(f"{out} has no published build")
     stamp = meta.first()
-    schemas, tables = json.loads(stamp["schemas"]), {}
-    # At most a row for each table and bucket.
-    pointers = spark.read.parquet(f"{out}/build={stamp['build_id']}/pointers").collect()
-    for name in TABLES + (MAPS if maps else []):
-        schema = StructType.fromJson(schemas[name])
-        paths = [f"{_folder(out, name)}/written_by={p['written_by']}/session_bucket={p['session_bucket']}" for p in pointers if p["table_name"] == name]
-        reader = spark.read.schema(StructType([*schema.fields]).add("written_by", "string")).option("basePath", _folder(out, name))
-        tables[name] = reader.parquet(*paths).drop("written_by") if paths else spark.createDataFrame([], schema)
-    return tables
-
-
-def _pointers(spark: SparkSession, out: str, build: str, schemas: str) -> DataFrame:
-    """(table_name, session_bucket, written_by) of what a build wrote itself."""
-    parts = []
-    for name, schema in json.loads(schemas).items():
-        rows = spark.read.schema(StructType.fromJson(schema)).parquet(f"{_folder(out, name)}/written_by={build}")
-        parts.append(rows.select(F.lit(name).alias("table_name"), "session_bucket").distinct())
-    return functools.reduce(DataFrame.unionByName, parts).withColumn("written_by", F.lit(build))
+    # At most MAX_FOLDERS rows for each table and bucket.
+    pointers = read_pointers(spark, out, stamp["build_id"]).collect()
+    return Build(spark, out, TABLES + (MAPS if maps else []), json.loads(stamp["schemas"]), pointers)
+
+
+def _folders(spark: SparkSession, out: str, name: str, schema: StructType, pointers: list, keep: bool = False) -> DataFrame:
+    """Rows of a table in the folders of some pointers; keep: with written_by."""
+    if not pointers:
+        return spark.createDataFrame([], schema)
+    paths = [f"{_folder(out, name)}/written_by={p['written_by']}/session_bucket={p['session_bucket']}" for p in pointers]
+    rows = spark.read.schema(StructType([*schema.fields]).add("written_by", "string")).option("basePath", _folder(out, name)).parquet(*paths)
+    return rows if keep else rows.drop("written_by")
+
+
+def _touched(spark: SparkSession, out: str, pointers: list) -> DataFrame:
+    """(_touched, _before): a session and the number below which its rows are gone."""
+    rows = _folders(spark, out, TOUCHED, StructType.fromDDL("_session string, seq long, session_bucket int"), pointers)
+    return rows.groupBy(F.col("_session").alias("_touched")).agg(F.max("seq").alias("_before"))
+
+
+def write_touched(sessions: DataFrame, seq: int, out: str, build: str) -> None:
+    """(_session, session_bucket) of the sessions that a refresh wrote anew beside older folders."""
+    sessions.select("_session", F.lit(seq).cast("long").alias("seq"), "session_bucket").repartition("session_bucket").write.partitionBy("session_bucket").parquet(f"{_folder(out, TOUCHED)}/written_by={build}")
+
+
+def read_pointers(spark: SparkSession, out: str, build: str) -> DataFrame:
+    """(table_name, session_bucket, written_by, seq) of a build."""
+    rows = spark.read.schema("table_name string, session_bucket int, written_by string, seq long").parquet(f"{out}/build={build}/pointers")
+    return rows.fillna(0, ["seq"])
+
+
+def _pointers(spark: SparkSession, out: str, build: str, seq: int) -> DataFrame:
+    """Pointers to what a build wrote itself: the folders below its own, at most one for each table and bucket."""
+    own = [(name, int(x.rpartition("=")[2]), build, seq) for name in TABLES + MAPS + [TOUCHED] for x in subfolders(spark, f"{_folder(out, name)}/written_by={build}") if x.startswith("session_bucket=")]
+    return spark.createDataFrame(own, "table_name string, session_bucket int, written_by string, seq long")
 
 
 STAMP = "build_id string, source string, schemas string, days string, as_of string, glob string, has_map boolean, files_read long, bytes_read long"
 
 
-def publish(spark: SparkSession, out: str, build: str, files: DataFrame, stamp: dict, kept: DataFrame | None = None, project_map: DataFrame | None = None) -> None:
-    """The manifest of files, the project map and the pointers, those of `kept` buckets to earlier builds, then the stamp."""
+def publish(spark: SparkSession, out: str, build: str, files: DataFrame, stamp: dict, kept: DataFrame | None = None, project_map: DataFrame | None = None, seq: int = 0) -> None:
+    """The manifest of files, the project map and the pointers, `kept` ones to earlier builds, then the stamp."""
     files.select("file_path", "modified", "size").write.parquet(f"{out}/build={build}/manifest")
     if project_map is not None:
         project_map.select("cwd", "project_name").write.parquet(f"{out}/build={build}/project_map")
-    pointers = _pointers(spark, out, build, stamp["schemas"])
+    pointers = _pointers(spark, out, build, seq)
     (pointers if kept is None else pointers.unionByName(kept)).coalesce(1).write.parquet(f"{out}/build={build}/pointers")
     row = stamp | {"build_id": build, "has_map": project_map is not None}
     names = [f.split()[0] for f in STAMP.split(", ")]
@@ -226,7 +296,7 @@ def vacuum(spark: SparkSession, out: str, keep: int = 2) -> int:
     A reader of an older build loses its files, so keep as many builds as readers may hold.
     """
     builds = [r["build_id"] for r in spark.read.parquet(f"{out}/build_meta").orderBy(F.col("built_at").desc(), "build_id").select("build_id").limit(keep).collect()]
-    named = spark.read.parquet(*[f"{out}/build={b}/pointers" for b in builds]).distinct().collect()
+    named = [p for b in builds for p in read_pointers(spark, out, b).collect()]
     live = {f"{p['table_name']}/written_by={p['written_by']}/session_bucket={p['session_bucket']}" for p in named}
     whole = {x.rpartition("/")[0] for x in live}
     gone = [f"{out}/{x}" for x in subfolders(spark, out) if x.startswith("build=") and x[6:] not in builds]
@@ -248,7 +318,7 @@ def windowed(log: DataFrame, days: int | str, as_of: str | None) -> DataFrame:
     return within_days(log.withColumn("_ts", F.col("timestamp").try_cast("timestamp")), days, as_of, "_ts").drop("_ts")
 
 
-def materialize(spark: SparkSession, path: str, out: str, days: int | str = 0, as_of: str | None = None, project_map: DataFrame | None = None, reuse: bool = True, glob: str = GLOB) -> dict[str, DataFrame]:
+def materialize(spark: SparkSession, path: str, out: str, days: int | str = 0, as_of: str | None = None, project_map: DataFrame | None = None, reuse: bool = True, glob: str = GLOB) -> Build:
     """Write all relations of the logs below path to a new build and publish it; an existing build is reused.
 
     A window without as_of counts from now; the stamp keeps that time.

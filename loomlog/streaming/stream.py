@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from loomlog.functions.pricing import rates as default_rates
 from loomlog.functions.pricing import cost_expr, with_rates
 from loomlog.operators.relations import session_key, session_links
-from loomlog.plans.relations import BUCKETS, Relations, build_meta, materialize, publish, read_build, session_bucket, windowed, write_tables
+from loomlog.plans.relations import BUCKETS, MAX_FOLDERS, Relations, build_meta, materialize, publish, read_build, read_pointers, session_bucket, windowed, write_tables, write_touched
 from loomlog.sources.logs import GLOB, changed_files, listing, raw_messages, read_log
 from loomlog.sources.schemas import READ_SCHEMA
 from loomlog.sources.scratch import remove_folder, stored
@@ -91,10 +91,10 @@ def refresh(spark: SparkSession, path: str, out: str, project_map: DataFrame | N
     """Bring the relations below out up to date with the logs below path; False if there was nothing to do.
 
     Only changed files, and the files of sessions that share a message or tool id with them, are
-    read: the build's maps of files and ids to sessions tell which. Session buckets with such
-    sessions are written anew, their other sessions from the old build; all other buckets are
-    referred to. The new build is published as a whole by its stamp, which keeps the number and
-    bytes of the files read. The build's own file pattern, retention window and project map hold
+    read: the build's maps of files and ids to sessions tell which. Such sessions alone are written
+    anew, beside the folders of the old build, in which their names hide their rows; only a bucket
+    that has come to many folders is written as a whole. The new build is published as a whole by
+    its stamp, which keeps the number and bytes of the files read. The build's own file pattern, retention window and project map hold
     on; a later as_of of a build with a window, or another project map, touches any session: then
     all is built anew. If the pattern matches no file any more though the build had some,
     FileNotFoundError is raised and the old build stays.
@@ -103,7 +103,7 @@ def refresh(spark: SparkSession, path: str, out: str, project_map: DataFrame | N
     if meta is None:
         materialize(spark, path, out, as_of=as_of, project_map=project_map)
         return True
-    stamp, old = meta.first(), read_build(spark, out)
+    stamp = meta.first()
     days, glob, held = _window(stamp), stamp["glob"], f"{out}/build={stamp['build_id']}"
     files, manifest = stored(listing(spark, path, glob)), spark.read.parquet(f"{held}/manifest")
     if files.isEmpty() and not manifest.isEmpty():
@@ -142,19 +142,32 @@ def refresh(spark: SparkSession, path: str, out: str, project_map: DataFrame | N
     rest = own(old["file_sessions"]).join(around, "_session", "left_semi").select("file_path").distinct().join(changes, "file_path", "left_anti")
     others, n_rest, rest_bytes = parsed(rest)
     context = stored(own(news.unionByName(others)).join(around, "_session", "left_semi").drop("_session"))
-    buckets = [r[0] for r in touched.select(F.expr("nullif(_session, '\0')").alias("session_id")).select(session_bucket()).distinct().collect()]  # at most BUCKETS numbers
-
-    # What depends on other sessions is computed in their company; the remaining tables of a bucket follow from these.
+    touched = stored(touched.select("_session", F.expr("nullif(_session, '\0')").alias("session_id")).withColumn("session_bucket", session_bucket()).select("_session", "session_bucket"))
+    buckets = {r[0] for r in touched.select("session_bucket").distinct().collect()}  # at most BUCKETS numbers
+    # Touched sessions are written beside the folders of their bucket, whose rows of them are gone then. A bucket of many
+    # folders, or one that would lose half of its sessions, is written as a whole.
+    pointers = read_pointers(spark, out, stamp["build_id"])
+    held_by = pointers.groupBy("session_bucket").agg(F.count_distinct("written_by").alias("n"), F.max("seq").alias("seq")).collect()
+    known = own(old["logical_sessions"]).join(touched.select("_session", F.lit(1).alias("_t")), "_session", "left").groupBy("session_bucket").agg((2 * F.count("_t") > F.count("*")).alias("most")).filter("most").collect()
+    whole = sorted(buckets & ({r["session_bucket"] for r in held_by if r["n"] >= MAX_FOLDERS} | {r["session_bucket"] for r in known}))
+    seq = max((r["seq"] for r in held_by), default=0) + 1
+
+    # What depends on other sessions is computed in their company; the remaining tables follow from these.
     fresh, given = Relations(context, known_map), {}
     fresh.__dict__["raw_messages"] = context
     for name in ("raw_messages", "assistant_message_costs", "tool_calls"):
-        stays = own(old[name].filter(F.col("session_bucket").isin(buckets))).join(touched, "_session", "left_anti").drop("_session", "session_bucket")
-        anew = own(getattr(fresh, name)).join(touched, "_session", "left_semi").drop("_session")
-        given[name] = stays.unionByName(anew.select(*stays.columns))
+        rows = own(getattr(fresh, name)).join(touched, "_session", "left_semi").drop("_session")
+        if whole:
+            stays = own(old[name].filter(F.col("session_bucket").isin(whole))).join(touched, "_session", "left_anti").drop("_session", "session_bucket")
+            rows = stays.unionByName(rows.select(*stays.columns))
+        given[name] = rows
     build = uuid.uuid4().hex
     schemas = write_tables(Relations(context, known_map), out, build, given)
-    kept = spark.read.parquet(f"{held}/pointers").filter(~F.col("session_bucket").isin(buckets))
-    publish(spark, out, build, files, {"source": path, "schemas": schemas, "days": str(days), "as_of": stamp["as_of"], "glob": glob, "files_read": n_changed + n_rest, "bytes_read": changed_bytes + rest_bytes}, kept, known_map)
+    beside = touched.filter(~F.col("session_bucket").isin(whole))
+    if len(whole) < len(buckets):
+        write_touched(beside, seq, out, build)
+    kept = pointers.filter(~F.col("session_bucket").isin(whole))
+    publish(spark, out, build, files, {"source": path, "schemas": schemas, "days": str(days), "as_of": stamp["as_of"], "glob": glob, "files_read": n_changed + n_rest, "bytes_read": changed_bytes + rest_bytes}, kept, known_map, seq)
     return True
 
 

@@ -132,3 +132,27 @@ def test_census_opens_no_plain_file_whole(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
     assert rows["jsonl"] == (50, "read") and rows["jsonl.gz"][1] in ("cut", "unreadable")
+
+
+def test_refresh_writes_touched_sessions_alone(spark, tmp_path, monkeypatch):
+    """Sessions that share a bucket with a touched one are not written again; linked sessions elsewhere still count."""
+    folder, out = tmp_path / "log", str(tmp_path / "out")
+    buckets = {r.session_id: r.b for r in spark.range(500).selectExpr("concat('s', id) as session_id").withColumn("b", plans.session_bucket()).collect()}
+    near = [int(s[1:]) for s, b in buckets.items() if b == buckets["s2"]][:4]
+    assert len({buckets[s] for s in ("s0", "s1", "s2")}) == 3
+    for i in {0, 1, *near}:
+        logs.write(folder, session(i, 1), name=f"s{i}.jsonl")
+    # s0 has the earlier copy of a message of s1, and s2 the result of a call of s1: s0 is only company when s2 changes.
+    logs.write(folder, [*session(0, 1), assistant("early", [text("x")], session="s0", ts="2025-12-01T00:00:00Z", mid="m-s1-a0", usage=USE)], name="s0.jsonl")
+    far = user("far", [result("s1-t0", error=True)], session="s2", ts="2026-01-03T00:00:00Z")
+    later(folder, "s2.jsonl", [*session(2, 1), far])
+    plans.materialize(spark, str(folder), out)
+    names = ["raw_messages", "session_stats", "tool_calls", "logical_sessions", "search_corpus", "session_links"]
+    for n, most, written in ((2, 4, {"s1", "s2"}), (3, 2, {"s1", *(f"s{i}" for i in near)})):
+        monkeypatch.setattr(st, "MAX_FOLDERS", most)
+        logs.write(folder, [*session(2, n), far], name="s2.jsonl")
+        os.utime(folder / "s2.jsonl", (2_000_000_000 + n, 2_000_000_000 + n))
+        assert st.refresh(spark, str(folder), out)
+        build = plans.build_meta(spark, out).first().build_id
+        assert {r.session_id for r in spark.read.parquet(f"{out}/data/raw_messages/written_by={build}").collect()} == written
+        same_as_new(spark, str(folder), out, names)
