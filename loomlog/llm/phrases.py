@@ -1,9 +1,11 @@
 """Phrase collocations from count streams kept in prefix order and in suffix order.
 
-Counts of phrases of up to four words are pruned level by level: a phrase can only be frequent if
-its parts are. A level is counted by 64-bit hashes of its phrases, whose collisions only add; the
-frequent hashes go to the next pass as a bit table of bounded size, in which a wrong hit costs work
-and changes no result. The last pass counts the phrases left as texts, so all counts are exact.
+Words are counted as texts; the frequent ones get dense numbers, and the texts are written once as
+rows of numbers. Phrases of two words and more are counted level by level by the numbers of their
+words, packed into longs, so that counts are exact and no task reports texts. A phrase can only be
+frequent if its parts are: the frequent phrases of a level go to the next pass as a bit table of
+bounded size, in which a wrong hit costs work and changes no result. Phrases get their texts last,
+once each.
 
 The frequent phrases are then laid out twice, ordered by their words and by their words from the
 end, each order dealt by range. One scan of the prefix order, with a stack of the phrases that
@@ -15,45 +17,35 @@ four rows a partition.
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import map_arrow, written
+from loomlog.llm.common import dense_slots, map_arrow, written
 
 LONGEST, MIN_COUNT, TOP = 5, 100, 2000
 NO_LANG = "und"
-#: Bytes of text that are hashed at once.
+#: Bytes of text that are split at once.
 STEP = 1 << 21
-#: Hashes that a task holds before it adds them up.
-HELD = 1 << 22
-#: Distinct phrases whose counts a task of the last pass holds before it reports them.
-PHRASES_HELD = 1 << 20
-#: Phrases of up to so many words are counted by hash before the last pass.
-HASHED = 4
+#: Phrases that a task holds before it adds them up.
+HELD = 3 << 20
+#: Distinct words whose counts a task holds before it reports them.
+WORDS_HELD = 1 << 18
+#: Frequent words that a task knows at once; more are looked up in as many passes.
+SLICE = 1 << 19
 #: The bit table of frequent hashes has between 2**20 and 2**MAX_BITS bits.
 MAX_BITS = 27
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 #: A-Z in lower case, whatever ends a piece as line feed, tabs as spaces.
 TABLE = bytes(10 if i in BREAKS else 32 if i == 9 else i + 32 if 65 <= i <= 90 else i for i in range(256))
-BASE = 0x9E3779B97F4A7C15
 MIX = np.uint64(0xD6E8FEB86659FD93)
-_power: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base**i modulo 2**64 for i below n or more."""
-    if len(_power.get(base, ())) < n:
-        out = np.full(max(n, STEP + 1), base, np.uint64)
-        out[0] = 1
-        _power[base] = np.cumprod(out, dtype=np.uint64)
-    return _power[base]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -62,40 +54,27 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of some texts: start, end, piece and hash of each, in order; texts are separated by a break."""
+    """The words of some texts: start, end and piece of each, in order; texts are separated by a break."""
 
     def __init__(self, langs: list[str], texts: list[bytes]):
+        self.langs, self.texts = langs, texts
         self.raw = b"\n".join(texts).translate(TABLE)
         b = np.frombuffer(self.raw, np.uint8)
         apart = np.concatenate(([True], (b == 32) | (b == 10), [True]))
         edge = apart[1:] != apart[:-1]
         at = np.flatnonzero(edge)
         self.start, self.end = at[::2], at[1::2]
-        self.piece = np.cumsum(b == 10, dtype=np.int64)[self.start] if len(b) else self.start
-        begins = np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]
-        self.text = np.searchsorted(begins, self.start, side="right") - 1
-        self.langs = langs
-        self.seed = np.array([xxhash.xxh64_intdigest(x) for x in langs], np.uint64)[self.text] if langs else np.zeros(0, np.uint64)
-
-    def hashes(self) -> np.ndarray:
-        """Of each word with its language: a polynomial of its bytes, from sums over all bytes before."""
-        b = np.frombuffer(self.raw, np.uint8)
-        sums = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _powers(BASE, len(b))[: len(b)], out=sums[1:])
-        back = _powers(pow(BASE, -1, 1 << 64), len(b) + 1)
-        return _mixed(_mixed((sums[self.end] - sums[self.start]) * back[self.start]) + self.seed)
-
-    def together(self, size: int) -> np.ndarray:
-        """Whether the `size` words from each position on are in one piece."""
-        n = max(0, len(self.start) - size + 1)
-        return self.piece[:n] == self.piece[size - 1 : size - 1 + n]
+        self.piece = np.cumsum(b == 10, dtype=np.int32)[self.start] if len(b) else self.start
 
-    def phrases(self, at: np.ndarray, size: int) -> Iterator[bytes]:
-        """Texts of the phrases that start at the words `at`."""
-        spans = zip(self.start[at].tolist(), self.end[at + size - 1].tolist())
-        if size == 1:
-            return (self.raw[s:e] for s, e in spans)
-        return (b" ".join(p.split(b" ")) if b"  " not in (p := self.raw[s:e]) else b" ".join(x for x in p.split(b" ") if x) for s, e in spans)
+    def by_lang(self) -> Iterator[tuple[str, list[bytes]]]:
+        """The words of each run of texts of one language, in order."""
+        words = self.raw.split()
+        ends = np.searchsorted(self.start, np.cumsum([len(t) + 1 for t in self.texts])).tolist()
+        begin = 0
+        for i, lang in enumerate(self.langs):
+            if i + 1 == len(ends) or lang != self.langs[i + 1]:
+                yield lang, words[begin : ends[i]]
+                begin = ends[i]
 
 
 def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -109,6 +88,15 @@ def _known(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (table[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
+def _utf8(text: bytes) -> bytes:
+    """The text, bytes that are no UTF-8 as U+FFFD."""
+    try:
+        text.decode()
+        return text
+    except UnicodeDecodeError:
+        return text.decode("utf-8", "replace").encode()
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
     """Words of some MB of texts at a time; a longer text is cut between pieces."""
     langs: list[str] = []
@@ -116,7 +104,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
     size = 0
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-            rest, lang = text.as_py() or b"", lang or NO_LANG
+            rest, lang = _utf8(text.as_py() or b""), NO_LANG if lang is None else lang
             while rest:
                 part, cut = rest, STEP
                 if len(rest) > STEP:
@@ -137,33 +125,144 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
         yield Words(langs, texts)
 
 
-def _frequent_hashes(docs: DataFrame, size: int, tables: list, least: int) -> DataFrame:
-    """(h long) of phrases of `size` words, of which `least` or more occur; tables: bit tables of the smaller sizes."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(lang, word, a) of all words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, Counter] = {}
+
+        def batch(lang: str, found: Counter) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([lang] * len(found)), pa.array([w.decode() for w in found]), pa.array(list(found.values()), pa.int64())], names=["lang", "word", "c"])
 
-    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        h, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        c = np.bincount(at, np.concatenate([p[1] for p in parts]), len(h)).astype(np.int64)
-        return pa.record_batch([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
+        for words in _blocks(batches):
+            for lang, own in words.by_lang():
+                seen.setdefault(lang, Counter()).update(own)
+            if sum(map(len, seen.values())) > WORDS_HELD:
+                while seen:
+                    yield batch(*seen.popitem())
+        while seen:
+            yield batch(*seen.popitem())
+
+    return map_arrow(docs, run, "lang string, word string, c long").groupBy("lang", "word").agg(F.sum("c").alias("a"))
+
+
+def _numbered(docs: DataFrame, words: DataFrame, n: int) -> DataFrame:
+    """(ids binary) of blocks of docs (lang, text): the numbers of their words in words (lang, word, id), ids below n, as 32-bit integers; -1: another word or the end of a piece."""
+    spark, rows = docs.sparkSession, None
+    for least in range(0, n, SLICE):
+        own = words.filter((F.col("id") >= least) & (F.col("id") < least + SLICE)).select("lang", "word", "id").toArrow()
+        by: dict[str, dict[bytes, int]] = {}
+        for lang, word, i in zip(own["lang"].to_pylist(), own["word"].to_pylist(), own["id"].to_pylist()):
+            by.setdefault(lang, {})[word.encode()] = i
+        table, last = spark.sparkContext.broadcast(by), least + SLICE >= n
+
+        def blocks(batches: Iterator[pa.RecordBatch], first: bool = not least) -> Iterator[tuple[Words, bytes | None]]:
+            if first:
+                yield from ((w, None) for w in _blocks(batches))
+            else:
+                for b in batches:
+                    yield from ((Words(langs.as_py(), texts.as_py()), ids.as_py()) for ids, langs, texts in zip(*b.columns))
+
+        def run(batches: Iterator[pa.RecordBatch], table=table, last: bool = last, blocks=blocks) -> Iterator[pa.RecordBatch]:
+            known = table.value
+            for words, before in blocks(batches):
+                found: list[int] = []
+                for lang, own in words.by_lang():
+                    get = known.get(lang, {}).get
+                    found.extend(map(get, own, repeat(-1)))
+                at = np.arange(len(found)) + np.cumsum(np.diff(words.piece, prepend=words.piece[:1]) > 0)
+                ids = np.full(len(at) and at[-1] + 1, -1, np.int32)
+                ids[at] = found
+                if before is not None:
+                    ids = np.maximum(ids, np.frombuffer(before, np.int32))
+                out = [pa.array([ids.tobytes()], pa.binary())]
+                out += [] if last else [pa.array([words.langs]), pa.array([words.texts], pa.list_(pa.binary()))]
+                yield pa.record_batch(out, names=["ids", "langs", "texts"][: len(out)])
+
+        rows = written(map_arrow(docs if rows is None else rows, run, "ids binary" + ("" if last else ", langs array<string>, texts array<binary>")))
+    return rows
+
+
+def _tally(columns: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of the columns, and how often they stand there, or the sums of their counts."""
+    order = np.lexsort(columns[::-1]) if len(columns) > 1 else None if counts is None else np.argsort(columns[0])
+    columns = [np.sort(c) if order is None else c[order] for c in columns]
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    at = np.flatnonzero(new)
+    sums = np.diff(at, append=len(new)) if counts is None else np.add.reduceat(counts[order], at) if len(at) else counts
+    return [c[at] for c in columns], sums
+
+
+def _frequent_phrases(numbered: DataFrame, size: int, bits: int, tables: list, least: int) -> DataFrame:
+    """(k0, k1, ... long, a) of phrases of `size` words that occur `least` times or more: numbers of `bits` bits, as many in a long as there is room for; tables: bit tables of the smaller sizes from two words on."""
+    per = 63 // bits
+    names = [f"k{i}" for i in range(-(-size // per))]
+
+    def rows(columns: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([*map(pa.array, columns), pa.array(counts.astype(np.int64))], names=[*names, "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [t.value for t in tables]
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        for words in _blocks(batches):
-            h, ok = words.hashes(), None
-            for level in range(1, size):
-                ok = _known(known[level - 1], h)
-                h = _joined(h[:-1], words.hashes()[level:]) if len(h) > 1 else h[:0]
-                ok = (ok[:-1] & ok[1:] & words.together(level + 1)) if len(ok) > 1 else ok[:0]
-            found, n = np.unique(h if ok is None else h[ok], return_counts=True)
-            parts.append((found, n))
-            if sum(len(p[0]) for p in parts) >= HELD:
-                yield summed(parts)
-                parts = []
+        parts: list[tuple[list[np.ndarray], np.ndarray]] = []
+
+        def summed() -> pa.RecordBatch:
+            columns = [np.concatenate([p[0][i] for p in parts]) for i in range(len(names))]
+            counts = np.concatenate([p[1] for p in parts])
+            parts.clear()
+            return rows(*_tally(columns, counts))
+
+        for batch in batches:
+            for block in batch.column(0):
+                ids = np.frombuffer(block.as_py(), np.int32)
+                at = np.flatnonzero(ids >= 0)
+                for level in range(2, size + 1):
+                    at = at[:-1][np.diff(at) == 1]
+                    if level < size:
+                        at = at[_known(known[level - 2], _hashed([ids[at + i] for i in range(level)]))]
+                if not len(at):
+                    continue
+                columns = []
+                for first in range(0, size, per):
+                    key = ids[at + first].astype(np.int64)
+                    for i in range(first + 1, min(first + per, size)):
+                        key = key << bits | ids[at + i]
+                    columns.append(key)
+                found, n = _tally(columns)
+                parts.append((found, n.astype(np.int32)))
+                if sum(len(p[1]) for p in parts) >= HELD:
+                    yield summed()
         if parts:
-            yield summed(parts)
+            yield summed()
+
+    counts = map_arrow(numbered, run, ", ".join(f"{k} long" for k in names) + ", c long").groupBy(*names).agg(F.sum("c").alias("a"))
+    return written(counts.filter(F.col("a") >= least))
+
 
-    counts = map_arrow(docs, run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    return written(counts.filter(F.col("c") >= least).select("h"))
+def _hashed(ids: list[np.ndarray]) -> np.ndarray:
+    """Of phrases, given the numbers of their first words, of their second ones and so on."""
+    h = _mixed(ids[0].astype(np.uint64))
+    for x in ids[1:]:
+        h = _joined(h, _mixed(x.astype(np.uint64)))
+    return h
+
+
+def _unpacked(size: int, bits: int) -> Column:
+    """The numbers of a phrase's words from its longs."""
+    per = 63 // bits
+    within = lambda i: min(per, size - i // per * per)
+    return F.array(*[F.shiftright(f"k{i // per}", bits * (within(i) - 1 - i % per)).bitwiseAND(F.lit((1 << bits) - 1)) for i in range(size)])
+
+
+def _hashes(phrases: DataFrame, size: int) -> DataFrame:
+    """(h long) of phrases (ids array<long>)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            yield pa.record_batch([pa.array(_hashed(list(ids.T)).view(np.int64))], names=["h"])
+
+    return map_arrow(phrases.select("ids"), run, "h long")
 
 
 def _bit_table(spark: SparkSession, hashes: DataFrame, max_bits: int):
@@ -179,49 +278,23 @@ def _bit_table(spark: SparkSession, hashes: DataFrame, max_bits: int):
 def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = MIN_COUNT, max_bits: int = MAX_BITS) -> tuple[DataFrame, DataFrame]:
     """From docs (lang, text): (lang, phrase, a) of all phrases of up to `longest` words that occur `least` times or more, and (lang, n)."""
     spark = docs.sparkSession
-    tables: list = []
-    for size in range(1, min(HASHED, longest) + 1):
-        tables.append(_bit_table(spark, _frequent_hashes(docs, size, tables, least), max_bits))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [t.value for t in tables]
-        total: Counter = Counter()
-        seen: dict[str, Counter] = {}
-        names = ["lang", "phrase", "c"]
-
-        def batch(lang: str, found: Counter) -> pa.RecordBatch:
-            return pa.record_batch([pa.array([lang] * len(found)), pa.array([p.decode("utf-8", "replace") for p in found]), pa.array(list(found.values()), pa.int64())], names=names)
-
-        for words in _blocks(batches):
-            h = first = words.hashes()
-            lang_of = np.unique(np.array(words.langs, object), return_inverse=True)
-            here = lang_of[1][words.text]
-            for i, n in enumerate(np.bincount(here, minlength=len(lang_of[0])).tolist()):
-                total[lang_of[0][i]] += n
-            ok = np.ones(len(h), bool)
-            for size in range(1, longest + 1):
-                if size > 1:
-                    n = max(0, len(first) - size + 1)
-                    ok = ok[:n] & ok[1 : n + 1] & words.together(size)
-                    h = _joined(h[:n], first[size - 1 :]) if n else h[:0]
-                if size <= len(known):
-                    ok = ok & _known(known[size - 1], h)
-                at = np.flatnonzero(ok)
-                if not len(at):
-                    break
-                for i, lang in enumerate(lang_of[0]):
-                    own = at[here[at] == i]
-                    if len(own):
-                        seen.setdefault(lang, Counter()).update(words.phrases(own, size))
-            if sum(map(len, seen.values())) > PHRASES_HELD:
-                yield from (batch(*x) for x in seen.items())
-                seen = {}
-        yield from (batch(*x) for x in seen.items())
-        yield pa.record_batch([pa.array(list(total), pa.string()), pa.array([None] * len(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=names)
-
-    counts = map_arrow(docs, run, "lang string, phrase string, c long").groupBy("lang", "phrase").agg(F.sum("c").alias("a"))
-    counts = written(counts.filter(F.col("phrase").isNull() | (F.col("a") >= least)))
-    return counts.filter("phrase is not null"), counts.filter("phrase is null").select("lang", F.col("a").alias("n"))
+    every = written(word_counts(docs))
+    words = written(dense_slots(every.filter(F.col("a") >= least), [], ["lang", "word"], "id"))
+    n = words.count()
+    found, tables, bits = words.select("lang", F.col("word").alias("phrase"), "a"), [], max(1, (n - 1).bit_length())
+    numbered = _numbered(docs, words, n) if n and longest > 1 else None
+    levels: list[DataFrame] = []
+    for size in range(2, longest + 1 if n else 2):
+        phrases = _frequent_phrases(numbered, size, bits, tables, least).select(_unpacked(size, bits).alias("ids"), "a")
+        levels.append(phrases)
+        if size < longest:
+            tables.append(_bit_table(spark, _hashes(phrases, size), max_bits))
+    if levels:
+        placed = functools.reduce(DataFrame.unionByName, levels).select("ids", "a", F.posexplode("ids").alias("at", "id"))
+        known = words.select("id", "lang", "word")
+        texts = placed.join(F.broadcast(known) if n <= SLICE else known, "id").groupBy("ids").agg(F.min("lang").alias("lang"), F.min("a").alias("a"), F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w"))
+        found = found.unionByName(texts.select("lang", F.array_join("w.word", " ").alias("phrase"), "a"))
+    return written(found), every.groupBy("lang").agg(F.sum("a").alias("n"))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,9 +364,9 @@ def collocations(df: DataFrame, longest: int = LONGEST, least: int = MIN_COUNT,
         cut = F.when(F.size("ls") >= k, F.struct(_score(l, r).alias("score"), F.lit(k).alias("k"), l.alias("l"), r.alias("r")))
         best = cut if best is None else F.least(best, cut)
     scored = met.withColumn("b", best).select("lang", "phrase", "a", "b.l", "b.r", "n", "b.score")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    # Ranks by ranges, so that no language meets in one task.
+    ranked = dense_slots(scored.withColumns({"_score": -F.col("score"), "_a": -F.col("a")}), ["lang"], ["_score", "_a", "phrase"], "rank")
+    return ranked.filter(F.col("rank") < top).select("lang", (F.col("rank") + 1).alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,3 +86,33 @@ def test_awkward_documents(spark):
     rows = [(t, None) for _, t in AWKWARD]
     assert sorted(tuple(r) for r in m.collocations(table(spark, rows), least=2).collect()) == brute(rows, 2)
     assert m.collocations(table(spark, []), least=2).count() == 0
+
+
+def test_tasks_report_no_texts_of_phrases(spark, monkeypatch):
+    made, plain = [], m.map_arrow
+
+    def spied(df, fn, schema, *more):
+        made.append(schema)
+        return plain(df, fn, schema, *more)
+
+    monkeypatch.setattr(m, "map_arrow", spied)
+    docs = spark.createDataFrame([("en", "a b c")] * 6 + [("", "a b c d")] * 5, "lang string, text string").repartition(4)
+    counts, totals = m.phrase_counts(docs, least=5)
+    assert not [s for s in made if "phrase string" in s]
+    assert {tuple(r) for r in totals.collect()} == {("en", 18), ("", 20)}
+    got = sorted(tuple(r) for r in counts.collect())
+    assert got == sorted((lang, " ".join(x[i:j]), n) for lang, x, n in (("en", "abc", 6), ("", "abcd", 5)) for i in range(len(x)) for j in range(i + 1, len(x) + 1))
+
+
+def test_words_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(m, "SLICE", 3)
+    monkeypatch.setattr(m, "HELD", 10)
+    monkeypatch.setattr(m, "WORDS_HELD", 2)
+    rows = sample(5)
+    assert sorted(tuple(r) for r in m.collocations(table(spark, rows), least=3).collect()) == brute(rows)
+
+
+def test_phrases_of_several_longs(spark):
+    texts = [" ".join(f"w{i + j}" for j in range(5)) for i in range(0, 5000, 5)]
+    got = m.collocations(table(spark, [(t, "en") for t in texts + texts]), least=2).collect()
+    assert [tuple(r) for r in sorted(got)] == [("en", i + 1, t, 2, 2, 2, 10_000, 1000 * 2 * 10_000 // 4) for i, t in enumerate(sorted(texts))]
