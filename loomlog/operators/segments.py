@@ -13,16 +13,25 @@ from __future__ import annotations
 import functools
 import math
 import uuid
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.operators.search import TERM_BUCKETS, Index, term_bucket, terms_of
+from loomlog.operators.search import Index, term_bucket
 from loomlog.sources.scratch import remove_folder, stored, subfolders
 
 #: As many segments of like size are merged into one.
 FAN = 4
+#: Postings that a task sorts before they are shuffled: the sort behind the shuffle meets long runs.
+RUN = 1 << 20
+#: Bytes other than a-z become spaces.
+LETTERS = bytes(i if 97 <= i <= 122 else 32 for i in range(256))
 POSTINGS = "term string, doc {doc}, tf long, len long, term_bucket int"
 DOCS = "doc {doc}, part long, len long, digest decimal(38,0)"
 VERSION = "version long, source string, doc_type string, segments array<struct<name:string,seq:long,docs:long>>, tombstones array<string>, n_docs long, n_texts long, total_len long"
@@ -76,6 +85,50 @@ def open_index(spark: SparkSession, out: str) -> Index:
     return Index(postings, docs, None, totals)
 
 
+def _lengths(rows: DataFrame) -> DataFrame:
+    """(doc, part, x, len) of rows (doc, part, x, low): how many terms the lower-case bytes hold, null if there are none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lens = [None if t is None else len(t.translate(LETTERS).split()) for t in b.column(3).to_pylist()]
+            yield pa.record_batch([*b.columns[:3], pa.array(lens, pa.int64())], names=["doc", "part", "x", "len"])
+
+    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, part long, x long, len long")
+
+
+def _postings(rows: DataFrame) -> DataFrame:
+    """(term, doc, tf, len) of rows (doc, len, low), in runs by term and doc."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, lens, sizes, terms, tfs = [], [], [], [], []
+
+        def ordered(kind: pa.DataType) -> pa.RecordBatch:
+            coded = pa.array(terms, pa.binary()).dictionary_encode()
+            place = np.empty(len(coded.dictionary), np.int64)
+            place[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(place))
+            of = np.repeat(np.arange(len(docs)), sizes)
+            doc = pa.array(docs, kind).take(pa.array(of))
+            order = pc.sort_indices(pa.table({"term": place[coded.indices.to_numpy()], "doc": doc}), sort_keys=[("term", "ascending"), ("doc", "ascending")])
+            out = [coded.take(order).dictionary_decode().cast(pa.string()), doc.take(order), pa.array(tfs, pa.int64()).take(order), pa.array(np.array(lens, np.int64)[of]).take(order)]
+            return pa.record_batch(out, names=["term", "doc", "tf", "len"])
+
+        for b in batches:
+            for doc, n, text in zip(*(c.to_pylist() for c in b.columns)):
+                if found := Counter(text.translate(LETTERS).split()):
+                    docs.append(doc)
+                    lens.append(n)
+                    sizes.append(len(found))
+                    terms.extend(found)
+                    tfs.extend(found.values())
+                if len(terms) >= RUN:
+                    yield ordered(b.schema.field(0).type)
+                    docs, lens, sizes, terms, tfs = [], [], [], [], []
+        if terms:
+            yield ordered(b.schema.field(0).type)
+
+    return rows.mapInArrow(run, f"term string, doc {rows.schema['doc'].dataType.simpleString()}, tf long, len long")
+
+
 def _write_segment(postings: DataFrame, docs: DataFrame, out: str) -> str:
     name = uuid.uuid4().hex
     bucketed = postings.select("term", "doc", "tf", "len", term_bucket(F.col("term")).alias("term_bucket"))
@@ -119,15 +172,16 @@ def sync(corpus: DataFrame, out: str, parts: list[int] | None = None, source: st
     corpus = corpus.filter("doc is not null").select("doc", F.col("part").cast("long").alias("part"), "content_text")
     doc_type = corpus.schema["doc"].dataType.simpleString() if v.version == 0 else v.doc_type
     v, seq = Version(v.version + 1, source, doc_type, v.segments, v.tombstones, v.n_docs, v.n_texts, v.total_len), v.version + 1
-    text = F.coalesce("content_text", F.lit(""))
-    now = corpus.groupBy("doc").agg(F.min("part").alias("part"), F.sum(F.when(F.col("content_text").isNotNull(), F.size(terms_of(text)))).cast("long").alias("len"), F.sum(F.xxhash64(text).cast("decimal(20,0)")).cast("decimal(38,0)").alias("digest"))
+    low = F.lower("content_text").cast("binary").alias("low")
+    texts = _lengths(corpus.select("doc", "part", F.xxhash64(F.coalesce("content_text", F.lit(""))).alias("x"), low))
+    now = texts.groupBy("doc").agg(F.min("part").alias("part"), F.sum("len").alias("len"), F.sum(F.col("x").cast("decimal(20,0)")).cast("decimal(38,0)").alias("digest"), F.count("*").alias("rows"))
     own = _live(spark, out, v, "docs")
     old = (own if parts is None else own.filter(F.col("part").isin(parts))).select("doc", F.struct("part", "len", "digest").alias("o"))
-    both = now.select("doc", F.struct("part", "len", "digest").alias("n")).join(old, "doc", "full")
+    both = now.select("doc", F.struct("part", "len", "digest").alias("n"), "rows").join(old, "doc", "full")
     changed = F.col("n").isNotNull() & (F.col("o").isNull() | (F.col("n") != F.col("o")))
     # One row for each doc that changes: what it becomes (null: gone) and what it was.
     diff = stored(both.filter(changed | F.col("n").isNull()))
-    sums = diff.agg(F.count("n"), F.count("o"), F.count("n.len"), F.count("o.len"), F.coalesce(F.sum("n.len"), F.lit(0)), F.coalesce(F.sum("o.len"), F.lit(0))).first()
+    sums = diff.agg(F.count("n"), F.count("o"), F.count("n.len"), F.count("o.len"), F.coalesce(F.sum("n.len"), F.lit(0)), F.coalesce(F.sum("o.len"), F.lit(0)), F.max("rows")).first()
     v.n_docs, v.n_texts, v.total_len = v.n_docs + sums[0] - sums[1], v.n_texts + sums[2] - sums[3], v.total_len + sums[4] - sums[5]
     added = diff.filter("n is not null").select("doc", "n.*")
     if sums[1]:
@@ -135,8 +189,10 @@ def sync(corpus: DataFrame, out: str, parts: list[int] | None = None, source: st
         diff.filter("o is not null").select("doc", F.lit(seq).cast("long").alias("before")).write.parquet(f"{out}/tombstones/{name}")
         v.tombstones = [*v.tombstones, name]
     if sums[0]:
-        terms = corpus.join(added.select("doc", "len"), "doc").select("doc", "len", F.explode(terms_of(F.col("content_text"))).alias("term"))
-        v.segments = [*v.segments, (_write_segment(terms.groupBy("doc", "len", "term").agg(F.count("*").alias("tf")), added, out), seq, sums[0])]
+        postings = _postings(corpus.filter("content_text is not null").join(added.select("doc", "len"), "doc").select("doc", "len", low))
+        if sums[6] > 1:  # only docs of several rows have a term twice
+            postings = postings.groupBy("doc", "len", "term").agg(F.sum("tf").alias("tf"))
+        v.segments = [*v.segments, (_write_segment(postings, added, out), seq, sums[0])]
     v = _merge(spark, out, v)
     spark.createDataFrame([(v.version, v.source, v.doc_type, v.segments, v.tombstones, v.n_docs, v.n_texts, v.total_len)], VERSION).coalesce(1).write.mode("append").parquet(f"{out}/versions")
     return v

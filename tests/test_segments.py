@@ -72,3 +72,18 @@ def test_index_follows_a_build(spark, tmp_path):
     corpus = plans.read_build(spark, built)["search_corpus"]
     for query in ("login page", "bug"):
         assert ranked(segments.open_index(spark, out), query) == ranked(search.build_index(corpus), query)
+
+
+def test_terms_of_odd_texts_in_sorted_runs_without_a_shuffle(spark, tmp_path, monkeypatch):
+    out, made, plain = str(tmp_path / "ix"), [], segments._write_segment
+    monkeypatch.setattr(segments, "RUN", 5)
+    monkeypatch.setattr(segments, "_write_segment", lambda postings, docs, path: made.append(postings) or plain(postings, docs, path))
+    texts = ["The Key İstanbul A1b2\x00c", "x" * 5000, "été d'ÉTÉ \U0001d54f", "b a b a c", "", None, "ΣΣ zſ", "12 34"]
+    rows = spark.createDataFrame([(f"d{9 - i}", 0, t) for i, t in enumerate(texts)], "doc string, part int, content_text string")
+    segments.sync(rows.coalesce(1), out)
+    want = search.build_index(rows.filter("content_text is not null"))
+    expected = sorted(tuple(r) for r in want.postings.join(want.doc_len, "doc").select("term", "doc", "tf", "len").collect())
+    assert sorted(tuple(r) for r in segments.open_index(spark, out).postings.select("term", "doc", "tf", "len").collect()) == expected
+    assert "Aggregate" not in made[0]._jdf.queryExecution().optimizedPlan().toString()
+    keys = [(r.term, r.doc) for r in made[0].collect()]
+    assert sum(a > b for a, b in zip(keys, keys[1:])) <= 3 < len(keys) // 2
