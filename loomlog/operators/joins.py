@@ -40,4 +40,4 @@ def spread_left_join(left: DataFrame, right: DataFrame, key: str, spread: list[s
     there = right.filter(F.col(key).isNotNull()).withColumn("_salt", F.explode(copies))
     if counted is not None:
         dealt, there = dealt.drop("_pieces"), there.drop("_pieces")
-    return dealt.join(there, [key, "_salt"], "left").drop("_salt")
+    return dealt.join(there.hint("merge"), [key, "_salt"], "left").drop("_salt")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loomlog.operators.joins import frequent_keys, spread_left_join
 from loomlog.plans import relations as plans
+from loomlog.sources.scratch import stored
 
 
 def rows_of(df):
@@ -48,6 +49,23 @@ def test_null_and_frequent_keys_spread_over_tasks(spark, sides):
             spark.conf.set(c, v)
 
 
+def test_right_side_is_shuffled_however_small_its_estimate(spark):
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 100_000)
+        log = stored(spark.range(20_000).select("id", F.expr("parse_json('[{\"k\":\"k' || id || '\"}]')").alias("content")))
+        blocks = log.select("id", F.explode(F.try_variant_get("content", "$", "array<variant>")).alias("block"))
+        # Over 100,000 bytes; a VARIANT counts as 2 kB, so Spark takes the keys for a hundredth of the file.
+        keys = blocks.select(F.try_variant_get("block", "$.k", "string").alias("k"), F.col("id").alias("v"))
+        left = stored(spark.range(0, 40_000, 2).select(F.col("id").alias("i"), F.concat(F.lit("k"), "id").alias("k")))
+        joined = spread_left_join(left, keys, "k", ["i"])
+        assert sum(r.v is not None for r in joined.collect()) == 10_000
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
 def test_ad_hoc_runs_queries_alone(spark):
     spark.range(3).selectExpr("id", "repeat('x', 1000) AS t").createOrReplaceTempView("adhoc_t")
     got = plans.ad_hoc(spark, "WITH a AS (SELECT * FROM adhoc_t) SELECT id, t, t FROM a ORDER BY id DESC -- last first\n;", limit=2)
