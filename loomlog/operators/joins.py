@@ -26,7 +26,8 @@ def spread_left_join(left: DataFrame, right: DataFrame, key: str, spread: list[s
     copy of anything; the salt comes from the columns `spread` of the left side, so a
     task that is run again deals its rows alike. counted: the left side's keys (any table with the
     column `key` will do, say a cheaper one); they are aggregated once, and right rows of frequent
-    keys are repeated once a piece, those of other keys not at all.
+    keys are repeated once a piece, those of other keys not at all. The right side is shuffled, never
+    broadcast: it grows with the log, and its size is estimated far too small through VARIANT columns.
     """
     n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pieces, copies = F.lit(1), F.array(F.lit(0))
