@@ -32,10 +32,10 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and outlives executors."""
+def written(df: DataFrame, **options: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage and outlives executors. options are the writer's."""
     path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -4,9 +4,11 @@ Counts of all unigrams and bigrams of the training texts are summed exactly, in
 hash space. A count c has level 1 + floor(log_base c); an n-gram of level q is entered under
 levels 1 to q, and a probe climbs levels until one is missing, so a count is recovered up to its
 quantisation from repeated membership probes. Each level and segment has a bit array of its own,
-sized to its entries. Filters of up to FILTER_BYTES are broadcast. A larger one stays in the shared
-folder, whole: texts are put into batches, the distinct n-grams of each batch are dealt to the
-filter's segments, probed there, and their levels dealt back to the batch. Scores are the same.
+sized to its entries. Filters of up to FILTER_BYTES and a table of exact unigram counts of up to
+TABLE_BYTES are broadcast. Where one of them is larger, or the texts are so large that it will be,
+nothing is: texts are put into batches, the distinct n-grams of each batch are dealt to segments,
+each segment sums counts, makes its filter, probes it for what was asked and deals the levels back
+to the batches. Scores are the same.
 
 p(w | v) = (1 - a) min(c(v, w), c(v)) / c(v) + a p(w), with a, by level of c(v), the share of
 bigram tokens after such histories that were seen once (Good and Turing); p(w)
@@ -30,9 +32,15 @@ from loomlog.llm.common import id_and_text, map_arrow, texts_of, written
 
 UNIGRAM_BASE, BIGRAM_BASE = 1.25, 2.0
 BITS_PER_ENTRY, PROBES = 8, 5
-#: Bounds of what is broadcast: each filter (beyond it, probes are dealt to its segments), and the exact unigram table (beyond it, counts are joined).
+#: Bounds of what is broadcast: each filter, and the exact unigram table.
 FILTER_BYTES = {"unigram": 32 << 20, "bigram": 96 << 20}
 TABLE_BYTES = 96 << 20
+#: Texts of more bytes than this for each byte of the bigram filter's bound are not tried with a broadcast filter; the choice changes no score.
+TEXT_BYTES_A_FILTER_BYTE = 12
+#: A segment gets n-grams of about so many bytes of text, or fewer: what one task sums at a time.
+SEGMENT_TEXT_BYTES = 16 << 20
+#: Rows of batches hold megabytes: so many go to a row group, which writers buffer and readers load whole.
+BATCH_ROWS = {"parquet.block.row.count.limit": "4", "parquet.page.size.row.check.min": "1"}
 #: Tokens gathered in a task before they are counted and sent on.
 BATCH_TOKENS = 1_000_000
 SCORE_TOKENS = 200_000
@@ -58,7 +66,7 @@ def before(tokens: np.ndarray, lengths: list[int]) -> np.ndarray:
     """The token before each; the end of another text stands before the head of each."""
     out = np.empty_like(tokens)
     out[1:] = tokens[:-1]
-    out[np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)] = END
+    out[_heads(lengths)] = END
     return out
 
 
@@ -122,7 +130,7 @@ def segment_of(hashes: np.ndarray, segments: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """What workers score with; filters larger than FILTER_BYTES are not in it."""
+    """What workers score with; the filters only if they are broadcast."""
 
     unigrams: LogFilter | None
     bigrams: LogFilter | None
@@ -133,6 +141,14 @@ class Model:
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return (counts + ALPHA) / (self.tokens + ALPHA * (self.types + 1))
 
+    def logs(self, words: np.ndarray, history: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """log10 of each token's probability, by the levels of the token, its history and the bigram of both."""
+        every = np.arange(256)
+        counts = count_of(every, UNIGRAM_BASE)
+        past = counts[history]
+        share = np.where(every > 0, self.backoff, 1.0)[history]
+        return np.log10((1 - share) * np.minimum(count_of(every, BIGRAM_BASE)[pairs], past) / np.maximum(past, 1) + share * self.unigram(counts)[words])
+
 
 def _gathered(batches: Iterator[pa.RecordBatch], limit: int, pick=None) -> Iterator[tuple[list, np.ndarray, list[int]]]:
     """(rows, tokens, lengths) of texts until their tokens reach the limit; pick says by row which texts count."""
@@ -184,78 +200,151 @@ def _by_segment(segments: int, hashes: np.ndarray, **others: np.ndarray) -> dict
     return {"segment": [s for s, _, _ in own]} | {k: [x[a:b].tobytes() for _, a, b in own] for k, x in {"hashes": hashes, **others}.items()}
 
 
-def _past(distinct: np.ndarray, place: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def _heads(lengths) -> np.ndarray:
+    """The place of each text's first token."""
+    return np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
+
+
+def _past(distinct: np.ndarray, place: np.ndarray, lengths) -> np.ndarray:
     """The place among the distinct tokens of the token before each."""
     past = np.empty_like(place)
     past[1:] = place[:-1]
-    past[np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)] = np.searchsorted(distinct, np.uint64(END))
+    past[_heads(lengths)] = np.searchsorted(distinct, np.uint64(END))
     return past
 
 
-_BATCH = {"ids": np.int64, "nulls": np.bool_, "held": np.bool_, "text_hashes": np.int64, "lengths": np.int64, "distinct": np.uint64, "place": np.int32}
+def _packed(x: np.ndarray) -> bytes:
+    """The length, then the array's bytes by place, compressed: of sorted hashes and small counts most places say little."""
+    return len(x).to_bytes(8, "little") + pa.compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, dtype) -> np.ndarray:
+    n, size = int.from_bytes(data[:8], "little"), np.dtype(dtype).itemsize
+    raw = pa.decompress(data[8:], n * size, "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).reshape(-1).view(dtype)
+
+
+def _joined(values, dtype) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype), *(_unpacked(x, dtype) for x in values)])
+
+
+#: counts: of the distinct tokens; rank: of each token among them by count, as small numbers take less room than places do.
+_BATCH = {"ids": np.int64, "nulls": np.uint8, "held": np.uint8, "lengths": np.int64, "distinct": np.uint64, "counts": np.uint32, "rank": np.int32}
+_WORDS = ("held", "lengths", "distinct", "counts", "rank")
 
 
 def _batches(docs: DataFrame) -> DataFrame:
-    """Texts in batches of bounded size, one row each: their distinct tokens and the place of each token among them."""
+    """Texts in batches of bounded size, one row each: their distinct tokens and which of them each token is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         for k, (rows, tokens, lengths) in enumerate(_gathered(batches, BATCH_TOKENS)):
-            distinct, place = np.unique(tokens, return_inverse=True)
-            ids, held, texts = zip(*rows)
-            values = ([i or 0 for i in ids], [i is None for i in ids], held, texts, lengths, distinct, place)
-            yield pa.record_batch([pa.array([task << 32 | k], pa.int64()), *(pa.array([np.asarray(v).astype(t).tobytes()], pa.binary()) for v, t in zip(values, _BATCH.values()))], names=["batch", *_BATCH])
+            distinct, place, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+            rank = np.empty_like(place, shape=len(distinct))
+            rank[_by_count(counts)] = np.arange(len(distinct))
+            ids, held = zip(*rows)
+            values = ([i or 0 for i in ids], [i is None for i in ids], held, lengths, distinct, counts, rank[place])
+            yield pa.record_batch([pa.array([task << 32 | k], pa.int64()), *(pa.array([_packed(np.asarray(v).astype(t))], pa.binary()) for v, t in zip(values, _BATCH.values()))], names=["batch", *_BATCH])
 
-    return written(map_arrow(_hashed(docs), run, "batch long, " + ", ".join(f"{c} binary" for c in _BATCH)))
+    return written(map_arrow(docs, run, "batch long, " + ", ".join(f"{c} binary" for c in _BATCH)), **BATCH_ROWS)
 
 
-def _opened(value, names: tuple[str, ...]) -> list[np.ndarray]:
+def _opened(value, names: dict) -> list[np.ndarray]:
     """Columns of one batch as arrays; value takes a column's name."""
-    return [np.frombuffer(value(c), _BATCH[c]) for c in names]
+    return [_unpacked(value(c), t) for c, t in names.items()]
+
 
+def _by_count(counts: np.ndarray) -> np.ndarray:
+    """Places of the distinct tokens, those of high count first."""
+    return np.argsort(-counts.astype(np.int64), kind="stable")
 
-def _probes(batches: DataFrame, segments: int, pairs: bool) -> DataFrame:
-    """(batch, segment, hashes): the distinct unigrams or bigrams of each batch, cut into segments."""
+
+def _pairs(distinct: np.ndarray, place: np.ndarray, past: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct bigrams, and the place of each token's among them."""
+    return np.unique(mix(distinct[past], distinct[place]), return_inverse=True)
+
+
+def _parts(batches: DataFrame, segments: int) -> DataFrame:
+    """(part, batch, hashes, counts): the distinct n-grams of each batch and their counts in its training texts, by segment.
+
+    Unigrams of segment s are part 2 s, bigrams part 2 s + 1.
+    """
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in found:
             for i in range(x.num_rows):
-                lengths, distinct, place = _opened(lambda c: x.column(c)[i].as_py(), ("lengths", "distinct", "place"))
-                hashes = np.unique(mix(distinct[_past(distinct, place, lengths)], distinct[place])) if pairs else distinct
-                cut = _by_segment(segments, hashes)
-                yield pa.record_batch([pa.array([x.column("batch")[i].as_py()] * len(cut["segment"]), pa.int64()), pa.array(cut["segment"], pa.int32()), pa.array(cut["hashes"], pa.binary())], names=["batch", "segment", "hashes"])
-
-    return map_arrow(batches.select("batch", "lengths", "distinct", "place"), run, "batch long, segment int, hashes binary")
+                held, lengths, distinct, counts, rank = _opened(lambda c: x.column(c)[i].as_py(), {c: _BATCH[c] for c in _WORDS})
+                place = _by_count(counts)[rank]
+                trains = np.repeat(held == 0, lengths)
+                for pairs, (hashes, of) in enumerate(((distinct, place), _pairs(distinct, place, _past(distinct, place, lengths)))):
+                    counts = np.bincount(of[trains], minlength=len(hashes)).astype("<u4")
+                    ends = np.searchsorted(segment_of(hashes, segments), np.arange(segments + 1))
+                    own = [(s, a, b) for s, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a]
+                    columns = [pa.array([2 * s + pairs for s, _, _ in own], pa.int32()), pa.array([x.column("batch")[i].as_py()] * len(own), pa.int64())]
+                    columns += [pa.array([_packed(v[a:b]) for _, a, b in own], pa.binary()) for v in (hashes, counts)]
+                    yield pa.record_batch(columns, names=["part", "batch", "hashes", "counts"])
 
+    return map_arrow(batches.select("batch", *_WORDS), run, "part int, batch long, hashes binary, counts binary")
 
-def _probed(probes: DataFrame, merged: DataFrame, base: float, pairs: bool) -> DataFrame:
-    """(batch, pairs, segment, levels): levels of the probes, looked up in the segments of a filter that is not broadcast."""
 
-    def run(asked: pd.DataFrame, bits: pd.DataFrame) -> pd.DataFrame:
-        bits = bits.sort_values("level")
-        own = LogFilter(base, 1, 1, bits["n"].to_numpy(np.int64).reshape(-1, 1), np.frombuffer(b"".join(bits["a"]), np.uint8))
-        levels = [own.levels(np.frombuffer(x, np.uint64)).astype(np.uint8).tobytes() for x in asked["hashes"]]
-        return pd.DataFrame({"batch": asked["batch"], "pairs": pairs, "segment": asked["segment"], "levels": levels})
+_ONCE = np.uint8(128)
+_ANSWERED = "batch long, part int, levels binary, counts binary, types long"
 
-    held = merged.filter("kind = 'bits'").select("segment", "level", "n", "a")
-    return probes.groupBy("segment").cogroup(held.groupBy("segment")).applyInPandas(run, "batch long, pairs boolean, segment int, levels binary")
 
+def _answered(parts: DataFrame) -> DataFrame:
+    """For each part of each batch the levels its n-grams have in the filter of all training texts.
 
-def _joined_levels(found: pd.DataFrame, pairs: bool) -> np.ndarray:
-    return np.frombuffer(b"".join(found[found["pairs"] == pairs].sort_values("segment")["levels"]), np.uint8).astype(np.int64)
-
+    Unigrams also get their exact counts, and the first row of a part has its number of trained
+    unigrams as types; levels of bigrams that were counted once are marked with _ONCE.
+    """
 
-def _counted_batches(batches: DataFrame, levels: DataFrame, segments: int) -> DataFrame:
-    """What _counted gives for bigrams, with the levels of histories from a filter that is not broadcast."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = int(pdf["part"].iloc[0])
+        pairs, base = part % 2 == 1, BIGRAM_BASE if part % 2 else UNIGRAM_BASE
+        asked = [_unpacked(x, np.uint64) for x in pdf["hashes"]]
+        distinct, of = np.unique(np.concatenate(asked), return_inverse=True)
+        total = np.bincount(of, weights=_joined(pdf["counts"], "<u4")).astype(np.int64)
+        trained = total > 0
+        entered, levels = distinct[trained], levels_of(total[trained], base)
+        bits = [level_bits(entered[levels >= q], q) for q in range(1, int(levels.max(initial=0)) + 1)]
+        own = LogFilter(base, 1, 1, np.array([8 * len(b) for b in bits], np.int64).reshape(-1, 1), np.concatenate([np.zeros(0, np.uint8), *bits]))
+        found = own.levels(distinct).astype(np.uint8)
+        if pairs:
+            found |= np.where(total == 1, _ONCE, np.uint8(0))
+        cuts = np.cumsum([len(x) for x in asked])[:-1]
+        counts = [b""] * len(asked) if pairs else [_packed(x) for x in np.split(total.astype("<u8")[of], cuts)]
+        types = np.zeros(len(asked), np.int64)
+        types[0] = 0 if pairs else len(entered)
+        return pd.DataFrame({"batch": pdf["batch"], "part": part, "levels": [_packed(x) for x in np.split(found[of], cuts)], "counts": counts, "types": types})
+
+    return parts.groupBy("part").applyInPandas(run, _ANSWERED)
+
+
+#: words and pairs: levels of each token and of the bigram it ends; logs: sums of log10(count + ALPHA); full and once: training tokens by level of their history, all and those of bigrams counted once.
+_LEVELLED = {"ids": np.int64, "nulls": np.uint8, "held": np.uint8, "lengths": np.int64, "known": np.int64, "logs": np.float64, "words": np.uint8, "pairs": np.uint8, "full": np.int64, "once": np.int64}
+
+
+def _levelled(batches: DataFrame, answers: DataFrame) -> DataFrame:
+    """Batches with what scores are made of, once the sums over all batches are known: one row each, without n-grams."""
 
     def run(batch: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        held, lengths, distinct, place = _opened(lambda c: batch[c].iloc[0], ("held", "lengths", "distinct", "place"))
-        trains = np.repeat(~held, lengths)
-        past, place = _past(distinct, place, lengths)[trains], place[trains]
-        hashes, first, counts = np.unique(mix(distinct[past], distinct[place]), return_index=True, return_counts=True)
-        return pd.DataFrame(_by_segment(segments, hashes, counts=counts.astype("<u4"), context=_joined_levels(found, False)[past[first]].astype(np.uint8)))
-
-    return batches.select("batch", "held", "lengths", "distinct", "place").groupBy("batch").cogroup(levels.groupBy("batch")).applyInPandas(run, _PARTS)
+        ids, nulls, held, lengths, distinct, often, rank = _opened(lambda c: batch[c].iloc[0], _BATCH)
+        place = _by_count(often)[rank]
+        found = found.sort_values("part")
+        single, pair = found[found["part"] % 2 == 0], found[found["part"] % 2 == 1]
+        levels, counts = _joined(single["levels"], np.uint8), _joined(single["counts"], "<u8")
+        past = _past(distinct, place, lengths)
+        own = _joined(pair["levels"], np.uint8)[_pairs(distinct, place, past)[1]]
+        heads, trains = _heads(lengths), np.repeat(held == 0, lengths)
+        history = levels[past[trains]]
+        logs, known = np.add.reduceat(np.log10(counts + ALPHA)[place], heads), np.add.reduceat((counts > 0)[place].astype(np.int64), heads)
+        full, once = np.bincount(history, minlength=256), np.bincount(history[own[trains] >= _ONCE], minlength=256)
+        values = (ids, nulls, held, lengths, known, logs, levels[place], own & ~_ONCE, full, once)
+        packed = {c: [_packed(v.astype(t))] for (c, t), v in zip(_LEVELLED.items(), values)}
+        return pd.DataFrame({"tokens": [int(trains.sum())], "types": [int(found["types"].sum())], **packed})
+
+    schema = "tokens long, types long, " + ", ".join(f"{c} binary" for c in _LEVELLED)
+    return written(batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(run, schema), **BATCH_ROWS)
 
 
 _MERGED = "segment int, kind string, level int, n long, m long, a binary, b binary"
@@ -316,116 +405,101 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return id_and_text(df, id_col, text_col).select("doc_id", "text", (ids % 10 == 0).alias("held_out"))
 
 
-def _hashed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+def _segments(docs: DataFrame) -> tuple[int, int]:
+    """Bytes of all texts, and the number of segments: a power of two that follows them, and that all tasks get some of."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return size, 1 << max(4, max(2 * tasks - 1, size // SEGMENT_TEXT_BYTES).bit_length())
 
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame | None, DataFrame | None]:
-    """The model of the texts that are not held out, and the merged unigrams with their exact counts.
+def _backoff(once: np.ndarray, full: np.ndarray) -> np.ndarray:
+    out = np.ones(256)
+    out[full > 0] = np.clip(once[full > 0] / full[full > 0], 0.01, 1.0)
+    return out
 
-    If a filter is not in the model, also the batches of all texts and the levels of their n-grams in it.
-    """
+
+def train(docs: DataFrame, segments: int, table_bytes: int) -> tuple[Model, DataFrame] | None:
+    """The model of the texts that are not held out, and the merged unigrams with their exact counts; None if they do not fit a broadcast."""
     spark = docs.sparkSession
-    segments = 1 << max(4, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     singles = written(_merged(_counted(docs, segments), UNIGRAM_BASE, table=True))
-    size = singles.filter("kind = 'table'").agg(F.sum("n"), F.sum("m")).first()
-    unigrams = _filter(singles, UNIGRAM_BASE, segments, FILTER_BYTES["unigram"])
-    batches = levels = None
+    types, tokens = (int(x or 0) for x in singles.filter("kind = 'table'").agg(F.sum("n"), F.sum("m")).first())
+    unigrams = _filter(singles, UNIGRAM_BASE, segments, FILTER_BYTES["unigram"]) if 16 * types <= table_bytes else None
     if unigrams is None:
-        batches = _batches(docs)
-        levels = written(_probed(_probes(batches, segments, False), singles, UNIGRAM_BASE, False))
-    parts = _counted(docs, segments, spark.sparkContext.broadcast(unigrams)) if unigrams is not None else _counted_batches(batches, levels, segments)
-    pairs = written(_merged(parts, BIGRAM_BASE, table=False))
+        return None
+    pairs = written(_merged(_counted(docs, segments, spark.sparkContext.broadcast(unigrams)), BIGRAM_BASE, table=False))
     bigrams = _filter(pairs, BIGRAM_BASE, segments, FILTER_BYTES["bigram"])
     if bigrams is None:
-        batches = batches if batches is not None else _batches(docs)
-        own = _probed(_probes(batches, segments, True), pairs, BIGRAM_BASE, True)
-        levels = own if levels is None else levels.unionByName(own)
-    backoff = np.ones(256)
+        return None
     mass = np.zeros((256, 256))
     for r in pairs.filter("kind = 'mass'").groupBy("level", "n").agg(F.sum("m").alias("m")).collect():
         mass[r["level"], r["n"]] = r["m"]
-    full = mass.sum(axis=1)
-    backoff[full > 0] = np.clip(mass[full > 0, 1] / full[full > 0], 0.01, 1.0)
-    return Model(unigrams, bigrams, backoff, int(size[1] or 0), int(size[0] or 0)), singles, batches, levels
-
-
-def _sums(lm: Model, exact, distinct: np.ndarray, place: np.ndarray, lengths, levels: np.ndarray, pair_levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """score, base_score and n_known of each text; levels go with the distinct tokens, pair_levels with the tokens."""
-    heads = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
-    past = _past(distinct, place, lengths)
-    counts = count_of(levels, UNIGRAM_BASE)
-    history = counts[past]
-    pairs = count_of(pair_levels, BIGRAM_BASE)
-    backed = lm.unigram(counts)[place]
-    share = np.where(history > 0, lm.backoff[levels[past]], 1.0)
-    chance = (1 - share) * np.minimum(pairs, history) / np.maximum(history, 1) + share * backed
-    score = np.add.reduceat(np.log10(chance), heads)
-    base = known = np.zeros(len(heads))
-    if exact is not None:
-        at = np.minimum(np.searchsorted(exact[0], distinct), max(len(exact[0]) - 1, 0))
-        own = np.where(exact[0][at] == distinct, exact[1][at], 0).astype(np.int64) if len(exact[0]) else np.zeros(len(distinct), np.int64)
-        base, known = np.add.reduceat(np.log10(lm.unigram(own))[place], heads), np.add.reduceat((own > 0)[place].astype(np.int64), heads)
-    return score, base, known.astype(np.int64)
+    return Model(unigrams, bigrams, _backoff(mass[:, 1], mass.sum(axis=1)), tokens, types), singles
 
 
-_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, text_hash long"
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def _scored(docs: DataFrame, model, table) -> DataFrame:
-    """Rows with n_tokens and score, and base_score and n_known where the exact table is given."""
+    """Rows with their scores, from broadcast filters and counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lm, exact = model.value, table.value if table is not None else None
+        lm, exact = model.value, table.value
         for rows, tokens, lengths in _gathered(batches, SCORE_TOKENS):
             distinct, place = np.unique(tokens, return_inverse=True)
-            pair_levels = lm.bigrams.levels(mix(distinct[_past(distinct, place, lengths)], tokens))
-            score, base, known = _sums(lm, exact, distinct, place, lengths, lm.unigrams.levels(distinct), pair_levels)
-            ids, held, texts = zip(*rows)
-            columns = [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(lengths, pa.int64()), pa.array(known), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(texts, pa.int64())]
-            yield pa.record_batch(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "text_hash"])
+            past, heads, levels = _past(distinct, place, lengths), _heads(lengths), lm.unigrams.levels(distinct)
+            score = np.add.reduceat(lm.logs(levels[place], levels[past], lm.bigrams.levels(mix(distinct[past], tokens))), heads)
+            at = np.minimum(np.searchsorted(exact[0], distinct), max(len(exact[0]) - 1, 0))
+            own = np.where(exact[0][at] == distinct, exact[1][at], 0).astype(np.int64) if len(exact[0]) else np.zeros(len(distinct), np.int64)
+            base, known = np.add.reduceat(np.log10(lm.unigram(own))[place], heads), np.add.reduceat((own > 0)[place].astype(np.int64), heads)
+            ids, held = zip(*rows)
+            columns = [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(lengths, pa.int64()), pa.array(known), pa.array(base, pa.float64()), pa.array(score, pa.float64())]
+            yield pa.record_batch(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    return map_arrow(_hashed(docs), run, _SCORED)
+    return map_arrow(docs, run, _SCORED)
 
 
-def _scored_batches(batches: DataFrame, levels: DataFrame, model, table) -> DataFrame:
-    """What _scored gives, where a filter is not broadcast."""
+def _masses(levelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Training tokens by level of their history: those of bigrams counted once, and all."""
 
-    def run(batch: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        lm, exact = model.value, table.value if table is not None else None
-        ids, nulls, held, texts, lengths, distinct, place = _opened(lambda c: batch[c].iloc[0], tuple(_BATCH))
-        pairs = mix(distinct[_past(distinct, place, lengths)], distinct[place])
-        if lm.bigrams is None:
-            _, of = np.unique(pairs, return_inverse=True)
-            pair_levels = _joined_levels(found, True)[of]
-        else:
-            pair_levels = lm.bigrams.levels(pairs)
-        own = _joined_levels(found, False) if lm.unigrams is None else lm.unigrams.levels(distinct)
-        score, base, known = _sums(lm, exact, distinct, place, lengths, own, pair_levels)
-        return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "held_out": held, "n_tokens": lengths, "n_known": known, "base_score": base, "score": score, "text_hash": texts}).assign(doc_id=lambda x: x["doc_id"].mask(nulls))
-
-    return batches.groupBy("batch").cogroup(levels.groupBy("batch")).applyInPandas(run, _SCORED)
-
-
-def _joined_base(docs: DataFrame, singles: DataFrame, tokens: int, types: int) -> DataFrame:
-    """(text_hash, base_score, n_known) of each distinct text, by joining its tokens to their counts."""
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                found, n = np.unique(np.array(token_hashes(texts_of(batch.column(1).slice(i, 1))[0]), np.uint64), return_counts=True)
-                yield pa.record_batch([pa.array([batch.column(0)[i].as_py()] * len(found), pa.int64()), pa.array(found.view(np.int64)), pa.array(n)], names=["text_hash", "hash", "tf"])
-
-    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in zip(batch.column(0), batch.column(1)):
-                yield pa.record_batch([pa.array(np.frombuffer(a.as_py(), np.int64)), pa.array(np.frombuffer(b.as_py(), "<u8").astype(np.int64))], names=["hash", "c"])
-
-    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-    spelled = map_arrow(texts, spell, "text_hash long, hash long, tf long").distinct()
-    counts = map_arrow(singles.filter("kind = 'table'").select("a", "b"), unfold, "hash long, c long")
-    c = F.coalesce(F.col("c"), F.lit(0))
-    chance = F.log10((c + ALPHA) / F.lit(tokens + ALPHA * (types + 1)))
-    return spelled.join(counts, "hash", "left").groupBy("text_hash").agg(F.sum(F.col("tf") * chance).alias("base_score"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("n_known"))
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, full = np.zeros(256, np.int64), np.zeros(256, np.int64)
+        for x in found:
+            for a, b in zip(x.column("once").to_pylist(), x.column("full").to_pylist()):
+                once, full = once + _unpacked(a, np.int64), full + _unpacked(b, np.int64)
+        at = np.flatnonzero(full)
+        yield pa.record_batch([pa.array(at, pa.int32()), pa.array(once[at]), pa.array(full[at])], names=["level", "once", "full"])
+
+    once, full = np.zeros(256), np.zeros(256)
+    for r in map_arrow(levelled.select("once", "full"), run, "level int, once long, full long").groupBy("level").agg(F.sum("once").alias("once"), F.sum("full").alias("full")).collect():
+        once[r["level"]], full[r["level"]] = r["once"], r["full"]
+    return once, full
+
+
+def _scored_batches(levelled: DataFrame, lm: Model) -> DataFrame:
+    """What _scored gives, where filters are not broadcast."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in found:
+            for i in range(x.num_rows):
+                ids, nulls, held, lengths, known, logs, words, pairs = _opened(lambda c: x.column(c)[i].as_py(), _TO_SCORE)
+                heads, history = _heads(lengths), np.roll(words, 1)
+                history[heads] = words[-1]  # of the end, which is the last token of each text
+                score = np.add.reduceat(lm.logs(words, history, pairs), heads)
+                base = logs - lengths * np.log10(lm.tokens + ALPHA * (lm.types + 1))
+                columns = [pa.array(ids, mask=nulls != 0), pa.array(held != 0), pa.array(lengths), pa.array(known), pa.array(base), pa.array(score)]
+                yield pa.record_batch(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    return map_arrow(levelled.select(*_TO_SCORE), run, _SCORED)
+
+
+_TO_SCORE = {c: t for c, t in _LEVELLED.items() if c not in ("full", "once")}
+
+
+def _dealt(docs: DataFrame, segments: int) -> tuple[DataFrame, int]:
+    """Scored rows and the number of training tokens, with no filter or table of counts in one place."""
+    batches = _batches(docs)
+    levelled = _levelled(batches, _answered(_parts(batches, segments)))
+    tokens, types = (int(x or 0) for x in levelled.agg(F.sum("tokens"), F.sum("types")).first())
+    return _scored_batches(levelled, Model(None, None, _backoff(*_masses(levelled)), tokens, types)), tokens
 
 
 def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int | None = None) -> DataFrame:
@@ -436,14 +510,15 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     and without a training text every probability is one.
     """
     spark, docs = df.sparkSession, _rows(df, id_col, text_col)
-    model, singles, batches, levels = train(docs)
-    shared = spark.sparkContext.broadcast(model)
-    fits = 16 * model.types <= (TABLE_BYTES if table_bytes is None else table_bytes)
-    table = spark.sparkContext.broadcast(_table(singles)) if fits else None
-    out = _scored(docs, shared, table) if batches is None else _scored_batches(batches, levels, shared, table)
-    if not fits:
-        out = out.drop("base_score", "n_known").join(_joined_base(docs, singles, model.tokens, model.types), "text_hash")
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    size, segments = _segments(docs)
+    small = size <= TEXT_BYTES_A_FILTER_BYTE * FILTER_BYTES["bigram"]
+    trained = train(docs, segments, TABLE_BYTES if table_bytes is None else table_bytes) if small else None
+    if trained is None:
+        out, tokens = _dealt(docs, segments)
+    else:
+        model, singles = trained
+        out, tokens = _scored(docs, spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(_table(singles))), model.tokens
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,10 @@ import random
 import re
 import zlib
 from collections import Counter
+from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from loomlog.llm import lm_score as lm
@@ -68,6 +70,28 @@ def test_filters_that_do_not_fit_give_the_same_scores(spark, rows, monkeypatch,
     assert max(abs(a - b) for g, w in zip(got, want) for a, b in zip(g[5:], w[5:])) < 1e-6
 
 
+def test_segments_follow_the_text_and_not_only_the_tasks(spark, rows, monkeypatch):
+    docs = lm._rows(documents(spark, rows), "doc_id", "text")
+    size, few = lm._segments(docs)
+    assert size == sum(len((x or "").encode()) for _, x in rows) and few == 16
+    monkeypatch.setattr(lm, "SEGMENT_TEXT_BYTES", 100)
+    assert size // 100 < lm._segments(docs)[1] <= 2 * size // 100
+
+
+def test_batches_are_written_in_small_row_groups(spark, rows, monkeypatch):
+    monkeypatch.setattr(lm, "BATCH_TOKENS", 100)
+    batches = lm._batches(lm._rows(documents(spark, rows * 3), "doc_id", "text").coalesce(1))
+    files = [urlparse(f).path for f in batches.inputFiles()]
+    groups = [m.row_group(i).num_rows for f in files for m in [pq.ParquetFile(f).metadata] for i in range(m.num_row_groups)]
+    assert sum(groups) == batches.count() > 100 and max(groups) <= 4
+
+
+def test_no_filter_reaches_the_driver_where_texts_are_large(spark, rows, monkeypatch):
+    monkeypatch.setattr(lm, "FILTER_BYTES", {"unigram": 1 << 20, "bigram": 400})
+    monkeypatch.setattr(lm, "_filter", lambda *a: pytest.fail("put together on the driver"))
+    assert digest(lm.score_texts(documents(spark, rows))) == brute(rows)
+
+
 def test_filter_recovers_levels():
     rng = np.random.default_rng(3)
     hashes = np.unique(rng.integers(0, 2**64, 5000, np.uint64))
